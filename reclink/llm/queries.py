@@ -21,6 +21,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from reclink.llm.substring_dedup import dedup_substrings
+
+    return dedup_substrings(_table(spark, sf_dir, "documents"), digests=True)
+
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from reclink.llm.token_store import write_store
 
@@ -34,6 +40,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_substring_dedup": op3_substring_dedup,
     "op5_token_store": op5_token_store,
     "op9_bpe": op9_bpe,
 }
