@@ -33,6 +33,12 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return write_store(_table(spark, sf_dir, "documents"), vocabulary(), end_id=1).documents()
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from reclink.llm.simhash import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from reclink.llm.bpe import encode_documents
 
@@ -42,6 +48,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substring_dedup": op3_substring_dedup,
     "op5_token_store": op5_token_store,
+    "op6_simhash": op6_simhash,
     "op9_bpe": op9_bpe,
 }
 
