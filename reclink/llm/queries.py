@@ -39,6 +39,12 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from reclink.llm.jpeg import media_features, store_texts
+
+    return media_features(store_texts(_table(spark, sf_dir, "documents")))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from reclink.llm.bpe import encode_documents
 
@@ -49,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substring_dedup": op3_substring_dedup,
     "op5_token_store": op5_token_store,
     "op6_simhash": op6_simhash,
+    "op7_media": op7_media,
     "op9_bpe": op9_bpe,
 }
 
