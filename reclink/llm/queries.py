@@ -21,12 +21,25 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from reclink.llm.toxicity import fit, score
+
+    docs = _table(spark, sf_dir, "documents")
+    return score(docs, fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from reclink.llm.substring_dedup import dedup_substrings
 
     return dedup_substrings(_table(spark, sf_dir, "documents"), digests=True)
 
 
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from reclink.llm.ann import nearest
+
+    return nearest(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from reclink.llm.token_store import write_store
 
@@ -51,12 +64,27 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_table(spark, sf_dir, "documents"), vocabulary(), keep_outputs=False)
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from reclink.llm.warc import read_archives, write_archives
+
+    return read_archives(spark, write_archives(_table(spark, sf_dir, "pages")), payloads=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_nearest": op4_nearest,
     "op5_token_store": op5_token_store,
     "op6_simhash": op6_simhash,
     "op7_media": op7_media,
     "op9_bpe": op9_bpe,
+    "op10_warc": op10_warc,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_warc": """
+        WITH d AS (SELECT page_id, url, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+        m AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS original FROM d)
+        SELECT page_id, url, CASE WHEN page_id < original THEN 'revisit' ELSE 'response' END AS record_type, payload_bytes, payload_digest,
+               CASE WHEN page_id < original THEN original END AS refers_to FROM m""",
+}
