@@ -9,9 +9,10 @@ every choice finds every pair within the radius.
 
 A part with threshold t is probed by masking each choice of t of its bits and matching the rest exactly; fingerprints that
 share a key are verified on all 64 bits.  Equal fingerprints are folded to one row (with the smallest id) before any of
-this.  A key's fingerprints are streamed in order; a run of more than ``RUN`` is split by the same pigeonhole argument over
-its other bits, so a hot key costs far less than its square.  Links within a stretch of keys are folded to a spanning
-forest before they leave the task.
+this.  A key's fingerprints are streamed in order; a run of more than ``RUN`` is searched from row to row, where each meets
+only what no earlier one has reached, so a dense group costs far less than its square, and one of more than ``LONG`` is
+first split by the same pigeonhole argument over all bits if that helps.  Links within a stretch of keys are folded to a
+spanning forest before they leave the task.
 
 Defined cases: a null text is an empty one; texts without a word have fingerprint zero and link like any other; a text of
 fewer words than a shingle is one shingle; repeated rows have equal fingerprints; rows with a null id keep their
@@ -29,38 +30,51 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reclink.llm.components import components
+from reclink.llm.words import mixed
 from reclink.session import written
 
 BITS, RADIUS, SHINGLE = 64, 2, 3
-SAMPLE, RUN = 4_096, 2_048
+SAMPLE, RUN, LONG = 4_096, 2_048, 65_536
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """Majority, bit by bit, of the XXH64 (seed 42) of the word shingles of a text whose A-Z are lower-cased."""
+def fingerprint(text: bytes, shingle: int = SHINGLE, words_out: int = 1) -> tuple[list[int], int]:
+    """Majority, bit by bit, of the XXH64 (seed 42) of the word shingles of a text whose A-Z are lower-cased; and how many shingles there are.
+
+    With ``words_out`` over 1, further 64-bit words follow, from scrambled hashes.
+    """
     words = text.lower().split()
     if not words:
-        return 0
+        return [0] * words_out, 0
     joined = b" ".join(words)
+    h = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(joined, 42)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts, h = [0, *ends[:-shingle].tolist()], xxhash.xxh64_intdigest
-    hashes = np.array([h(joined[a:b], 42) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist())], "<u8")
-    total = np.zeros(BITS, np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        total += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(total * 2 > len(hashes), bitorder="little").tobytes(), "little")
-
-
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(id, fp): the fingerprint of every row, as a signed 64-bit integer."""
+        hashes = np.array([h(joined, 42)], "<u8")
+    else:
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+        starts = [0, *ends[:-shingle].tolist()]
+        hashes = np.array([h(joined[a:b], 42) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist())], "<u8")
+    out = []
+    for i in range(words_out):
+        own = mixed(hashes + np.uint64(i) * np.uint64(0x9E3779B97F4A7C15)) if i else hashes
+        total = np.zeros(BITS, np.int64)
+        for at in range(0, len(own), 1 << 15):
+            total += np.unpackbits(own[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out.append(int.from_bytes(np.packbits(total * 2 > len(own), bitorder="little").tobytes(), "little"))
+    return out, len(hashes)
+
+
+def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, words_out: int = 1) -> DataFrame:
+    """(id, fp, sig, n): the fingerprint of every row as a signed 64-bit integer, all its words as bytes, its shingles."""
 
     def run(batches):
         for batch in batches:
-            fps = np.array([fingerprint((x.as_py() or "").encode(), shingle) for x in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["id", "fp"])
+            for at in range(0, batch.num_rows, 1_000):
+                part = batch.slice(at, 1_000)
+                rows = [fingerprint((x.as_py() or "").encode(), shingle, words_out) for x in part.column(1)]
+                words = np.array([w for w, _ in rows], "<u8").reshape(len(rows), words_out)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(words[:, 0].copy().view(np.int64)), pa.array([w.tobytes() for w in words], pa.binary()), pa.array([n for _, n in rows], pa.int64())], names=["id", "fp", "sig", "n"])
 
-    return docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "id bigint, fp bigint")
+    return docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "id bigint, fp bigint, sig binary, n bigint")
 
 
 def grouped_bits(sample: np.ndarray, sizes: list[int]) -> list[list[int]]:
@@ -85,10 +99,6 @@ def _mask(bits) -> int:
     return sum(1 << b for b in bits)
 
 
-def _popcount(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x)
-
-
 def allocate(sample: np.ndarray, parts: list[list[int]], n: int, radius: int = RADIUS) -> tuple[float, list[int]]:
     """Cost and thresholds, one for each part, that sum to radius - parts + 1, by dynamic programming.
 
@@ -101,7 +111,7 @@ def allocate(sample: np.ndarray, parts: list[list[int]], n: int, radius: int = R
     different = sample[pairs[0]] ^ sample[pairs[1]]
     costs = []
     for part in parts:
-        near = _popcount(different & np.uint64(_mask(part))) if len(different) else np.zeros(0, np.uint8)
+        near = np.bitwise_count(different & np.uint64(_mask(part))) if len(different) else np.zeros(0, np.uint8)
         row = {-1: 0.0}
         for t in range(radius + 1):
             share = max(float((near <= t).mean()) if len(near) else 0.0, sum(comb(len(part), j) for j in range(t + 1)) / 2.0 ** len(part))
@@ -121,7 +131,7 @@ def allocate(sample: np.ndarray, parts: list[list[int]], n: int, radius: int = R
 def plan_search(sample: np.ndarray, n: int, radius: int = RADIUS) -> list[tuple[list[int], int]]:
     """(bits of a part, its threshold) for the cheapest of several numbers and widths of parts; parts that aren't probed are left out."""
     best = None
-    layouts = [[BITS // m + (i < BITS % m) for i in range(m)] for m in range(2, radius + 3)] + [[36, 28], [28, 20, 16], [30, 26, 8]]
+    layouts = [[BITS // m + (i < BITS % m) for i in range(m)] for m in range(2, radius + 2)] + [[36, 28], [28, 20, 16], [30, 26, 8]]
     for sizes in layouts:
         parts = grouped_bits(sample, sizes)
         cost, thresholds = allocate(sample, parts, n, radius)
@@ -132,8 +142,6 @@ def plan_search(sample: np.ndarray, n: int, radius: int = RADIUS) -> list[tuple[
 
 def _keys(fps: np.ndarray, plan: list[tuple[list[int], int]]):
     """For each probe of the plan: the key of each fingerprint."""
-    from reclink.llm.words import mixed
-
     number = 0
     for part, t in plan:
         whole = _mask(part)
@@ -147,21 +155,19 @@ def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.diff(np.append(start, len(keys)))
 
 
-def _pairs_within(fps: np.ndarray, rows: np.ndarray, free: tuple[int, ...], radius: int):
-    """Index pairs within the radius among distinct fingerprints ``fps[rows]`` that may differ in the bits ``free`` alone."""
-    if len(rows) <= RUN or len(free) <= radius + 1:
-        for d in range(1, len(rows)):
-            near = _popcount(fps[rows[:-d]] ^ fps[rows[d:]]) <= radius
-            if near.any():
-                yield rows[:-d][near], rows[d:][near]
-        return
-    for part in np.array_split(np.array(free), radius + 1):
-        key = fps[rows] & np.uint64(_mask(part.tolist()))
-        order = np.argsort(key, kind="stable")
-        rest = tuple(b for b in free if b not in set(part.tolist()))
-        start, size = _runs(key[order])
-        for a, n in zip(start[size > 1].tolist(), size[size > 1].tolist()):
-            yield from _pairs_within(fps, rows[order[a : a + n]], rest, radius)
+class Near:
+    """Whether pairs of rows link: the first word within ``radius`` bits and, if there are more words, all within ``whole`` bits."""
+
+    def __init__(self, words: np.ndarray, radius: int, whole: int | None = None):
+        self.words, self.first, self.radius, self.whole = words, words[:, 0].copy(), radius, whole
+
+    def __call__(self, a, b) -> np.ndarray:
+        hit = np.bitwise_count(self.first[a] ^ self.first[b]) <= self.radius
+        if self.whole is not None and hit.any():
+            some = np.flatnonzero(hit)
+            x = self.words[a][some] if np.ndim(a) else self.words[a][None, :]
+            hit[some] = np.bitwise_count(x ^ self.words[b[some]]).sum(1) <= self.whole
+        return hit
 
 
 class Forest:
@@ -171,76 +177,146 @@ class Forest:
         self.root = np.arange(n)
 
     def link(self, a: np.ndarray, b: np.ndarray) -> None:
-        while True:
+        while len(a):
             x, y = self.root[a], self.root[b]
             apart = x != y
             if not apart.any():
                 return
             a, b, x, y = a[apart], b[apart], x[apart], y[apart]
             np.minimum.at(self.root, np.maximum(x, y), np.minimum(x, y))
-            while True:
-                up = self.root[self.root]
-                if (up == self.root).all():
-                    break
+            while not ((up := self.root[self.root]) == self.root).all():
                 self.root = up
 
 
-def forest_of(keys: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Links (index pairs) that span what is within the radius among rows with equal keys; keys are sorted."""
+def _grow(near: Near, rows: np.ndarray, forest: Forest) -> None:
+    """Link ``rows`` by search: each row meets only those that no row before it has reached."""
+    free = rows
+    while len(free):
+        front, free = [int(free[0])], free[1:]
+        while front and len(free):
+            row = front.pop()
+            hit = near(row, free)
+            if hit.any():
+                found = free[hit]
+                forest.link(np.full(len(found), row), found)
+                front += found.tolist()
+                free = free[~hit]
+
+
+def _link_long(near: Near, rows: np.ndarray, bits: list[int], forest: Forest) -> None:
+    """Link a long run: by search, or, where its other bits split it well, by the pigeonhole argument over these."""
+    parts = np.array_split(np.array(bits), near.radius + 1)
+    if len(rows) > LONG and len(parts[-1]):
+        groups = []
+        for part in parts:
+            key = near.first[rows] & np.uint64(_mask(part.tolist()))
+            order = np.argsort(key, kind="stable")
+            start, size = _runs(key[order])
+            groups.append((part, order, start[size > 1], size[size > 1]))
+        if all((size <= len(rows) // 2).all() for _, _, _, size in groups):
+            for part, order, start, size in groups:
+                rest = [b for b in bits if b not in set(part.tolist())]
+                for a, n in zip(start.tolist(), size.tolist()):
+                    _link_long(near, rows[order[a : a + n]], rest, forest)
+            return
+    _grow(near, rows, forest)
+
+
+def forest_of(keys: np.ndarray, near: Near) -> tuple[np.ndarray, np.ndarray]:
+    """Links (index pairs) that span what is near among rows with equal keys; keys are sorted."""
     start, size = _runs(keys)
     forest = Forest(len(keys))
     # short runs together: each row with the d-th after it
-    short = np.repeat(size <= RUN, size)
-    d, rows = 1, np.flatnonzero(short & np.repeat(size > 1, size))
+    d, rows = 1, np.flatnonzero(np.repeat((size > 1) & (size <= RUN), size))
     left = np.repeat(start + size, size)
     while len(rows := rows[rows + d < left[rows]]):
-        near = _popcount(fps[rows] ^ fps[rows + d]) <= radius
-        forest.link(rows[near], rows[near] + d)
+        hit = rows[near(rows, rows + d)]
+        forest.link(hit, hit + d)
         d += 1
     for a, n in zip(start[size > RUN].tolist(), size[size > RUN].tolist()):
-        for x, y in _pairs_within(fps, np.arange(a, a + n), tuple(range(BITS)), radius):
-            forest.link(x, y)
+        _link_long(near, np.arange(a, a + n), list(range(BITS)), forest)
     linked = np.flatnonzero(forest.root != np.arange(len(keys)))
     return linked, forest.root[linked]
 
 
-def links(distinct: DataFrame, plan: list[tuple[list[int], int]], radius: int = RADIUS) -> DataFrame:
-    """Links (u, v) that connect what is within the radius; ``distinct`` has (fp, id) with distinct fp."""
+def _bytes_of(column, width: int) -> np.ndarray:
+    """A binary column of equal lengths as rows of 64-bit words."""
+    return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(-1, width)
+
+
+def links(distinct: DataFrame, plan: list[tuple[list[int], int]], radius: int = RADIUS, whole: int | None = None, size_step: float | None = None, width: int = 1) -> DataFrame:
+    """Links (u, v) that connect what is near; ``distinct`` has (fp, sig, n, id) with distinct signatures.
+
+    With ``size_step``, only rows whose shingle counts are within that factor meet: counts are cut into steps of it, and a row
+    goes to its own step and the next.
+    """
 
     def probe(batches):
         for batch in batches:
-            ids, fps = batch.column(1), np.asarray(batch.column(0)).view(np.uint64)
+            fps = np.asarray(batch.column(0)).view(np.uint64)
+            steps = [np.zeros(len(fps), np.uint64)]
+            if size_step:
+                own = np.floor(np.log(np.maximum(1, np.asarray(batch.column(2)))) / np.log(size_step)).astype(np.uint64)
+                steps = [own + np.uint64(1), own + np.uint64(2)]
             for keys in _keys(fps, plan):
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column(0), ids], names=["k", "fp", "id"])
+                for step in steps:
+                    k = keys ^ mixed(step) if size_step else keys
+                    yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), batch.column(1), batch.column(3)], names=["k", "sig", "id"])
 
     def verify(batches):
-        left: list[np.ndarray] = [np.zeros(0, np.int64)] * 3
+        left_k, left_sig, left_id = np.zeros(0, np.int64), np.zeros((0, width), "<u8"), np.zeros(0, np.int64)
 
-        def found(k, fp, i):
-            a, b = forest_of(k, fp.view(np.uint64), radius)
+        def found(k, sig, i):
+            a, b = forest_of(k, Near(sig, radius, whole))
             return pa.RecordBatch.from_arrays([pa.array(i[a]), pa.array(i[b])], names=["u", "v"])
 
         for batch in batches:
-            left = [np.concatenate([x, np.asarray(c)]) for x, c in zip(left, batch.columns)]
-            whole = int(np.searchsorted(left[0], left[0][-1], "left")) if len(left[0]) else 0
-            if whole:
-                yield found(*(x[:whole] for x in left))
-                left = [x[whole:] for x in left]
-        if len(left[0]):
-            yield found(*left)
-
-    probes = distinct.mapInArrow(probe, "k bigint, fp bigint, id bigint")
+            left_k = np.concatenate([left_k, np.asarray(batch.column(0))])
+            left_sig = np.concatenate([left_sig, _bytes_of(batch.column(1), width)])
+            left_id = np.concatenate([left_id, np.asarray(batch.column(2))])
+            at = int(np.searchsorted(left_k, left_k[-1], "left")) if len(left_k) else 0
+            if at:
+                yield found(left_k[:at], left_sig[:at], left_id[:at])
+                left_k, left_sig, left_id = left_k[at:], left_sig[at:], left_id[at:]
+        if len(left_k):
+            yield found(left_k, left_sig, left_id)
+
+    probes = distinct.select("fp", "sig", "n", "id").mapInArrow(probe, "k bigint, sig binary, id bigint")
     return probes.repartition("k").sortWithinPartitions("k", "id").mapInArrow(verify, "u bigint, v bigint")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """(id_col, fingerprint as 16 hex digits, component_id) for every row; components join fingerprints within ``radius`` bits."""
-    prints = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    distinct = written(prints.where("id is not null").groupBy("fp").agg(F.min("id").alias("id")), "distinct")
+def _components(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int, width: int = 1, whole: int | None = None, size_step: float | None = None) -> DataFrame:
+    """(id, fp, component_id) for every row."""
+    prints = written(signatures(docs, id_col, text_col, shingle, width), "fingerprints")
+    distinct = written(prints.where("id is not null").groupBy("fp", "sig").agg(F.min("n").alias("n"), F.min("id").alias("id")), "distinct")
     n = distinct.count()
     sample = np.array([r["fp"] for r in distinct.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()], np.int64).view(np.uint64)
-    found = components(links(distinct, plan_search(sample, n, radius), radius))
-    of = distinct.join(found, distinct["id"] == found["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    return prints.join(of, "fp", "left").select(
-        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id")
-    )
+    found = components(links(distinct, plan_search(sample, n, radius), radius, whole, size_step, width))
+    of = distinct.join(found, distinct["id"] == found["node"], "left").select("sig", F.coalesce("component", "id").alias("component_id"))
+    return prints.join(of, "sig", "left").select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """(id_col, fingerprint as 16 hex digits, component_id) for every row; components join fingerprints within ``radius`` bits."""
+    return _components(docs, id_col, text_col, shingle, radius).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id_col, component_id): components of documents whose word shingles are similar (Jaccard, as signatures of 256 bits show it).
+
+    Sets of equal size and Jaccard j have a cosine of 2j / (1 + j), and a bit of their signatures differs with the angle's share
+    of a half turn: 39 of 256 bits at 0.8.  Candidates come from the first 64 bits, within the expected number of differing
+    bits there and a margin of one standard deviation, among documents whose shingle counts are within the similarity.
+    """
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    width = 4
+    whole = int(np.ceil(width * BITS * share))
+    radius = int(np.floor(BITS * share + np.sqrt(BITS * share * (1 - share))))
+    return _components(docs, id_col, text_col, shingle, radius, width, whole, 1 / similarity).select(F.col("id").alias(id_col), "component_id")
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one document, that of the smallest id, of each group of similar ones; rows with a null id all stay, of rows that repeat an id one stays."""
+    gone = similar_documents(docs, id_col, text_col, shingle, similarity).where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
+    kept = docs.join(gone, id_col, "left_anti")
+    return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull())).select(*docs.columns)
