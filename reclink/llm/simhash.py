@@ -55,7 +55,7 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, words_out: int = 1) -> tupl
         hashes = np.array([h(joined[a:b], 42) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist())], "<u8")
     out = []
     for i in range(words_out):
-        own = mixed(hashes + np.uint64(i) * np.uint64(0x9E3779B97F4A7C15)) if i else hashes
+        own = mixed(hashes + np.uint64(i * 0x9E3779B97F4A7C15 % (1 << 64))) if i else hashes
         total = np.zeros(BITS, np.int64)
         for at in range(0, len(own), 1 << 15):
             total += np.unpackbits(own[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)

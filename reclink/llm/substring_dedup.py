@@ -246,11 +246,12 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             joined = b" ".join(kept)
             digest.append(sha256(joined).hexdigest() if digests else "")
             kept_texts.append(joined.decode() if len(kept) < len(words) else original[order[t]])
-        columns = {"id": docs_table["id"].take(pa.array(order)), "text": kept_texts, "n_words": total, "n_removed": removed, "kept_sha256": digest}
-        if rest:
-            columns["rest"] = docs_table["rest"].take(pa.array(order))
-        return pa.table([x.cast(f.type) if isinstance(x := columns[f.name], pa.ChunkedArray) else pa.array(x, f.type) for f in final], names=names)
+        out = {"id": docs_table["id"].take(pa.array(order)), "text": kept_texts, "n_words": total, "n_removed": removed, "kept_sha256": digest}
+        if carries:
+            out["rest"] = docs_table["rest"].take(pa.array(order))
+        return pa.table([x.cast(f.type) if isinstance(x := out[f.name], pa.ChunkedArray) else pa.array(x, f.type) for f in final], names=names)
 
+    carries = bool(rest)
     if digests:
         final = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
         ddl = "id bigint, n_words bigint, n_removed bigint, kept_sha256 string"
