@@ -44,32 +44,29 @@ PRIOR = np.array([3.0, 1.0, 0.3, 0.1, 1.5, 0.5, 0.5, 0.0, -3.0])
 
 
 class LevenshteinAutomaton:
-    """States of the automaton that accepts what is within ``most`` edits of a word: (position, edits) pairs, sparse."""
+    """The automaton that accepts what is within ``most`` edits of a word; a state has, for each number of edits, a bit for each position."""
 
     def __init__(self, word: str, most: int):
-        self.word, self.most = word, most
-
-    def start(self) -> list[tuple[int, int]]:
-        return [(i, i) for i in range(min(self.most, len(self.word)) + 1)]
-
-    def step(self, state: list[tuple[int, int]], char: str) -> list[tuple[int, int]]:
-        word, most, out = self.word, self.most, []
-        if state and state[0][0] == 0 and state[0][1] < most:
-            out.append((0, state[0][1] + 1))
-        for j, (i, edits) in enumerate(state):
-            if i == len(word):
-                break
-            cost = edits + (word[i] != char)
-            if out and out[-1][0] == i:
-                cost = min(cost, out[-1][1] + 1)
-            if j + 1 < len(state) and state[j + 1][0] == i + 1:
-                cost = min(cost, state[j + 1][1] + 1)
-            if cost <= most:
-                out.append((i + 1, cost))
-        return out
-
-    def distance(self, state: list[tuple[int, int]]) -> int | None:
-        return state[-1][1] if state and state[-1][0] == len(self.word) else None
+        self.end, self.most, self.at = 1 << len(word), most, {}
+        for i, c in enumerate(word):
+            self.at[c] = self.at.get(c, 0) | 1 << i
+        self.all = (self.end << 1) - 1
+
+    def start(self) -> tuple[int, ...]:
+        return tuple(((1 << e + 1) - 1) & self.all for e in range(self.most + 1))
+
+    def step(self, state: tuple[int, ...], char: str) -> tuple[int, ...] | None:
+        """The next state, or None if nothing can be accepted any more."""
+        same, out, old, new = self.at.get(char, 0), [], 0, 0
+        for row in state:
+            # the word's character, another one in its place, one too many; one left out
+            new = ((row & same) << 1 | old << 1 | old | new << 1) & self.all
+            old = row
+            out.append(new)
+        return tuple(out) if new else None
+
+    def distance(self, state: tuple[int, ...]) -> int | None:
+        return next((e for e, row in enumerate(state) if row & self.end), None)
 
 
 class Trie:
@@ -127,9 +124,15 @@ class Matcher:
         self.model = model
         long = [w for w in model.words if edits_for(len(w))]
         self.trie = Trie(long)
-        # an edit leaves one half of a word as it is, two edits one third: words that share none of these pieces are no candidates
-        self.pieces: set[str] = {w[a:b] for w in long for n in [edits_for(len(w) + edits_for(len(w))) + 1] for i in range(n) for a, b in [(i * len(w) // n, (i + 1) * len(w) // n)]}
+        # an edit leaves one half of a word as it is, two edits one third, near its place: words that share none of these pieces so are no candidates
+        self.pieces: dict[str, list[tuple[int, int]]] = {}
+        for w in long:
+            n = edits_for(len(w) + edits_for(len(w))) + 1
+            for i in range(n):
+                a, b = i * len(w) // n, (i + 1) * len(w) // n
+                self.pieces.setdefault(w[a:b], []).append((a, len(w)))
         self.piece = re.compile("|".join(map(re.escape, sorted(self.pieces))) or r"(?!)").search
+        self.piece_lengths = sorted({len(p) for p in self.pieces})
         self.known: set[str] = set()
         self.hits: dict[str, tuple[float, bool]] = {}
         lengths = sorted({len(s) for s in model.stems})
@@ -146,10 +149,22 @@ class Matcher:
             if len(word) >= n and word[:n] in self.model.stems:
                 return self.model.stems[word[:n]], True
         most = edits_for(len(word))
-        if most and len(word) <= 40 and self.piece(word) and (found := self.trie.nearest(word, most)) and found[1] <= edits_for(len(found[0])):
+        if most and len(word) <= 40 and self.may_be_near(word, most) and (found := self.trie.nearest(word, most)) and found[1] <= edits_for(len(found[0])):
             return self.model.words[found[0]] * (1 - 0.25 * found[1]), False
         return None
 
+    def may_be_near(self, word: str, most: int) -> bool:
+        """Whether a piece of some lexicon word of fitting length stands in ``word`` where that many edits can have moved it."""
+        if not self.piece(word):
+            return False
+        n = len(word)
+        for size in self.piece_lengths:
+            for i in range(n - size + 1):
+                for at, length in self.pieces.get(word[i : i + size], ()):
+                    if -most <= i - at <= most and -most <= n - length <= most:
+                        return True
+        return False
+
     def features(self, text: str) -> list[float]:
         chunks = text.split()
         distinct = set(chunks)
