@@ -43,7 +43,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (binary, little-endian unsigned 32-bit), their number, and digests of ids and decoded text."""
     ship(spark)
-    return bpe.encode_documents(docs, vocabulary()).drop("decoded")
+    return bpe.encode_documents(docs, vocabulary(), outputs=("ids",))
 
 
 STAGES = [

@@ -37,6 +37,8 @@ CACHE_ENTRIES = 250_000
 NO_RANK = 1 << 30
 #: Bytes of text that are looked up together.
 BLOCK = 2_000_000
+#: Rows of a batch of results.
+ROWS = 500
 _SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _NEWER = (
     r"\u0558-\u0558\u058b-\u058c\u088f-\u088f\u0c5c-\u0c5c\u0cdc-\u0cdc\u1c89-\u1c89"
@@ -276,26 +278,27 @@ def load(path: str) -> WordBPE:
     return _loaded[path]
 
 
-def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep_outputs: bool = True) -> DataFrame:
-    """One row per input row: ``id_col``, ``n_tokens``, ``ids`` (binary, little-endian uint32) and ``decoded``, with SHA-256 of both.
+def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", outputs: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
+    """One row per input row: ``id_col``, ``n_tokens``, SHA-256 of the ids (as little-endian uint32) and of the decoded text, and the ``outputs`` themselves.
 
-    ``keep_outputs=False`` leaves out ``ids`` and ``decoded``.  Nothing is shuffled; memory is bounded by an Arrow batch.
+    Nothing is shuffled; memory is bounded by ``ROWS`` rows and their results.
     """
     out = [(id_col, pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
-    if keep_outputs:
-        out += [("ids", pa.binary()), ("decoded", pa.string())]
+    out += [(n, {"ids": pa.binary(), "decoded": pa.string()}[n]) for n in outputs]
     schema = pa.schema(out)
 
     def run(batches):
         bpe = load(path)
         for batch in batches:
-            cols: list[list] = [[] for _ in range(len(out) - 1)]
-            for ids in bpe.encode_batch([x or "" for x in batch.column(1).to_pylist()]):
-                decoded = bpe.decode(ids)
-                row = [len(ids) // 4, sha256(ids).hexdigest(), sha256(decoded.encode()).hexdigest(), ids, decoded]
-                for col, x in zip(cols, row):
-                    col.append(x)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(c, f.type) for c, f in zip(cols, list(schema)[1:]))], schema=schema)
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                cols: list[list] = [[] for _ in range(len(out) - 1)]
+                for ids in bpe.encode_batch([x or "" for x in part.column(1).to_pylist()]):
+                    decoded = bpe.decode(ids)
+                    row = [len(ids) // 4, sha256(ids).hexdigest(), sha256(decoded.encode()).hexdigest(), *({"ids": ids, "decoded": decoded}[n] for n in outputs)]
+                    for col, x in zip(cols, row):
+                        col.append(x)
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), *(pa.array(c, f.type) for c, f in zip(cols, list(schema)[1:]))], schema=schema)
 
     kinds = {pa.int64(): "bigint", pa.string(): "string", pa.binary(): "binary"}
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, ", ".join(f"`{n}` {kinds[t]}" for n, t in out))

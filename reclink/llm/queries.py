@@ -75,7 +75,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from reclink.llm.bpe import encode_documents
 
-    return encode_documents(_table(spark, sf_dir, "documents"), vocabulary(), keep_outputs=False)
+    return encode_documents(_table(spark, sf_dir, "documents"), vocabulary(), outputs=())
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
