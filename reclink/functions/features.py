@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reclink.functions.text import let
+
 DATE, PRICE, STAR = r"\d+/\d+(?:/\d+)?", r"\$\d+(?:\.\d+)?", r"\d+(?:\.\d+)?\*"
 _LONG_MONTHS = "january february march april may june july august september october november december".split()
 _SHORT_MONTHS = "jan feb apr jun jul aug sep sept oct nov dec".split()
@@ -99,19 +101,25 @@ def lexicon_features(tokens: DataFrame, lexicon: DataFrame, name: str, lower: bo
 
 def conjunctions(features: Column, offsets: tuple[int, ...] = OFFSETS) -> Column:
     """Features of each token and, marked by the offset, of its neighbours (arrays of arrays)."""
-    def near(i: Column, k: int) -> Column:
-        own = F.when(i + k >= 0, F.get(features, i + k))
-        return F.transform(F.coalesce(own, F.array().cast("array<string>")), lambda f: F.concat(f, F.lit(f"@{k}")))
+    def joined(all_: Column) -> Column:
+        def near(i: Column, k: int) -> Column:
+            own = F.when(i + k >= 0, F.get(all_, i + k))
+            return F.transform(F.coalesce(own, F.array().cast("array<string>")), lambda f: F.concat(f, F.lit(f"@{k}")))
+
+        return F.transform(all_, lambda own, i: F.concat(own, *[near(i, k) for k in offsets]))
 
-    return F.transform(features, lambda own, i: F.concat(own, *[near(i, k) for k in offsets]))
+    return let(joined, features)
 
 
 def possible_ends(words: Column) -> Column:
     """For each j from 0 to the number of words: may a segment end before word j?"""
-    def at(j: Column) -> Column:
-        before, after = F.get(words, j - 1), F.get(words, j)
-        border = before.rlike(r"[^A-Za-z0-9\-]\z") | after.rlike(r"\A[^A-Za-z0-9\-]") | full_match(F.lower(before), BORDER_WORDS) | full_match(F.lower(after), BORDER_WORDS)
-        switch = (before.rlike(r"[A-Za-z]\z") & after.rlike(r"\A[0-9]")) | (before.rlike(r"[0-9]\z") & after.rlike(r"\A[A-Za-z]"))
-        return F.when(j == 0, F.lit(False)).when(j == F.size(words), F.lit(True)).otherwise(border | switch)
+    def ends(w: Column) -> Column:
+        def at(j: Column) -> Column:
+            before, after = F.get(w, j - 1), F.get(w, j)
+            border = before.rlike(r"[^A-Za-z0-9\-]\z") | after.rlike(r"\A[^A-Za-z0-9\-]") | full_match(F.lower(before), BORDER_WORDS) | full_match(F.lower(after), BORDER_WORDS)
+            switch = (before.rlike(r"[A-Za-z]\z") & after.rlike(r"\A[0-9]")) | (before.rlike(r"[0-9]\z") & after.rlike(r"\A[A-Za-z]"))
+            return F.when(j == 0, F.lit(False)).when(j == F.size(w), F.lit(True)).otherwise(border | switch)
+
+        return F.transform(F.sequence(F.lit(0), F.size(w)), at)
 
-    return F.transform(F.sequence(F.lit(0), F.size(words)), at)
+    return let(ends, words)

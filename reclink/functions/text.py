@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,6 +25,12 @@ CITATION_RULES = [
 ]
 
 
+def let(body: Callable[..., Column], *values: Column) -> Column:
+    """``body`` of values that are worked out once, however often its inner functions use them."""
+    bound = F.struct(*[v.alias(f"v{i}") for i, v in enumerate(values)])
+    return F.get(F.transform(F.array(bound), lambda x: body(*[x[f"v{i}"] for i in range(len(values))])), F.lit(0))
+
+
 def words(text: Column) -> Column:
     """Words between ASCII white space."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
@@ -61,7 +69,7 @@ def normalise_citation(sgml: Column) -> Column:
 
 def to_bio(labels: Column) -> Column:
     """B-, I- and O marks of a label for each token."""
-    return F.transform(labels, lambda x, i: F.when(x == "O", x).otherwise(F.concat(F.when((i > 0) & (F.get(labels, i - 1) == x), "I-").otherwise("B-"), x)))
+    return let(lambda own: F.transform(own, lambda x, i: F.when(x == "O", x).otherwise(F.concat(F.when((i > 0) & (F.get(own, i - 1) == x), "I-").otherwise("B-"), x))), labels)
 
 
 def bare(bio: Column) -> Column:
@@ -71,11 +79,13 @@ def bare(bio: Column) -> Column:
 
 def from_bio(bio: Column) -> Column:
     """Segments (begin, end, label) of BIO marks; each O is a segment; an I- of another label than before starts one."""
-    starts = F.filter(
-        F.transform(bio, lambda x, i: F.struct(i.alias("i"), ((x == "O") | x.startswith("B-") | (i == 0) | ~bare(F.get(bio, i - 1)).eqNullSafe(bare(x))).alias("s"), bare(x).alias("l"))),
-        lambda s: s["s"],
-    )
-    return F.transform(starts, lambda s, i: F.struct(s["i"].alias("begin"), F.coalesce(F.get(starts, i + 1)["i"], F.size(bio)).alias("end"), s["l"].alias("label")))
+    before = F.concat(F.array(F.lit(None).cast("string")), F.slice(bio, 1, F.greatest(F.size(bio) - 1, F.lit(0))))
+    marks = F.zip_with(bio, before, lambda x, p: F.struct(bare(x).alias("l"), ((x == "O") | x.startswith("B-") | p.isNull() | ~bare(p).eqNullSafe(bare(x))).alias("s")))
+    starts = F.filter(F.transform(marks, lambda m, i: F.when(m["s"], F.struct(i.alias("i"), m["l"].alias("l")))), lambda m: m.isNotNull())
+    ends = F.concat(F.transform(F.slice(starts, 2, 1 << 30), lambda m: m["i"]), F.array(F.size(bio)))
+    # without marks there is an end too many
+    paired = F.zip_with(starts, ends, lambda m, e: F.when(m.isNotNull(), F.struct(m["i"].alias("begin"), e.alias("end"), m["l"].alias("label"))))
+    return F.filter(paired, lambda s: s.isNotNull())
 
 
 def phrase_string(phrase: Column) -> Column:

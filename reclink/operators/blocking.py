@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reclink.functions.text import from_bio, phrase_slice
+from reclink.functions.text import from_bio, let, phrase_slice
 from reclink.operators.fields import Field
 
 
 def spans(n: Column, longest: int, ends: Column | None = None) -> Column:
     """All (begin, end) of up to ``longest`` words, whose end is possible."""
-    def from_(b: Column) -> Column:
-        out = F.transform(F.sequence(b + 1, F.least(b + longest, n)), lambda e: F.struct(b.alias("begin"), e.alias("end")))
-        return out if ends is None else F.filter(out, lambda s: F.get(ends, s["end"]))
+    def all_of(size: Column, may: Column | None = None) -> Column:
+        def from_(b: Column) -> Column:
+            out = F.transform(F.sequence(b + 1, F.least(b + longest, size)), lambda e: F.struct(b.alias("begin"), e.alias("end")))
+            return out if may is None else F.filter(out, lambda s: F.get(may, s["end"]))
 
-    return F.when(n > 0, F.flatten(F.transform(F.sequence(F.lit(0), n - 1), from_))).otherwise(F.array().cast("array<struct<begin:int,end:int>>"))
+        return F.when(size > 0, F.flatten(F.transform(F.sequence(F.lit(0), size - 1), from_))).otherwise(F.array().cast("array<struct<begin:int,end:int>>"))
+
+    return all_of(n) if ends is None else let(all_of, n, ends)
 
 
 def phrases(texts: DataFrame, field: Field, longest: int, gold: bool = False) -> DataFrame:
@@ -51,6 +54,33 @@ def any_key(by_field: DataFrame) -> DataFrame:
     return by_field.select("mention_id", "record_id").distinct()
 
 
+def conjunctive(texts: DataFrame, records: DataFrame, values: DataFrame, fields: list[Field], lengths: dict[str, int], gold: bool = False) -> DataFrame:
+    """(mention_id, record_id) that match on every key field, without the pairs that match on a common field alone.
+
+    Pairs come from the field that has the fewest, by one count of its keys on both sides; on each other field the pairs that
+    are left are tested for a shared key.
+    """
+    keyed = [f for f in fields if f.is_key and f.hash != "none"]
+    if not keyed:
+        raise ValueError("blocking needs a key field")
+    of_texts = {f.name: phrases(texts, f, lengths[f.name], gold).select("mention_id", F.explode("hash_keys").alias("hash_key")).distinct() for f in keyed}
+    own = values.join(records.select(F.col("mention_id").alias("record_id")).distinct(), "record_id", "left_semi")
+    of_records = {f.name: own.where(F.col("field") == f.name).select("record_id", F.explode("hash_keys").alias("hash_key")).distinct() for f in keyed}
+
+    def cost(name: str) -> int:
+        left = of_texts[name].groupBy("hash_key").agg(F.count(F.lit(1)).alias("a"))
+        right = of_records[name].groupBy("hash_key").agg(F.count(F.lit(1)).alias("b"))
+        return left.join(right, "hash_key").agg(F.coalesce(F.sum(F.col("a") * F.col("b")), F.lit(0)).alias("n")).first()["n"]
+
+    order = sorted(of_texts, key=cost) if len(keyed) > 1 else list(of_texts)
+    pairs = of_texts[order[0]].join(of_records[order[0]], "hash_key").select("mention_id", "record_id").distinct()
+    for name in order[1:]:
+        left = of_texts[name].groupBy("mention_id").agg(F.collect_set("hash_key").alias("text_keys"))
+        right = of_records[name].groupBy("record_id").agg(F.collect_set("hash_key").alias("record_keys"))
+        pairs = pairs.join(left, "mention_id").join(right, "record_id").where(F.arrays_overlap("text_keys", "record_keys")).select("mention_id", "record_id")
+    return pairs
+
+
 def candidate_report(texts: DataFrame, by_field: DataFrame, most: int = 100) -> DataFrame:
     """Words of each text with the number of matches of each key field and at most ``most`` of them."""
     found = by_field.groupBy("mention_id", "field").agg(F.count(F.lit(1)).alias("n_matches"), F.slice(F.sort_array(F.collect_list("record_id")), 1, most).alias("record_ids"))
@@ -58,13 +88,22 @@ def candidate_report(texts: DataFrame, by_field: DataFrame, most: int = 100) ->
 
 
 def blocking_quality(texts: DataFrame, candidates: DataFrame, clusters: DataFrame) -> DataFrame:
-    """How many texts have candidates, and the true one; literal ratios divide by all texts as integers, corrected ones by texts with a cluster."""
+    """One row: matches of texts with a cluster and without, and those whose record has the text's cluster.
+
+    Literal ratios are whole numbers over all texts; corrected ones are over the texts that they are about.
+    """
     truth = texts.select("mention_id", "true_cluster")
     hits = candidates.join(clusters.select(F.col("mention_id").alias("record_id"), F.col("true_cluster").alias("record_cluster")), "record_id").join(truth, "mention_id")
-    per = hits.groupBy("mention_id").agg(F.count(F.lit(1)).alias("n"), F.max((F.col("true_cluster") == F.col("record_cluster")).cast("int")).alias("hit"))
+    per = hits.groupBy("mention_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("true_cluster") == F.col("record_cluster")).alias("right"))
     joined = truth.join(per, "mention_id", "left")
+    clustered = F.col("true_cluster").isNotNull()
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
     out = joined.agg(
-        F.count(F.lit(1)).alias("n_texts"), F.count("true_cluster").alias("n_with_cluster"), F.sum(F.coalesce("n", F.lit(0))).alias("n_matches"),
-        F.count("n").alias("n_with_match"), F.sum(F.coalesce("hit", F.lit(0))).cast("bigint").alias("n_hits"),
+        F.count(F.lit(1)).alias("n_texts"), F.count("true_cluster").alias("n_with_cluster"),
+        total(F.when(clustered, F.col("n"))).alias("n_matches_clustered"), total(F.when(~clustered, F.col("n"))).alias("n_matches_single"), total("right").alias("n_right"),
+        F.count_if(F.col("right") > 0).alias("n_found"),
     )
-    return out.withColumns({"matches_per_text": F.expr("n_matches div nullif(n_texts, 0)"), "recall_literal": F.expr("n_hits div nullif(n_texts, 0)"), "recall": F.expr("try_divide(n_hits, n_with_cluster)")})
+    return out.withColumns({
+        "matches_per_text": F.expr("(n_matches_clustered + n_matches_single) div nullif(n_texts, 0)"), "matches_per_clustered_literal": F.expr("n_matches_clustered div nullif(n_texts, 0)"),
+        "matches_per_clustered": F.expr("try_divide(cast(n_matches_clustered as double), n_with_cluster)"), "recall": F.expr("try_divide(cast(n_found as double), n_with_cluster)"),
+    })

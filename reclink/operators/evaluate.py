@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reclink.functions.text import valid_word
+from reclink.functions.text import let, valid_word
 
 SEGMENTS = "array<struct<begin:int,end:int,label:string>>"
 _ONE_MARK = r"\A[,.;:?!()\"\-'`]+\z"
@@ -17,17 +17,27 @@ def all_punctuation(word: Column) -> Column:
 
 def adjusted(words: Column, segments: Column) -> Column:
     """Segments without punctuation tokens at their ends, which become O; a segment of punctuation alone is one O segment; O segments stay."""
+    o = F.lit("O")
+
+    def one(b: Column, e: Column, label: Column) -> Column:
+        return F.struct(b.cast("int").alias("begin"), e.cast("int").alias("end"), label.alias("label"))
+
+    def edge(b: Column, e: Column) -> Column:
+        at = F.when(b < e, F.sequence(b, e - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: one(i, i + 1, o))
+
     def parts(s: Column) -> Column:
-        at = F.sequence(s["begin"], s["end"] - 1)
-        real = F.filter(at, lambda i: valid_word(F.get(words, i)))
-        first, last = F.get(real, F.lit(0)), F.element_at(real, -1)
-        one = lambda b, e, label: F.struct(b.cast("int").alias("begin"), e.cast("int").alias("end"), label.alias("label"))
-        o = F.lit("O")
-        edges = lambda xs: F.transform(xs, lambda i: one(i, i + 1, o))
-        kept = F.concat(edges(F.filter(at, lambda i: i < first)), F.array(one(first, last + 1, s["label"])), edges(F.filter(at, lambda i: i > last)))
-        return F.when(s["label"] == "O", F.array(one(s["begin"], s["end"], s["label"]))).when(F.size(real) == 0, F.array(one(s["begin"], s["end"], o))).otherwise(kept)
+        kept = F.concat(edge(s["b"], s["first"]), F.array(one(s["first"], s["last"] + 1, s["x"])), edge(s["last"] + 1, s["e"]))
+        return F.when(s["x"] == "O", F.array(one(s["b"], s["e"], s["x"]))).when(s["first"].isNull(), F.array(one(s["b"], s["e"], o))).otherwise(kept)
+
+    def all_of(w: Column, found: Column) -> Column:
+        def bounds(s: Column) -> Column:
+            real = F.filter(F.sequence(s["begin"], s["end"] - 1), lambda i: valid_word(F.get(w, i)))
+            return F.struct(s["begin"].alias("b"), s["end"].alias("e"), s["label"].alias("x"), F.array_min(real).alias("first"), F.array_max(real).alias("last"))
+
+        return F.flatten(F.transform(F.transform(found, bounds), parts))
 
-    return F.flatten(F.transform(segments, parts))
+    return let(all_of, words, segments)
 
 
 def formatted(segments: Column) -> Column:
@@ -56,7 +66,7 @@ def label_at(segments: Column, n: Column) -> Column:
 
 def valid_segments(segments: Column) -> Column:
     """Whether segments are in order, not empty, and don't overlap."""
-    return F.forall(F.transform(segments, lambda s, i: (s["begin"] < s["end"]) & ((i == 0) | (F.get(segments, i - 1)["end"] <= s["begin"]))), lambda x: x)
+    return let(lambda own: F.forall(F.transform(own, lambda s, i: (s["begin"] < s["end"]) & ((i == 0) | (F.get(own, i - 1)["end"] <= s["begin"]))), lambda x: x), segments)
 
 
 def token_scores(rows: DataFrame) -> DataFrame:

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from reclink.config import MAX_INT
 from reclink.functions import text as X
 
+#: Ranges that ``positions`` numbers apart.
+MOST_RANGES = 256
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A stored table; only the columns and rows that a query needs are read."""
@@ -49,10 +52,14 @@ def random_order(mentions: DataFrame, seed: int, most: int = MAX_INT) -> DataFra
     return ordered if most >= MAX_INT else ordered.limit(most)
 
 
-def with_random_keys(mentions: DataFrame, seed: int, n: int) -> DataFrame:
-    """A column rndkey: a number under ``n`` from the id's hash; keys may collide."""
+def with_random_keys(mentions: DataFrame, seed: int, n: int, most: int = MAX_INT) -> DataFrame:
+    """A column rndkey: a number under ``n`` from the id's hash, for the first ``most`` mentions by id, and the largest int beyond; keys may collide."""
     digits = F.conv(F.substring(shuffle_key(F.col("mention_id"), seed), 1, 8), 16, 10).cast("bigint")
-    return mentions.withColumn("rndkey", (digits % n).cast("int"))
+    key = (digits % n).cast("int")
+    if most >= MAX_INT:
+        return mentions.withColumn("rndkey", key)
+    placed = positions(mentions, "mention_id")
+    return placed.withColumn("rndkey", F.when(F.col("position") <= most, key).otherwise(MAX_INT)).drop("position")
 
 
 def positions(rows: DataFrame, order: str, within: str | None = None) -> DataFrame:
@@ -64,21 +71,22 @@ def positions(rows: DataFrame, order: str, within: str | None = None) -> DataFra
     if within:
         return rows.withColumn("position", F.row_number().over(W.partitionBy(within).orderBy(order)))
     spark = rows.sparkSession
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = rows.agg(F.expr(f"percentile_approx({order}, array({', '.join(str(i / n) for i in range(1, n))}, 1.0), 10000)").alias("c")).first()["c"] or []
+    n = min(MOST_RANGES, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    number = F.col(order)
+    if dict(rows.dtypes)[order] == "string":
+        # the first 7 bytes as a number keep the order; ties are in one range
+        number = F.conv(F.rpad(F.substring(F.hex(F.encode(order, "utf-8")), 1, 14), 14, "0"), 16, 10).cast("bigint")
+    keyed = rows.withColumn("cut__", number)
+    cuts = keyed.agg(F.percentile_approx("cut__", [i / n for i in range(1, n)] + [1.0], 10_000).alias("c")).first()["c"] or []
     cuts = sorted(set(cuts))[:-1]
-    part = F.lit(0)
-    for i, cut in enumerate(cuts):
-        part = F.when(F.col(order) > F.lit(cut), i + 1).otherwise(part)
-    ranged = rows.withColumn("range__", part.cast("int"))
+    ranged = keyed.withColumn("range__", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("cut__"))) if cuts else F.lit(0)).withColumn("range__", F.coalesce("range__", F.lit(0)))
     size = {r["range__"]: r["count"] for r in ranged.groupBy("range__").count().collect()}
-    before, so_far = {}, 0
-    for k in sorted(size):
-        before[k], so_far = so_far, so_far + size[k]
-    start = F.lit(0)
-    for k, v in before.items():
-        start = F.when(F.col("range__") == k, F.lit(v)).otherwise(start)
-    return ranged.withColumn("position", (F.row_number().over(W.partitionBy("range__").orderBy(order)) + start).cast("bigint")).drop("range__")
+    before, so_far = [], 0
+    for k in range(len(cuts) + 1):
+        before.append(so_far)
+        so_far += size.get(k, 0)
+    start = F.get(F.array(*[F.lit(v).cast("bigint") for v in before]), F.col("range__"))
+    return ranged.withColumn("position", F.row_number().over(W.partitionBy("range__").orderBy(order)) + start).drop("range__", "cut__")
 
 
 def batches(rows: DataFrame, order: str, size: int) -> DataFrame:
@@ -116,7 +124,7 @@ def parse_markup(raw: DataFrame, id_col: str, text_col: str, lexer: str = X.HOTE
 def collect_tokens(tokens: DataFrame, id_col: str) -> DataFrame:
     """One row per mention: words and labels (BIO) in order."""
     rows = tokens.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("position", "word", "bio"))).alias("t"))
-    return rows.select(id_col, F.col("t.word").alias("words"), F.col("t.bio").alias("labels"))
+    return rows.select(id_col, F.transform("t", lambda x: x["word"]).alias("words"), F.transform("t", lambda x: x["bio"]).alias("labels"))
 
 
 def labelled_citations(spark: SparkSession, path: str) -> DataFrame:
