@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from reclink.llm.words import exact
 from reclink.session import written
 
 ENTROPY, MAX_REPEATS, SEED, BLOCKS_DIGITS, LEVELS, ROUNDS = 0.95, 4.0, 17, 3, 4, 10
@@ -75,7 +76,7 @@ def exponent(sources: DataFrame, entropy: float = ENTROPY, max_repeats: float =
 def mix(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", entropy: float = ENTROPY, max_repeats: float = MAX_REPEATS, budget_factor: float = 1.0, seed: int = SEED) -> DataFrame:
     """``docs`` with mix_tokens, mix_weight (of the source) and mix_copies (times that the document is in the mixture, also 0)."""
     extra = ("mix_tokens", "mix_weight", "mix_copies")
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in extra])
+    docs = docs.select(*exact([c for c in docs.columns if c not in extra]))
     key = F.md5(F.concat(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null")), F.lit(f":{seed}")).cast("binary"))
     keyed = docs.withColumns({"mix_tokens": n_words(F.col(f"`{text_col}`")), "mix__s": F.coalesce(F.concat(F.lit("="), F.col(f"`{source_col}`").cast("string")), F.lit("null")), "mix__h": key})
     keyed = keyed.withColumn("mix__b", F.substring("mix__h", 1, BLOCKS_DIGITS))
@@ -91,13 +92,14 @@ def mix(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", tex
     whole = F.when(F.col("source_tokens") > 0, F.floor(F.col("budget") / F.col("source_tokens"))).otherwise(0)
     before = F.sum("tokens").over(W.partitionBy("mix__s").orderBy("mix__b").rowsBetween(W.unboundedPreceding, -1))
     plan = written(blocks.withColumn("before", F.coalesce(before, F.lit(0))).join(weights, "mix__s").withColumn("whole", whole.cast("bigint")).withColumn("rest", F.col("budget") - F.col("whole") * F.col("source_tokens")), "mixing-plan")
-    joined = keyed.join(plan.select("mix__s", "mix__b", "mix_weight", "before", "whole", "rest"), ["mix__s", "mix__b"])
+    own = [F.col(c).alias(f"mix__{c}") for c in ("before", "whole", "rest")]
+    joined = keyed.join(plan.select("mix__s", "mix__b", "mix_weight", *own), ["mix__s", "mix__b"])
     so_far = F.sum("mix_tokens").over(W.partitionBy("mix__s", "mix__b").orderBy("mix__h", "mix_tokens").rowsBetween(W.unboundedPreceding, 0))
-    more = (F.col("before") + so_far <= F.col("rest")) & (F.col("mix_weight") > 0)
-    return joined.withColumn("mix_copies", (F.col("whole") + more.cast("int")).cast("bigint")).select(*docs.columns, *extra)
+    more = (F.col("mix__before") + so_far <= F.col("mix__rest")) & (F.col("mix_weight") > 0)
+    return joined.withColumn("mix_copies", (F.col("mix__whole") + more.cast("int")).cast("bigint")).select(*exact(docs.columns), *extra)
 
 
 def mixture(docs: DataFrame, **options) -> DataFrame:
     """The mixture itself, in the columns of ``docs``: each document as many times as it was chosen."""
     mixed = mix(docs, **options).where("mix_copies > 0")
-    return mixed.withColumn("mix_copies", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("mix_copies")))).select(*docs.columns)
+    return mixed.withColumn("mix_copies", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("mix_copies")))).select(*exact(docs.columns))

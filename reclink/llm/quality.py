@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from reclink.llm.logistic import fit as fit_weights
 from reclink.llm.logistic import sigmoid
 from reclink.llm.toxicity import held_out
+from reclink.llm.words import exact
+from reclink.session import written
 
 TRAIN_DOCS, SITE_WEIGHT, BROADCAST_PATHS, THRESHOLD = 12_000, 0.5, 100_000, 0.5
 _KINDS = np.zeros((9, 256))
@@ -104,11 +106,9 @@ def assess(docs: DataFrame, model: Classifier, host: Column, path: Column, text_
             yield pd.Series(model.evidence(np.array([features(x or "") for x in series], float).reshape(-1, N_FEATURES)))
 
     extra = ("q_evidence", "q_host", "q_path", "q_score", "q_keep")
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in extra])
+    docs = docs.select(*exact([c for c in docs.columns if c not in extra]))
     seen = docs.withColumns({"q__h": host, "q__p": path}).withColumn("q_evidence", evidence(F.col(f"`{text_col}`")))
     paths = seen.groupBy("q__h", "q__p").agg(F.sum("q_evidence").alias("good"), F.count(F.lit(1)).alias("n"))
-    from reclink.session import written
-
     paths = written(paths, "quality-paths")
     hosts = paths.groupBy("q__h").agg(F.sum("good").alias("host_good"), F.sum("n").alias("host_n"))
     total = paths.agg(F.sum("good").alias("good"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("paths")).first()
@@ -118,11 +118,11 @@ def assess(docs: DataFrame, model: Classifier, host: Column, path: Column, text_
     between = (spread["s"] or 0.0) / max(1, n) - share * (1 - share) * (spread["h"] or 0) / max(1, n)
     k = min(1e6, max(1.0, share * (1 - share) / between - 1)) if between > 0 else 1e6
     prior = hosts.select(F.col("q__h").alias("h"), ((F.col("host_good") + k * share) / (F.col("host_n") + k)).alias("q_host"))
-    shrunk = paths.join(prior, F.col("q__h").eqNullSafe(F.col("h"))).select(F.col("q__h").alias("h"), F.col("q__p").alias("p"), "good", "n", "q_host")
+    shrunk = paths.join(prior, F.col("q__h").eqNullSafe(F.col("h"))).select(F.col("q__h").alias("q__h2"), F.col("q__p").alias("q__p2"), F.col("good").alias("q__good"), F.col("n").alias("q__n"), "q_host")
     if total["paths"] <= BROADCAST_PATHS:
         shrunk = F.broadcast(shrunk)
-    joined = seen.join(shrunk, F.col("q__h").eqNullSafe(F.col("h")) & F.col("q__p").eqNullSafe(F.col("p")))
-    q_path = (F.col("good") - F.col("q_evidence") + k * F.col("q_host")) / (F.col("n") - 1 + k)
+    joined = seen.join(shrunk, F.col("q__h").eqNullSafe(F.col("q__h2")) & F.col("q__p").eqNullSafe(F.col("q__p2")))
+    q_path = (F.col("q__good") - F.col("q_evidence") + k * F.col("q_host")) / (F.col("q__n") - 1 + k)
     logit = _logit(F.col("q_evidence")) + SITE_WEIGHT * (_logit(q_path) - _logit(F.lit(float(share))))
     scored = joined.withColumns({"q_path": q_path, "q_score": 1 / (1 + F.exp(-logit))})
-    return scored.withColumn("q_keep", F.col("q_score") >= THRESHOLD).select(*docs.columns, *extra)
+    return scored.withColumn("q_keep", F.col("q_score") >= THRESHOLD).select(*exact(docs.columns), *extra)

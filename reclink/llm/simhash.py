@@ -14,6 +14,11 @@ only what no earlier one has reached, so a dense group costs far less than its s
 first split by the same pigeonhole argument over all bits if that helps.  Links within a stretch of keys are folded to a
 spanning forest before they leave the task.
 
+Similar documents (shingle sets of a Jaccard similarity of 0.8 or more) differ in 15 % of their signature bits, and within such
+a radius the pigeonhole argument asks for parts of 5 bits for each differing one: candidates in proportion to the square of
+the input.  ``similar_documents`` so probes parts of a signature of ``WORDS`` words at threshold 0, as wide and as many as
+cost least for a given recall, and verifies candidates on all bits.
+
 Defined cases: a null text is an empty one; texts without a word have fingerprint zero and link like any other; a text of
 fewer words than a shingle is one shingle; repeated rows have equal fingerprints; rows with a null id keep their
 fingerprint and have a null component; an empty table gives an empty result; extra columns are not read.
@@ -30,21 +35,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reclink.llm.components import components
-from reclink.llm.words import mixed
+from reclink.llm.words import exact, mixed
 from reclink.session import written
 
 BITS, RADIUS, SHINGLE = 64, 2, 3
 SAMPLE, RUN, LONG = 4_096, 2_048, 65_536
+#: Words of a signature of similar documents, and the share of pairs at the similarity itself that parts must bring together.
+WORDS, RECALL = 8, 0.95
+#: Standard deviations above the expected number of differing bits up to which pairs count as similar.
+MARGIN = 1.0
+#: Comparisons that cost as much as a row in a shuffle.
+ROW_COST = 400.0
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE, words_out: int = 1) -> tuple[list[int], int]:
-    """Majority, bit by bit, of the XXH64 (seed 42) of the word shingles of a text whose A-Z are lower-cased; and how many shingles there are.
+def fingerprint(text: bytes, shingle: int = SHINGLE, words_out: int = 1) -> list[int]:
+    """Majority, bit by bit, of the XXH64 (seed 42) of the word shingles of a text whose A-Z are lower-cased.
 
     With ``words_out`` over 1, further 64-bit words follow, from scrambled hashes.
     """
     words = text.lower().split()
     if not words:
-        return [0] * words_out, 0
+        return [0] * words_out
     joined = b" ".join(words)
     h = xxhash.xxh64_intdigest
     if len(words) <= shingle:
@@ -60,21 +71,21 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, words_out: int = 1) -> tupl
         for at in range(0, len(own), 1 << 15):
             total += np.unpackbits(own[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
         out.append(int.from_bytes(np.packbits(total * 2 > len(own), bitorder="little").tobytes(), "little"))
-    return out, len(hashes)
+    return out
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, words_out: int = 1) -> DataFrame:
-    """(id, fp, sig, n): the fingerprint of every row as a signed 64-bit integer, all its words as bytes, its shingles."""
+    """(id, fp, sig): the fingerprint of every row as a signed 64-bit integer, and all its words as bytes."""
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 1_000):
                 part = batch.slice(at, 1_000)
                 rows = [fingerprint((x.as_py() or "").encode(), shingle, words_out) for x in part.column(1)]
-                words = np.array([w for w, _ in rows], "<u8").reshape(len(rows), words_out)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(words[:, 0].copy().view(np.int64)), pa.array([w.tobytes() for w in words], pa.binary()), pa.array([n for _, n in rows], pa.int64())], names=["id", "fp", "sig", "n"])
+                words = np.array(rows, "<u8").reshape(len(rows), words_out)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(words[:, 0].copy().view(np.int64)), pa.array([w.tobytes() for w in words], pa.binary())], names=["id", "fp", "sig"])
 
-    return docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "id bigint, fp bigint, sig binary, n bigint")
+    return docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "id bigint, fp bigint, sig binary")
 
 
 def grouped_bits(sample: np.ndarray, sizes: list[int]) -> list[list[int]]:
@@ -244,24 +255,16 @@ def _bytes_of(column, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(-1, width)
 
 
-def links(distinct: DataFrame, plan: list[tuple[list[int], int]], radius: int = RADIUS, whole: int | None = None, size_step: float | None = None, width: int = 1) -> DataFrame:
-    """Links (u, v) that connect what is near; ``distinct`` has (fp, sig, n, id) with distinct signatures.
+def links(distinct: DataFrame, keys, radius: int = RADIUS, whole: int | None = None, width: int = 1) -> DataFrame:
+    """Links (u, v) that connect what is near; ``distinct`` has (fp, sig, id) with distinct signatures.
 
-    With ``size_step``, only rows whose shingle counts are within that factor meet: counts are cut into steps of it, and a row
-    goes to its own step and the next.
+    ``keys`` gives the keys of all rows for one probe after another, from their words.
     """
 
     def probe(batches):
         for batch in batches:
-            fps = np.asarray(batch.column(0)).view(np.uint64)
-            steps = [np.zeros(len(fps), np.uint64)]
-            if size_step:
-                own = np.floor(np.log(np.maximum(1, np.asarray(batch.column(2)))) / np.log(size_step)).astype(np.uint64)
-                steps = [own + np.uint64(1), own + np.uint64(2)]
-            for keys in _keys(fps, plan):
-                for step in steps:
-                    k = keys ^ mixed(step) if size_step else keys
-                    yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), batch.column(1), batch.column(3)], names=["k", "sig", "id"])
+            for k in keys(_bytes_of(batch.column(0), width)) if batch.num_rows else ():
+                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), batch.column(0), batch.column(1)], names=["k", "sig", "id"])
 
     def verify(batches):
         left_k, left_sig, left_id = np.zeros(0, np.int64), np.zeros((0, width), "<u8"), np.zeros(0, np.int64)
@@ -281,42 +284,77 @@ def links(distinct: DataFrame, plan: list[tuple[list[int], int]], radius: int =
         if len(left_k):
             yield found(left_k, left_sig, left_id)
 
-    probes = distinct.select("fp", "sig", "n", "id").mapInArrow(probe, "k bigint, sig binary, id bigint")
+    probes = distinct.select("sig", "id").mapInArrow(probe, "k bigint, sig binary, id bigint")
     return probes.repartition("k").sortWithinPartitions("k", "id").mapInArrow(verify, "u bigint, v bigint")
 
 
-def _components(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int, width: int = 1, whole: int | None = None, size_step: float | None = None) -> DataFrame:
-    """(id, fp, component_id) for every row."""
+def plan_parts(n: int, agree: float, recall: float = RECALL) -> tuple[int, int]:
+    """(bits of a part, parts): the cheapest that bring a pair whose bits agree with that probability together, by rows shuffled and comparisons."""
+    best = None
+    for bits in range(8, 41):
+        parts = int(np.ceil(np.log(1 - recall) / np.log1p(-(agree**bits))))
+        cost = ROW_COST * n * parts + parts * n * n / 2 / 2.0**bits
+        if best is None or cost < best[0]:
+            best = (cost, bits, parts)
+    return best[1], best[2]
+
+
+def part_keys(words: np.ndarray, bits: int, parts: int):
+    """For each part: the key of each row.  Parts share no bits until all have been used, then they are dealt anew."""
+    total = words.shape[1] * BITS
+    rng = np.random.default_rng([total, bits])
+    deck: list[int] = []
+    flat = np.unpackbits(np.ascontiguousarray(words).view(np.uint8), axis=1, bitorder="little")
+    for number in range(parts):
+        if len(deck) < bits:
+            deck = [int(i) for i in rng.permutation(total)]
+        part, deck = deck[:bits], deck[bits:]
+        key = flat[:, part].astype(np.uint64) @ (np.uint64(1) << np.arange(bits, dtype=np.uint64))
+        yield mixed(key ^ mixed(np.array([number + 1], np.uint64)))
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, shingle: int, width: int, linked) -> DataFrame:
+    """(id, fp, component_id) for every row; ``linked`` gives the links of distinct signatures (fp, sig, id), of which there are n."""
     prints = written(signatures(docs, id_col, text_col, shingle, width), "fingerprints")
-    distinct = written(prints.where("id is not null").groupBy("fp", "sig").agg(F.min("n").alias("n"), F.min("id").alias("id")), "distinct")
-    n = distinct.count()
-    sample = np.array([r["fp"] for r in distinct.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()], np.int64).view(np.uint64)
-    found = components(links(distinct, plan_search(sample, n, radius), radius, whole, size_step, width))
+    distinct = written(prints.where("id is not null").groupBy("fp", "sig").agg(F.min("id").alias("id")), "distinct")
+    found = components(linked(distinct, distinct.count()))
     of = distinct.join(found, distinct["id"] == found["node"], "left").select("sig", F.coalesce("component", "id").alias("component_id"))
     return prints.join(of, "sig", "left").select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """(id_col, fingerprint as 16 hex digits, component_id) for every row; components join fingerprints within ``radius`` bits."""
-    return _components(docs, id_col, text_col, shingle, radius).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
+    def linked(distinct: DataFrame, n: int) -> DataFrame:
+        sample = np.array([r["fp"] for r in distinct.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()], np.int64).view(np.uint64)
+        plan = plan_search(sample, n, radius)
+        return links(distinct, lambda words: _keys(words[:, 0], plan), radius)
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(id_col, component_id): components of documents whose word shingles are similar (Jaccard, as signatures of 256 bits show it).
+    return _components(docs, id_col, text_col, shingle, 1, linked).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, recall: float = RECALL) -> DataFrame:
+    """(id_col, component_id): components of documents whose word shingles are similar (Jaccard, as signatures of 512 bits show it).
 
     Sets of equal size and Jaccard j have a cosine of 2j / (1 + j), and a bit of their signatures differs with the angle's share
-    of a half turn: 39 of 256 bits at 0.8.  Candidates come from the first 64 bits, within the expected number of differing
-    bits there and a margin of one standard deviation, among documents whose shingle counts are within the similarity.
+    of a half turn: 78 of 512 bits at 0.8, give or take 8.  Parts bring at least ``recall`` of the pairs at that similarity together, and more
+    of those above it.
     """
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    width = 4
-    whole = int(np.ceil(width * BITS * share))
-    radius = int(np.floor(BITS * share + np.sqrt(BITS * share * (1 - share))))
-    return _components(docs, id_col, text_col, shingle, radius, width, whole, 1 / similarity).select(F.col("id").alias(id_col), "component_id")
+    spread = np.sqrt(share * (1 - share))
+    whole = int(np.ceil(WORDS * BITS * share + MARGIN * spread * np.sqrt(WORDS * BITS)))
+    # the first word alone turns most other pairs away: four standard deviations
+    first = int(np.ceil(BITS * share + 4 * spread * np.sqrt(BITS)))
+
+    def linked(distinct: DataFrame, n: int) -> DataFrame:
+        bits, parts = plan_parts(max(n, 1), 1 - share, recall)
+        return links(distinct, lambda words: part_keys(words, bits, parts), first, whole, WORDS)
+
+    return _components(docs, id_col, text_col, shingle, WORDS, linked).select(F.col("id").alias(id_col), "component_id")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one document, that of the smallest id, of each group of similar ones; rows with a null id all stay, of rows that repeat an id one stays."""
     gone = similar_documents(docs, id_col, text_col, shingle, similarity).where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
     kept = docs.join(gone, id_col, "left_anti")
-    return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull())).select(*docs.columns)
+    return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull())).select(*exact(docs.columns))

@@ -8,6 +8,8 @@ find candidates, and whoever needs certainty compares the words themselves.
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 _WORD = np.ones(256, bool)
 _WORD[[9, 10, 11, 12, 13, 32]] = False
@@ -84,3 +86,8 @@ def blocks_of(sizes: np.ndarray, most: int):
         total += int(size)
     if len(sizes) > start:
         yield start, len(sizes)
+
+
+def exact(names: list[str]) -> list[Column]:
+    """Columns of these names, whatever characters they have."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
