@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from reclink.llm import bpe, mixing, quality, simhash, substring_dedup
 from reclink.llm.queries import vocabulary
+from reclink.llm.words import exact
 from reclink.session import ship, written
 
 
@@ -18,7 +19,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that the quality classifier, with the posteriors of their source and language, rejects go."""
     ship(spark)
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.assess(docs, model, F.col("source"), F.col("lang")).where("q_keep").select(*docs.columns)
+    return quality.assess(docs, model, F.col("source"), F.col("lang")).where("q_keep").select(*exact(docs.columns))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +32,7 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Passages of 13 words or more that a document with a smaller id has go; n_chars follows the text."""
     ship(spark)
     out = substring_dedup.dedup_substrings(docs)
-    return out.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns) if "n_chars" in docs.columns else out
+    return out.withColumn("n_chars", F.length("text").cast("bigint")).select(*exact(docs.columns)) if "n_chars" in docs.columns else out
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
