@@ -344,3 +344,18 @@ def test_labels_of_held_out_rows_are_not_used(spark, docs, data):
     flipped = known.withColumn("toxic", F.when(toxicity.held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
     a, b = (toxicity.score(docs, toxicity.fit(docs, k)).orderBy("doc_id").collect() for k in (known, flipped))
     assert a == b and all(r["held_out"] == (crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in a)
+
+
+def test_components_with_hubs(spark, monkeypatch):
+    from reclink.llm import components as module
+
+    monkeypatch.setattr(module, "HUB", 10)
+    rng = np.random.default_rng(3)
+    edges = [(0, i) for i in range(1, 200)] + [(999, i) for i in range(500, 700)] + [(i, i + 1) for i in range(2000, 2060)] + rng.integers(3000, 3400, (300, 2)).tolist() + [(7, 7)]
+    table = spark.createDataFrame([(int(a), int(b)) for a, b in edges], "u bigint, v bigint")
+    for most in (500_000, 0):
+        monkeypatch.setattr(module, "MOST_HUBS", most)
+        found = {r["node"]: r["component"] for r in module.components(table).collect()}
+        expected = grouped([e for e in edges if e[0] != e[1]], {x for e in edges for x in e if e[0] != e[1]})
+        assert found == expected
+    assert module.components(table.where("false")).count() == 0
