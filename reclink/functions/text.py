@@ -79,7 +79,7 @@ def bare(bio: Column) -> Column:
 
 def from_bio(bio: Column) -> Column:
     """Segments (begin, end, label) of BIO marks; each O is a segment; an I- of another label than before starts one."""
-    before = F.concat(F.array(F.lit(None).cast("string")), F.slice(bio, 1, F.greatest(F.size(bio) - 1, F.lit(0))))
+    before = F.slice(F.concat(F.array(F.lit(None).cast("string")), bio), F.lit(1), F.size(bio))
     marks = F.zip_with(bio, before, lambda x, p: F.struct(bare(x).alias("l"), ((x == "O") | x.startswith("B-") | p.isNull() | ~bare(p).eqNullSafe(bare(x))).alias("s")))
     starts = F.filter(F.transform(marks, lambda m, i: F.when(m["s"], F.struct(i.alias("i"), m["l"].alias("l")))), lambda m: m.isNotNull())
     ends = F.concat(F.transform(F.slice(starts, 2, 1 << 30), lambda m: m["i"]), F.array(F.size(bio)))

@@ -365,12 +365,24 @@ def counts_of(posteriors: DataFrame, examples: DataFrame, labels: list[str], gen
 Overlap = Callable[[str, list[str], int, int, list[str]], float]
 
 
-def with_candidates(texts: DataFrame, candidates: DataFrame, values: DataFrame) -> DataFrame:
-    """``texts`` with candidates: array of (record_id, values: array of (field, value_id, phrase)) in the order of ids."""
+def with_candidates(texts: DataFrame, candidates: DataFrame, values: DataFrame, chunk: int | None = None) -> DataFrame:
+    """``texts`` with candidates: array of (record_id, values: array of (field, value_id, phrase)) in the order of ids.
+
+    With ``chunk``, a text has a row for each part of about that many candidates, numbered from 0, so that no row grows with a hot
+    key, and one numbered -1 for the segmentation without a record; ``decode_joint`` puts them together again.
+    """
     wanted = candidates.select("record_id").distinct()
     of = values.join(wanted, "record_id").groupBy("record_id").agg(F.sort_array(F.collect_list(F.struct("field", "value_id", "phrase"))).alias("values"))
-    each = candidates.join(of, "record_id").groupBy("mention_id").agg(F.sort_array(F.collect_list(F.struct("record_id", "values"))).alias("candidates"))
-    return texts.join(each, "mention_id", "left")
+    keys = ["mention_id"]
+    if chunk:
+        parts = candidates.groupBy("mention_id").agg(F.ceil(F.count(F.lit(1)) / chunk).alias("parts__"))
+        candidates = candidates.join(parts, "mention_id").withColumn("chunk", F.pmod(F.xxhash64("record_id"), F.col("parts__")).cast("int"))
+        keys.append("chunk")
+    each = candidates.join(of, "record_id").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("record_id", "values"))).alias("candidates"))
+    if not chunk:
+        return texts.join(each, "mention_id", "left")
+    none = F.lit(None).cast(each.schema["candidates"].dataType)
+    return texts.join(each, "mention_id").unionByName(texts.withColumn("chunk", F.lit(-1)).withColumn("candidates", none))
 
 
 def aligned(base: np.ndarray, labels: list[str], values: list[dict], words: list[str], overlap: Overlap | None) -> tuple[np.ndarray, dict[int, list[tuple[str, np.ndarray]]]]:
@@ -402,18 +414,27 @@ def decode_joint(rows: DataFrame, chain: Chain, longest: dict[str, int], use_gen
     record, then to the smallest id.
     """
     labels, lengths = chain.labels, _lengths(chain.labels, longest)
+    chunked = "chunk" in rows.columns
     ship(rows.sparkSession)
 
     def run(batches):
         for batch in batches:
-            candidates = batch.column(batch.schema.names.index("candidates")).to_pylist()
+            names = batch.schema.names
+            candidates, chunks = batch.column(names.index("candidates")).to_pylist(), batch.column(names.index("chunk")).to_pylist()
             out = []
-            for row, own in zip(Row.read(batch, len(labels)), candidates):
+            for row, own, part in zip(Row.read(batch, len(labels)), candidates, chunks):
                 base = lattice_of(row, labels, lengths, row.is_record and row.gold is not None)
-                out.append((row.id, *best_joint(base, chain.scores(row.is_record, use_gen, use_disc), labels, own or [], row.words, overlap)))
+                none_weight = NO_RECORD if part < 0 else -np.inf
+                out.append((row.id, *best_joint(base, chain.scores(row.is_record, use_gen, use_disc), labels, own or [], row.words, overlap, none_weight)))
             yield joint_batch(out)
 
-    return rows.select(*_lattice_input(rows), "candidates").mapInArrow(run, JOINT)
+    found = rows.select(*_lattice_input(rows), "candidates", F.col("chunk") if chunked else F.lit(-1).alias("chunk")).mapInArrow(run, JOINT)
+    if not chunked:
+        return found
+    best = F.min_by(F.struct("record_id", "score", "segments"), F.struct(-F.col("score"), F.coalesce("record_id", F.lit(""))))
+    both = found.groupBy("mention_id").agg(best.alias("b"), F.collect_list("log_z").alias("z"), F.max("log_z").alias("m"))
+    total = F.col("m") + F.log(F.aggregate("z", F.lit(0.0), lambda a, z: a + F.exp(z - F.col("m"))))
+    return both.select("mention_id", "b.record_id", "b.score", F.when(F.col("m") > float("-inf"), total).otherwise(F.col("m")).alias("log_z"), "b.segments")
 
 
 JOINT = "mention_id string, record_id string, score double, log_z double, segments array<struct<begin:int,end:int,label:string,record_id:string,value_id:string>>"

@@ -588,17 +588,17 @@ def logz_small(spark, folder):
     return lattice.expectations(rows, chain, _PLACE_LONGEST).select("mention_id", F.round("log_z", 4).alias("log_z"))
 
 
-def _place_candidates(spark, folder):
+def _place_candidates(spark, folder, chunk=None):
     rows, chain, ready, gen, labels = _place_texts(spark, folder)
     values = fields.field_values(ready.where("is_record"), inputs.PLACE_FIELDS)
     pairs = blocking.conjunctive(ready.where("not is_record"), ready.where("is_record"), values, inputs.PLACE_FIELDS, _PLACE_LONGEST)
-    return lattice.with_candidates(rows, pairs, values), chain
+    return lattice.with_candidates(rows, pairs, values, chunk), chain
 
 
 @query(f"{_PLACE_PATHS} SELECT mention_id, 'r' || substr(mention_id, 2) AS record_id, round(max(score), 6) AS score FROM whole GROUP BY mention_id")
 def coref_decode_small(spark, folder):
     """Every text's one candidate has a value for each label, so it costs nothing to align with it."""
-    rows, chain = _place_candidates(spark, folder)
+    rows, chain = _place_candidates(spark, folder, 256)
     return lattice.decode_joint(rows, chain, _PLACE_LONGEST).select("mention_id", "record_id", F.round("score", 6).alias("score"))
 
 

@@ -10,8 +10,6 @@ from reclink.functions import features as T
 from reclink.functions import hashing, similarity
 from reclink.functions import text as X
 
-W = F.col("w")
-
 
 @pytest.mark.parametrize(
     ("key", "phrase", "expected"),
@@ -31,14 +29,14 @@ W = F.col("w")
     ],
 )
 def test_hash_keys(spark, key, phrase, expected):
-    found = one(spark, hashing.REGISTRY[key](W), w=phrase)
+    found = one(spark, hashing.REGISTRY[key](F.col("w")), w=phrase)
     assert set(found) == expected and len(found) == len(expected)
 
 
 def test_phrases(spark):
-    assert one(spark, X.phrase_string(W), w=["Ph.D.", '"X"']) == "ph d   x "
-    assert set(one(spark, X.term_set(W), w=["Ph.D.", '"-"', "X"])) == {"ph d", "x"}
-    assert one(spark, X.phrase_slice(W, F.lit(1), F.lit(3)), w=["a", "b", "c", "d"]) == ["b", "c"]
+    assert one(spark, X.phrase_string(F.col("w")), w=["Ph.D.", '"X"']) == "ph d   x "
+    assert set(one(spark, X.term_set(F.col("w")), w=["Ph.D.", '"-"', "X"])) == {"ph d", "x"}
+    assert one(spark, X.phrase_slice(F.col("w"), F.lit(1), F.lit(3)), w=["a", "b", "c", "d"]) == ["b", "c"]
     assert [one(spark, X.valid_word(F.lit(x))) for x in ("a", "ü", "", "-1")] == [True, False, False, True]
 
 
@@ -97,8 +95,8 @@ def test_citation_classes(spark, token, expected):
 
 
 def test_possible_ends(spark):
-    assert one(spark, T.possible_ends(W), w=["Smith", ",", "Title"]) == [False, True, True, True]
-    assert one(spark, T.possible_ends(W), w=[]) == [False]
+    assert one(spark, T.possible_ends(F.col("w")), w=["Smith", ",", "Title"]) == [False, True, True, True]
+    assert one(spark, T.possible_ends(F.col("w")), w=[]) == [False]
 
 
 def test_features(spark):
@@ -107,7 +105,7 @@ def test_features(spark):
     assert one(spark, T.shape(F.lit("Ab1-cDef"))) == "Aa1-a"
     assert one(spark, T.lexicon_key(F.lit("(Univ.)"))) == "univ"
     assert one(spark, T.lexicon_key(F.lit("abc"))) is None
-    assert one(spark, T.conjunctions(F.transform(W, lambda w: F.array(w))), w=["a", "b"]) == [["a", "b@1"], ["b", "a@-1"]]
+    assert one(spark, T.conjunctions(F.transform(F.col("w"), lambda w: F.array(w))), w=["a", "b"]) == [["a", "b@1"], ["b", "a@-1"]]
 
 
 def test_markup(spark):
@@ -119,9 +117,9 @@ def test_markup(spark):
 
 def test_bio_round_trip(spark):
     labels = ["O", "a", "a", "b", "O", "O", "b"]
-    assert one(spark, X.to_bio(W), w=labels) == ["O", "B-a", "I-a", "B-b", "O", "O", "B-b"]
-    found = one(spark, X.from_bio(X.to_bio(W)), w=labels)
+    assert one(spark, X.to_bio(F.col("w")), w=labels) == ["O", "B-a", "I-a", "B-b", "O", "O", "B-b"]
+    found = one(spark, X.from_bio(X.to_bio(F.col("w"))), w=labels)
     assert [(s["begin"], s["end"], s["label"]) for s in found] == [(0, 1, "O"), (1, 3, "a"), (3, 4, "b"), (4, 5, "O"), (5, 6, "O"), (6, 7, "b")]
-    assert one(spark, X.from_bio(W), w=[]) == []
-    stray = one(spark, X.from_bio(W), w=["I-a", "I-b", "B-b"])
+    assert one(spark, X.from_bio(F.col("w")), w=[]) == []
+    stray = one(spark, X.from_bio(F.col("w")), w=["I-a", "I-b", "B-b"])
     assert [(s["begin"], s["end"], s["label"]) for s in stray] == [(0, 1, "a"), (1, 2, "b"), (2, 3, "b")]

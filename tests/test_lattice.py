@@ -157,6 +157,10 @@ def test_joint_decoding(spark, run):
         ends = [0, *[s["end"] for s in r["segments"]]]
         assert [s["begin"] for s in r["segments"]] == ends[:-1]
         assert all(s["value_id"] is not None for s in r["segments"] if s["label"] != "O" and r["record_id"])
+    pairs = blocking.conjunctive(run.setting.texts(), run.setting.records(), run.values, run.fields, run.setting.longest)
+    parted = lattice.with_candidates(run.setting.texts(), pairs, run.values, 1)
+    again = lattice.decode_joint(lattice.scored(run.setting.texts(), run.params, run.setting.labels).select("mention_id", "emission").join(parted, "mention_id"), joint.chain, run.setting.longest)
+    assert {r["mention_id"]: (r["record_id"], pytest.approx(r["score"]), pytest.approx(r["log_z"])) for r in again.collect()} == {i: (r["record_id"], r["score"], r["log_z"]) for i, r in found.items()}
     report = pipelines.joint_report(joint, pipelines.joint_decoding(joint)).first()
     assert report["n_texts"] == 3 and report["correct_literal"] >= 1
 
