@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TABLES, HASHES, WIDTH, PROBES = 8, 6, 1.6, 64
+TABLES, HASHES, WIDTH, PROBES = 8, 6, 1.8, 64
 K, BLOCK, QUERY_BLOCK, SEED = 20, 16_384, 2_048, 7
 
 
