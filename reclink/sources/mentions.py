@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from reclink.config import MAX_INT
 from reclink.functions import text as X
+from reclink.schemas import MENTION
 
 #: Ranges that ``positions`` numbers apart.
 MOST_RANGES = 256
@@ -154,6 +155,11 @@ def write_mentions(mentions: DataFrame, path: str) -> None:
     mentions.write.mode("overwrite").partitionBy("is_record").parquet(path)
 
 
+def read_mentions(spark: SparkSession, path: str) -> DataFrame:
+    """A table that ``write_mentions`` wrote; a scan of records or texts reads their folder alone."""
+    return spark.read.schema(MENTION).parquet(path)
+
+
 def dictionary(spark: SparkSession, *paths: str) -> DataFrame:
     """Entries, one a line, of the first of the paths that can be read; none gives an empty table and a warning."""
     import logging

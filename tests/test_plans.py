@@ -87,7 +87,7 @@ def test_prepare_and_quarantine(spark, tmp_path):
     sinks.write_quarantine(bad, str(tmp_path / "bad"))
     assert spark.read.parquet(str(tmp_path / "bad")).count() == 1
     M.write_mentions(good, str(tmp_path / "m"))
-    assert M.records(spark.read.parquet(str(tmp_path / "m"))).count() == 1
+    assert M.records(M.read_mentions(spark, str(tmp_path / "m"))).count() == 1
 
 
 def test_dictionary(spark, tmp_path):
