@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from reclink.functions.text import from_bio, let, phrase_slice
 from reclink.operators.fields import Field
 
+#: Keys of a field that ``conjunctive`` sends along with each key of another.
+CARRIED = 64
+
 
 def spans(n: Column, longest: int, ends: Column | None = None) -> Column:
     """All (begin, end) of up to ``longest`` words, whose end is possible."""
@@ -73,12 +76,30 @@ def conjunctive(texts: DataFrame, records: DataFrame, values: DataFrame, fields:
         return left.join(right, "hash_key").agg(F.coalesce(F.sum(F.col("a") * F.col("b")), F.lit(0)).alias("n")).first()["n"]
 
     order = sorted(of_texts, key=cost) if len(keyed) > 1 else list(of_texts)
-    pairs = of_texts[order[0]].join(of_records[order[0]], "hash_key").select("mention_id", "record_id").distinct()
-    for name in order[1:]:
-        left = of_texts[name].groupBy("mention_id").agg(F.collect_set("hash_key").alias("text_keys"))
-        right = of_records[name].groupBy("record_id").agg(F.collect_set("hash_key").alias("record_keys"))
-        pairs = pairs.join(left, "mention_id").join(right, "record_id").where(F.arrays_overlap("text_keys", "record_keys")).select("mention_id", "record_id")
-    return pairs
+    first, rest = order[0], order[1:]
+    left, right = of_texts[first], of_records[first]
+    if not rest:
+        return left.join(right, "hash_key").select("mention_id", "record_id").distinct()
+
+    def sets(of: dict[str, DataFrame], id_col: str, side: str) -> DataFrame:
+        """The keys of each other field as arrays; ids that lack one of them drop out."""
+        out = None
+        for i, name in enumerate(rest):
+            own = of[name].groupBy(id_col).agg(F.collect_set("hash_key").alias(f"{side}{i}"))
+            out = own if out is None else out.join(own, id_col)
+        return out
+
+    text_sets, record_sets = sets(of_texts, "mention_id", "t"), sets(of_records, "record_id", "r")
+    shared = [F.arrays_overlap(f"t{i}", f"r{i}") for i in range(len(rest))]
+    condition = shared[0]
+    for more in shared[1:]:
+        condition = condition & more
+    widest = lambda rows, side: rows.agg(F.max(F.greatest(F.lit(0), *[F.size(f"{side}{i}") for i in range(len(rest))])).alias("n")).first()["n"] or 0
+    if max(widest(text_sets, "t"), widest(record_sets, "r")) <= CARRIED:
+        # few keys: they go along with both sides, and pairs are tested where they arise
+        return left.join(text_sets, "mention_id").join(right.join(record_sets, "record_id"), "hash_key").where(condition).select("mention_id", "record_id").distinct()
+    pairs = left.join(right, "hash_key").select("mention_id", "record_id").distinct()
+    return pairs.join(text_sets, "mention_id").join(record_sets, "record_id").where(condition).select("mention_id", "record_id")
 
 
 def candidate_report(texts: DataFrame, by_field: DataFrame, most: int = 100) -> DataFrame:
