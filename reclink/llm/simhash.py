@@ -17,7 +17,8 @@ spanning forest before they leave the task.
 Similar documents (shingle sets of a Jaccard similarity of 0.8 or more) differ in 15 % of their signature bits, and within such
 a radius the pigeonhole argument asks for parts of 5 bits for each differing one: candidates in proportion to the square of
 the input.  ``similar_documents`` so probes parts of a signature of ``WORDS`` words at threshold 0, as wide and as many as
-cost least for a given recall, and verifies candidates on all bits.
+cost least for a given recall, and verifies candidates on all bits.  This signature counts each shingle of a text once, as
+its set does; the fingerprints of ``near_duplicates`` count repeats.
 
 Defined cases: a null text is an empty one; texts without a word have fingerprint zero and link like any other; a text of
 fewer words than a shingle is one shingle; repeated rows have equal fingerprints; rows with a null id keep their
@@ -48,22 +49,29 @@ MARGIN = 1.0
 ROW_COST = 400.0
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE, words_out: int = 1) -> list[int]:
-    """Majority, bit by bit, of the XXH64 (seed 42) of the word shingles of a text whose A-Z are lower-cased.
-
-    With ``words_out`` over 1, further 64-bit words follow, from scrambled hashes.
-    """
+def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """The XXH64 (seed 42) of the word shingles, with repeats, of a text whose A-Z are lower-cased; none without a word."""
     words = text.lower().split()
     if not words:
-        return [0] * words_out
+        return np.zeros(0, "<u8")
     joined = b" ".join(words)
     h = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        hashes = np.array([h(joined, 42)], "<u8")
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        starts = [0, *ends[:-shingle].tolist()]
-        hashes = np.array([h(joined[a:b], 42) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist())], "<u8")
+        return np.array([h(joined, 42)], "<u8")
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = [0, *ends[:-shingle].tolist()]
+    return np.array([h(joined[a:b], 42) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist())], "<u8")
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE, words_out: int = 1, distinct: bool = False) -> list[int]:
+    """Majority, bit by bit, of the hashes of a text's shingles, each as often as it occurs or, if ``distinct``, once.
+
+    With ``words_out`` over 1, further 64-bit words follow, from scrambled hashes.
+    """
+    hashes = shingle_hashes(text, shingle)
+    if not len(hashes):
+        return [0] * words_out
+    hashes = np.unique(hashes) if distinct else hashes
     out = []
     for i in range(words_out):
         own = mixed(hashes + np.uint64(i * 0x9E3779B97F4A7C15 % (1 << 64))) if i else hashes
@@ -74,14 +82,14 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, words_out: int = 1) -> list
     return out
 
 
-def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, words_out: int = 1) -> DataFrame:
+def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, words_out: int = 1, distinct: bool = False) -> DataFrame:
     """(id, fp, sig): the fingerprint of every row as a signed 64-bit integer, and all its words as bytes."""
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 1_000):
                 part = batch.slice(at, 1_000)
-                rows = [fingerprint((x.as_py() or "").encode(), shingle, words_out) for x in part.column(1)]
+                rows = [fingerprint((x.as_py() or "").encode(), shingle, words_out, distinct) for x in part.column(1)]
                 words = np.array(rows, "<u8").reshape(len(rows), words_out)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(words[:, 0].copy().view(np.int64)), pa.array([w.tobytes() for w in words], pa.binary())], names=["id", "fp", "sig"])
 
@@ -313,9 +321,9 @@ def part_keys(words: np.ndarray, bits: int, parts: int):
         yield mixed(key ^ mixed(np.array([number + 1], np.uint64)))
 
 
-def _components(docs: DataFrame, id_col: str, text_col: str, shingle: int, width: int, linked) -> DataFrame:
+def _components(docs: DataFrame, id_col: str, text_col: str, shingle: int, width: int, linked, distinct_shingles: bool = False) -> DataFrame:
     """(id, fp, component_id) for every row; ``linked`` gives the links of distinct signatures (fp, sig, id), of which there are n."""
-    prints = written(signatures(docs, id_col, text_col, shingle, width), "fingerprints")
+    prints = written(signatures(docs, id_col, text_col, shingle, width, distinct_shingles), "fingerprints")
     distinct = written(prints.where("id is not null").groupBy("fp", "sig").agg(F.min("id").alias("id")), "distinct")
     found = components(linked(distinct, distinct.count()))
     of = distinct.join(found, distinct["id"] == found["node"], "left").select("sig", F.coalesce("component", "id").alias("component_id"))
@@ -350,7 +358,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         bits, parts = plan_parts(max(n, 1), 1 - share, recall)
         return links(distinct, lambda words: part_keys(words, bits, parts), first, whole, WORDS)
 
-    return _components(docs, id_col, text_col, shingle, WORDS, linked).select(F.col("id").alias(id_col), "component_id")
+    return _components(docs, id_col, text_col, shingle, WORDS, linked, True).select(F.col("id").alias(id_col), "component_id")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:

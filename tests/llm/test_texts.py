@@ -164,6 +164,20 @@ def test_similar_documents(spark):
     assert 400 <= kept <= 420
 
 
+def test_similar_documents_count_a_repeated_shingle_once(spark):
+    rng = np.random.default_rng(5)
+    pool = iter(rng.permutation(100_000).tolist())
+    body = lambda: [f"w{next(pool)}" for _ in range(200)]
+    line = [f"line{i}" for i in range(12)]
+    table = []
+    for base in range(0, 80, 4):
+        one, two, three = body(), body(), body()
+        table += [(base, one + 11 * line), (base + 1, two + 11 * line), (base + 2, three + line), (base + 3, three + 5 * line)]
+    rows = spark.createDataFrame([(i, " ".join(t)) for i, t in table], "doc_id bigint, text string")
+    found = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(rows).collect()}
+    assert found == {i: i - (i % 4 == 3) for i, _ in table}
+
+
 def test_deduplicated_awkward(spark):
     table = documents(spark)
     kept = simhash.deduplicated(table)
