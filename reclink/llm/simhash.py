@@ -17,8 +17,12 @@ spanning forest before they leave the task.
 Similar documents (shingle sets of a Jaccard similarity of 0.8 or more) differ in 15 % of their signature bits, and within such
 a radius the pigeonhole argument asks for parts of 5 bits for each differing one: candidates in proportion to the square of
 the input.  ``similar_documents`` so probes parts of a signature of ``WORDS`` words at threshold 0, as wide and as many as
-cost least for a given recall, and verifies candidates on all bits.  This signature counts each shingle of a text once, as
-its set does; the fingerprints of ``near_duplicates`` count repeats.
+cost least for a given recall.  This signature counts each shingle of a text once, as its set does; the fingerprints of
+``near_duplicates`` count repeats.  Pairs within a wide margin of the expected number of bits are candidates, and each is
+verified by its texts' sets of shingle hashes.  Pairs within a component needn't be verified, so candidates come in rounds: of
+each row's first ``FIRST_MATES`` candidates of other components within a run, then of ``MORE_MATES`` times as many in the
+runs where that left any out, until no run is left.  So a group of near copies costs far less than its square, and all
+candidates are verified or already joined.
 
 Defined cases: a null text is an empty one; texts without a word have fingerprint zero and link like any other; a text of
 fewer words than a shingle is one shingle; repeated rows have equal fingerprints; rows with a null id keep their
@@ -43,8 +47,9 @@ BITS, RADIUS, SHINGLE = 64, 2, 3
 SAMPLE, RUN, LONG = 4_096, 2_048, 65_536
 #: Words of a signature of similar documents, and the share of pairs at the similarity itself that parts must bring together.
 WORDS, RECALL = 8, 0.95
-#: Standard deviations above the expected number of differing bits up to which pairs count as similar.
-MARGIN = 1.0
+#: Standard deviations above the expected number of differing bits up to which pairs are candidates, of all words and of the first.
+MARGIN, FIRST_MARGIN = 6.0, 5.0
+FIRST_MATES, MORE_MATES = 1, 16
 #: Comparisons that cost as much as a row in a shuffle.
 ROW_COST = 400.0
 
@@ -71,7 +76,10 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, words_out: int = 1, distinc
     hashes = shingle_hashes(text, shingle)
     if not len(hashes):
         return [0] * words_out
-    hashes = np.unique(hashes) if distinct else hashes
+    return _majority(np.unique(hashes) if distinct else hashes, words_out)
+
+
+def _majority(hashes: np.ndarray, words_out: int = 1) -> list[int]:
     out = []
     for i in range(words_out):
         own = mixed(hashes + np.uint64(i * 0x9E3779B97F4A7C15 % (1 << 64))) if i else hashes
@@ -184,7 +192,7 @@ class Near:
         hit = np.bitwise_count(self.first[a] ^ self.first[b]) <= self.radius
         if self.whole is not None and hit.any():
             some = np.flatnonzero(hit)
-            x = self.words[a][some] if np.ndim(a) else self.words[a][None, :]
+            x = self.words[a[some]] if np.ndim(a) else self.words[a][None, :]
             hit[some] = np.bitwise_count(x ^ self.words[b[some]]).sum(1) <= self.whole
         return hit
 
@@ -263,6 +271,20 @@ def _bytes_of(column, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(-1, width)
 
 
+def _whole_runs(batches, width: int):
+    """The columns of batches, whose first one is sorted, as arrays that hold whole runs of it; binary columns are signatures."""
+    left = None
+    for batch in batches:
+        now = [_bytes_of(c, width) if pa.types.is_binary(c.type) else np.asarray(c) for c in batch.columns]
+        left = now if left is None else [np.concatenate(x) for x in zip(left, now)]
+        at = int(np.searchsorted(left[0], left[0][-1], "left")) if len(left[0]) else 0
+        if at:
+            yield [x[:at] for x in left]
+            left = [x[at:] for x in left]
+    if left is not None and len(left[0]):
+        yield left
+
+
 def links(distinct: DataFrame, keys, radius: int = RADIUS, whole: int | None = None, width: int = 1) -> DataFrame:
     """Links (u, v) that connect what is near; ``distinct`` has (fp, sig, id) with distinct signatures.
 
@@ -275,22 +297,9 @@ def links(distinct: DataFrame, keys, radius: int = RADIUS, whole: int | None = N
                 yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), batch.column(0), batch.column(1)], names=["k", "sig", "id"])
 
     def verify(batches):
-        left_k, left_sig, left_id = np.zeros(0, np.int64), np.zeros((0, width), "<u8"), np.zeros(0, np.int64)
-
-        def found(k, sig, i):
+        for k, sig, i in _whole_runs(batches, width):
             a, b = forest_of(k, Near(sig, radius, whole))
-            return pa.RecordBatch.from_arrays([pa.array(i[a]), pa.array(i[b])], names=["u", "v"])
-
-        for batch in batches:
-            left_k = np.concatenate([left_k, np.asarray(batch.column(0))])
-            left_sig = np.concatenate([left_sig, _bytes_of(batch.column(1), width)])
-            left_id = np.concatenate([left_id, np.asarray(batch.column(2))])
-            at = int(np.searchsorted(left_k, left_k[-1], "left")) if len(left_k) else 0
-            if at:
-                yield found(left_k[:at], left_sig[:at], left_id[:at])
-                left_k, left_sig, left_id = left_k[at:], left_sig[at:], left_id[at:]
-        if len(left_k):
-            yield found(left_k, left_sig, left_id)
+            yield pa.RecordBatch.from_arrays([pa.array(i[a]), pa.array(i[b])], names=["u", "v"])
 
     probes = distinct.select("sig", "id").mapInArrow(probe, "k bigint, sig binary, id bigint")
     return probes.repartition("k").sortWithinPartitions("k", "id").mapInArrow(verify, "u bigint, v bigint")
@@ -321,6 +330,113 @@ def part_keys(words: np.ndarray, bits: int, parts: int):
         yield mixed(key ^ mixed(np.array([number + 1], np.uint64)))
 
 
+def mates(keys: np.ndarray, groups: np.ndarray, near: Near, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, mate) index pairs that are near, with equal keys and different groups, and the rows of runs where some are left out.
+
+    Each row has up to ``most`` mates, of the groups before its own by size within the run.
+    """
+    order = np.lexsort((groups, keys))
+    k, g = keys[order], groups[order]
+    start = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (g[1:] != g[:-1])))
+    size = np.repeat(np.diff(np.append(start, len(k))), np.diff(np.append(start, len(k))))
+    again = np.lexsort((g, size, k))
+    order, k, g = order[again], k[again], g[again]
+    run, run_size = _runs(k)
+    first = np.repeat(run, run_size)
+    block = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (g[1:] != g[:-1])))
+    end = np.repeat(block, np.diff(np.append(block, len(k))))
+    count, a, b = np.zeros(len(k), np.int64), [], []
+    rows, d = np.flatnonzero(first < end), 0
+    while len(rows := rows[(first[rows] + d < end[rows]) & (count[rows] <= most)]):
+        hit = rows[near(order[rows], order[first[rows] + d])]
+        count[hit] += 1
+        hit = hit[count[hit] <= most]
+        a.append(order[hit])
+        b.append(order[first[hit] + d])
+        d += 1
+    cut = np.isin(first, np.unique(first[count > most]))
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *a]), np.concatenate([none, *b]), order[cut]
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(id, fp, hashes): the sorted set of shingle hashes, as bytes, of each text of the ids that are ``wanted`` (id)."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1_000):
+                part = batch.slice(at, 1_000)
+                sets = [np.unique(shingle_hashes((x.as_py() or "").encode(), shingle)) for x in part.column(1)]
+                fps = np.array([_majority(x)[0] if len(x) else 0 for x in sets], np.uint64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps.view(np.int64)), pa.array([x.tobytes() for x in sets], pa.binary())], names=["id", "fp", "hashes"])
+
+    texts = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    return texts.join(wanted.distinct(), "id", "left_semi").distinct().mapInArrow(run, "id bigint, fp bigint, hashes binary")
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sorted sets; 1 of two empty ones."""
+    if not len(a) and not len(b):
+        return 1.0
+    both = np.sort(np.concatenate([a, b]), kind="stable")
+    shared = int((both[1:] == both[:-1]).sum())
+    return shared / (len(both) - shared)
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): the pairs (u, fu, v, fv) whose sets have at least that Jaccard similarity."""
+
+    def run(batches):
+        for batch in batches:
+            u, v, a, b = batch.columns
+            good = [jaccard(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")) >= similarity for x, y in zip(a, b)]
+            yield pa.RecordBatch.from_arrays([u, v], names=["u", "v"]).filter(pa.array(good, pa.bool_()))
+
+    one = sets.select(F.col("id").alias("u"), F.col("fp").alias("fu"), F.col("hashes").alias("a"))
+    other = sets.select(F.col("id").alias("v"), F.col("fp").alias("fv"), F.col("hashes").alias("b"))
+    return pairs.join(one, ["u", "fu"]).join(other, ["v", "fv"]).select("u", "v", "a", "b").mapInArrow(run, "u bigint, v bigint")
+
+
+def similar_links(distinct: DataFrame, keys, sets_of, radius: int, whole: int, width: int, similarity: float) -> DataFrame:
+    """Links (u, v) that connect what is similar among ``distinct`` (fp, sig, id), of rows that share one of ``keys`` and are near by their signatures.
+
+    ``sets_of`` gives the table (id, fp, hashes) of a table of ids.
+    """
+
+    def probe(batches):
+        for batch in batches:
+            for k in keys(_bytes_of(batch.column(0), width)) if batch.num_rows else ():
+                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), batch.column(0), batch.column(1), batch.column(1)], names=["k", "sig", "id", "g"])
+
+    def meet(most):
+        def run(batches):
+            for k, sig, i, g in _whole_runs(batches, width):
+                a, b, cut = mates(k, g, Near(sig, radius, whole), most)
+                fp = sig[:, 0].copy().view(np.int64)
+                # pairs have no key, rows of runs to come back to have no mate
+                swap = (i[a] > i[b]) | ((i[a] == i[b]) & (fp[a] > fp[b]))
+                a, b = np.where(swap, b, a), np.where(swap, a, b)
+                none = lambda n: pa.nulls(n, pa.int64())
+                columns = [(none(len(a)), k[cut]), (i[a], i[cut]), (fp[a], fp[cut]), (i[b], none(len(cut))), (fp[b], none(len(cut)))]
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays([x if isinstance(x, pa.Array) else pa.array(x, pa.int64()) for x in c]) for c in columns], names=["k", "u", "fu", "v", "fv"])
+
+        return run
+
+    rows, most, sets, found = distinct.select("sig", "id").mapInArrow(probe, "k bigint, sig binary, id bigint, g bigint"), FIRST_MATES, None, None
+    while True:
+        out = written(rows.repartition("k").sortWithinPartitions("k").mapInArrow(meet(most), "k bigint, u bigint, fu bigint, v bigint, fv bigint"), "meetings")
+        if sets is None:
+            sets = written(sets_of(out.select(F.col("u").alias("id")).union(out.where("v is not null").select(F.col("v").alias("id")))), "shingle-sets")
+        new = _similar(out.where("v is not null").select("u", "fu", "v", "fv").distinct(), sets, similarity)
+        found = written(new if found is None else new.union(found), "similar")
+        left = out.where("v is null").select("k", F.col("u").alias("id"), F.col("fu").alias("fp"))
+        if left.isEmpty():
+            return found
+        of = components(found)
+        left = left.join(distinct, ["id", "fp"]).join(of, F.col("id") == of["node"], "left")
+        rows, most = left.select("k", "sig", "id", F.coalesce("component", "id").alias("g")), most * MORE_MATES
+
+
 def _components(docs: DataFrame, id_col: str, text_col: str, shingle: int, width: int, linked, distinct_shingles: bool = False) -> DataFrame:
     """(id, fp, component_id) for every row; ``linked`` gives the links of distinct signatures (fp, sig, id), of which there are n."""
     prints = written(signatures(docs, id_col, text_col, shingle, width, distinct_shingles), "fingerprints")
@@ -342,21 +458,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, recall: float = RECALL) -> DataFrame:
-    """(id_col, component_id): components of documents whose word shingles are similar (Jaccard, as signatures of 512 bits show it).
+    """(id_col, component_id): components of documents whose word shingles are similar (Jaccard of their sets).
 
     Sets of equal size and Jaccard j have a cosine of 2j / (1 + j), and a bit of their signatures differs with the angle's share
     of a half turn: 78 of 512 bits at 0.8, give or take 8.  Parts bring at least ``recall`` of the pairs at that similarity together, and more
-    of those above it.
+    of those above it; all that they bring together and that is within the margin is verified exactly.
     """
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
     spread = np.sqrt(share * (1 - share))
     whole = int(np.ceil(WORDS * BITS * share + MARGIN * spread * np.sqrt(WORDS * BITS)))
-    # the first word alone turns most other pairs away: four standard deviations
-    first = int(np.ceil(BITS * share + 4 * spread * np.sqrt(BITS)))
+    # the first word alone turns most other pairs away
+    first = int(np.ceil(BITS * share + FIRST_MARGIN * spread * np.sqrt(BITS)))
 
     def linked(distinct: DataFrame, n: int) -> DataFrame:
         bits, parts = plan_parts(max(n, 1), 1 - share, recall)
-        return links(distinct, lambda words: part_keys(words, bits, parts), first, whole, WORDS)
+        sets_of = lambda ids: shingle_sets(docs, ids, id_col, text_col, shingle)
+        return similar_links(distinct, lambda words: part_keys(words, bits, parts), sets_of, first, whole, WORDS, similarity)
 
     return _components(docs, id_col, text_col, shingle, WORDS, linked, True).select(F.col("id").alias(id_col), "component_id")
 

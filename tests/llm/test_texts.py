@@ -178,6 +178,40 @@ def test_similar_documents_count_a_repeated_shingle_once(spark):
     assert found == {i: i - (i % 4 == 3) for i, _ in table}
 
 
+def exact_groups(table, similarity=0.8, shingle=5):
+    """(groups, similar pairs) by the Jaccard similarity of all pairs' shingle sets."""
+    sets = {}
+    for i, text in table:
+        words = text.lower().split()
+        sets[i] = {tuple(words[a : a + shingle]) for a in range(max(1, len(words) - shingle + 1))}
+    alike = [(a, b) for a, b in combinations(sets, 2) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= similarity]
+    return grouped(alike, list(sets)), alike
+
+
+def changed(rng, text, n):
+    out = list(text)
+    for at in rng.choice(np.arange(10, len(text) - 10, 6), n, replace=False):
+        out[at] = "changed" + str(rng.integers(1 << 30))
+    return out
+
+
+def test_similar_documents_are_verified_exactly(spark):
+    rng = np.random.default_rng(6)
+    words = [f"v{i}" for i in range(3000)]
+    table = []
+    for base in range(0, 600, 2):
+        text = rng.choice(words, 150).tolist()
+        table += [(base, text), (base + 1, changed(rng, text, 1 + base // 2 % 6))]  # similarities of 0.93 to 0.66
+    # copies of one text that are similar to it but not to each other; it comes last
+    text = rng.choice(words, 150).tolist()
+    table += [(600 + i, changed(rng, text, 2)) for i in range(60)] + [(660, text)]
+    table = [(i, " ".join(t)) for i, t in table]
+    expected, alike = exact_groups(table)
+    found = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(spark.createDataFrame(table, "doc_id bigint, text string")).collect()}
+    assert all(expected[i] == expected[c] for i, c in found.items())
+    assert sum(found[a] == found[b] for a, b in alike) >= 0.95 * len(alike)
+
+
 def test_deduplicated_awkward(spark):
     table = documents(spark)
     kept = simhash.deduplicated(table)
