@@ -187,14 +187,20 @@ class Matcher:
         lookup = {c: h for c in set(chunks) if (h := self.hits.get(c) or self.look_up(c))}
         places = [(i, *lookup[c]) for i, c in enumerate(chunks) if c in lookup]
         plain, quoted, fuzzy, best = 0.0, 0.0, 0.0, 0.0
+        low = high = 0
         for i, weight, exact in places:
+            # a window has at most 2 * WINDOW + 1 places, in order
+            while places[low][0] < i - WINDOW:
+                low += 1
+            while high < len(places) and places[high][0] <= i + WINDOW:
+                high += 1
             before = chunks[max(0, i - WINDOW) : i]
             marks = sum(len(_QUOTES.findall(c)) for c in before) + len(_QUOTES.findall(chunks[i][: len(chunks[i]) // 2]))
             after = any(_QUOTES.search(c) for c in chunks[i : i + WINDOW])
             if (marks % 2 and after) or any(_EDGES.sub("", c.lower()) in _REPORTS for c in before[-4:]):
                 quoted += weight
                 continue
-            near = sum(w for j, w, _ in places if abs(i - j) <= WINDOW) if len(places) < 200 else weight
+            near = sum(w for _, w, _ in places[low:high])
             best = max(best, near)
             if exact:
                 plain += weight

@@ -365,6 +365,16 @@ def test_quotation_counts_less():
     assert clean < quoted < plain and clean < misspelt
 
 
+def test_window_of_a_text_with_many_hits():
+    rng = np.random.default_rng(8)
+    matcher = toxicity.Model({"insult": 2.0, "abuse": 1.5}, {}, toxicity.PRIOR.tolist()).matcher()
+    chunks = rng.choice(["insult", "abuse", "plain", "other"], 600).tolist()
+    weight = [{"insult": 2.0, "abuse": 1.5}.get(c, 0.0) for c in chunks]
+    best = max(sum(weight[max(0, i - toxicity.WINDOW) : i + toxicity.WINDOW + 1]) for i, w in enumerate(weight) if w)
+    assert sum(w > 0 for w in weight) >= 200
+    assert matcher.features(" ".join(chunks))[toxicity.FEATURES.index("window")] == pytest.approx(np.log1p(best))
+
+
 def test_toxicity_separates_held_out(spark):
     docs, known = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     model = toxicity.fit(docs, known)
