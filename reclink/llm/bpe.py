@@ -17,6 +17,7 @@ other columns of the input, whatever their names, are not read; a null id stays
 
 from __future__ import annotations
 
+import gc
 import heapq
 import json
 import re
@@ -30,13 +31,17 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reclink.llm.words import mixed
+
 #: Symbols up to which a word is merged by scanning its rank array.
 SHORT = 128
-#: Entries of one generation of a cache; a worker keeps two caches of two generations.
-CACHE_ENTRIES = 250_000
+#: Entries at which a new generation of a cache (of chunks, of pieces) begins; a block of texts may add more.  Two generations are kept.
+CACHE_ENTRIES = 400_000
 NO_RANK = 1 << 30
+#: Masks of the first bytes of a little-endian number.
+_LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 #: Bytes of text that are looked up together.
-BLOCK = 2_000_000
+BLOCK = 4_000_000
 #: Rows of a batch of results.
 ROWS = 500
 _SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -95,24 +100,30 @@ class PairTable:
         return out
 
 
-class Generations:
-    """A cache of bounded size: when the young generation is full it becomes the old one, and what is used moves on."""
+class Places(dict):
+    """A cache: the place of each key in the list ``ids``.  A new key takes the next place, and its ids from the cache before this one or, later, from ``learn``; till then it is in ``new``."""
 
-    def __init__(self, entries: int = CACHE_ENTRIES):
-        self.entries, self.young, self.old = entries, {}, {}
+    def __init__(self, before: Places | None = None):
+        super().__init__()
+        self.ids, self.new, self.before = [], [], before
+        if before is not None:
+            before.before = None
 
-    def lacking(self, keys: set) -> list:
-        """The keys that have no entry; the others are in ``young`` from now on."""
-        if len(self.young) + len(keys) > self.entries:
-            self.young, self.old = {}, self.young
-        young, old, out = self.young, self.old, []
-        for key in keys - young.keys():
-            value = old.get(key)
-            if value is None:
-                out.append(key)
-            else:
-                young[key] = value
-        return out
+    def __missing__(self, key):
+        self[key] = place = len(self.ids)
+        if self.before is None or (have := self.before.get(key)) is None:
+            self.ids.append(None)
+            self.new.append(key)
+        else:
+            self.ids.append(self.before.ids[have])
+        return place
+
+    def fill(self, values: list) -> None:
+        """Ids of the new keys."""
+        get, ids = self.get, self.ids
+        for key, value in zip(self.new, values):
+            ids[get(key)] = value
+        self.new = []
 
 
 class WordBPE:
@@ -145,8 +156,12 @@ class WordBPE:
         spelt = {k: "".join(re.escape(x) for c, x in latin if regex.fullmatch(rf"[{v}]", x)) for k, v in (("L", r"\p{L}"), ("N", r"\p{N}"), ("S", _SPACES))}
         self.pieces_latin = re.compile(pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{spelt['S']}{spelt['L']}{spelt['N']}]").replace(r"\p{L}", spelt["L"]).replace(r"\p{N}", spelt["N"])).findall
         self.is_latin = re.compile("[\0-\u024f]*").fullmatch
-        self.table = PairTable(self.ranks)
-        self.words = Generations()
+        self.table = self.pair_table()
+        self.chunks, self.words = Places(), Places()
+
+    def pair_table(self) -> PairTable | None:
+        """The table that ``merge_words`` looks ranks up in; a subclass that merges another way needs none."""
+        return PairTable(self.ranks)
 
     def merge_words(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word (not empty), as little-endian unsigned 32-bit integers."""
@@ -227,39 +242,100 @@ class WordBPE:
         text = unicodedata.normalize("NFC", text)
         return "".join(c.lower() for c in text) if "Σ" in text else text.lower()
 
-    def pieces(self, text: str) -> list[str]:
-        """The words and runs of other characters of a text, in order; special tokens stand for themselves."""
-        if self.split_special and any(x in text for x in self.special):
-            return [y for part in self.split_special.split(text) for y in ([part] if part in self.special else self._plain(part))]
-        return self._plain(text)
-
-    def _plain(self, text: str) -> list[str]:
-        text = self.normalise(text)
-        if self.is_latin(text):
-            return self.pieces_latin(text)
-        return (self.pieces_new if self.is_new(text) else self.pieces_any)(text)
-
-    def learn(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of each piece; a subclass may find them another way."""
-        own = [x for x in pieces if x not in self.special]
-        return dict(zip(own, self.merge_words([x.encode() for x in own]))) | {x: self.special[x].to_bytes(4, "little") for x in pieces if x in self.special}
+    def pieces(self, chunk: str) -> list[str]:
+        """The words and runs of other characters of normalised text, in order.  No piece has white space in it, so those of a text are those of its chunks."""
+        if chunk.isascii() or self.is_latin(chunk):
+            return self.pieces_latin(chunk)
+        return (self.pieces_new if self.is_new(chunk) else self.pieces_any)(chunk)
+
+    def learn(self) -> None:
+        """Find the ids of the new chunks."""
+        chunks, words = self.chunks, self.words
+        if len(words) > CACHE_ENTRIES:
+            words = self.words = Places(words)
+        get, pieces, latin, of = words.__getitem__, self.pieces, self.is_latin, []
+        for chunk in [x.decode() for x in chunks.new]:
+            if chunk.isalpha() and (chunk.isascii() or latin(chunk)):
+                of.append(get(chunk))
+            else:
+                of.append([get(x) for x in pieces(chunk)])
+        words.fill(self.merge_words([x.encode() for x in words.new]))
+        ids = words.ids
+        chunks.fill([ids[x] if type(x) is int else b"".join([ids[i] for i in x]) for x in of])
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids, as little-endian unsigned 32-bit integers, of each text."""
+        collects = gc.isenabled()
+        # nothing here has cycles, and the collector would walk the caches again and again
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         out, at = [], 0
         while at < len(texts):
-            block, seen, size = [], set(), 0
-            while at < len(texts) and (size < BLOCK or not block):
-                block.append(pieces := self.pieces(texts[at]))
-                seen.update(pieces)
-                size += len(texts[at])
+            parts, owner, start, size = [], [], at, 0
+            while at < len(texts) and (size < BLOCK or at == start):
+                text = texts[at]
+                # special tokens cut the text before anything else
+                cut = self.split_special.split(text) if self.split_special and any(x in text for x in self.special) else [text]
+                parts += cut
+                owner += [at - start] * len(cut)
+                size += len(text)
                 at += 1
-            if new := self.words.lacking(seen):
-                self.words.young.update(self.learn(new))
-            get = self.words.young.__getitem__
-            out += [b"".join(map(get, pieces)) for pieces in block]
+            found: list[list[bytes]] = [[] for _ in range(at - start)]
+            for i, part, ids in zip(owner, parts, self._plain(["" if x in self.special else x for x in parts])):
+                found[i].append(self.special[part].to_bytes(4, "little") if part in self.special else ids)
+            out += [x[0] if len(x) == 1 else b"".join(x) for x in found]
         return out
 
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts without special tokens: what stands between spaces and line feeds is looked up once for each distinct chunk."""
+        if len(self.chunks) > CACHE_ENTRIES:
+            self.chunks = Places(self.chunks)
+        parts = [self.normalise(x).encode() for x in texts]
+        raw = b"\n".join(parts) + b"\n" * 17
+        data = np.frombuffer(raw, np.uint8)
+        edges = np.diff(((data != 32) & (data != 10)).view(np.int8), prepend=np.int8(0))
+        starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+        places = self._distinct(data, starts, ends)
+        distinct, which = places if places else (np.arange(len(starts)),) * 2
+        keys = [raw[a:b] for a, b in zip(starts[distinct].tolist(), ends[distinct].tolist())]
+        at = list(map(self.chunks.__getitem__, keys))
+        if self.chunks.new:
+            self.learn()
+        values = list(map(self.chunks.ids.__getitem__, at))
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        flat, first = np.frombuffer(b"".join(values), "<u4"), np.cumsum(sizes) - sizes
+        lengths = sizes[which]
+        before = np.concatenate([[0], np.cumsum(lengths)])
+        ids = flat[np.repeat(first[which] - before[:-1], lengths) + np.arange(before[-1])].tobytes()
+        borders = np.cumsum([0, *(len(x) + 1 for x in parts)])
+        cuts = (4 * before[np.searchsorted(starts, borders)]).tolist()
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    @staticmethod
+    def _distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """One index for each distinct chunk of up to 16 bytes and for every longer one, and the place in that list of each chunk; None if hashes collide."""
+        size = ends - starts
+        short = np.flatnonzero(size <= 16)
+        eight = np.ndarray(len(data) - 7, "<u8", data, 0, (1,))
+        key = [eight[starts[short] + d] & _LOW[np.clip(size[short] - d, 0, 8)] for d in (0, 8)]
+        mixed_key = mixed(key[0]) * np.uint64(0x9E3779B97F4A7C15) + mixed(key[1] + np.uint64(1))
+        order = np.argsort(mixed_key)
+        mixed_key, (low, high) = mixed_key[order], (k[order] for k in key)
+        new = np.append(len(short) > 0, mixed_key[1:] != mixed_key[:-1])[: len(short)]
+        if ((low[1:] != low[:-1]) | (high[1:] != high[:-1]))[~new[1:]].any():
+            return None
+        long = np.flatnonzero(size > 16)
+        which = np.empty(len(starts), np.int64)
+        which[short[order]] = np.cumsum(new) - 1
+        which[long] = np.arange(len(long)) + int(new.sum())
+        return np.concatenate([short[order[new]], long]), which
+
     def decode(self, ids: bytes) -> str:
         """The library's decode without a decoder: token texts joined by one space; unknown ids are left out."""
         try:

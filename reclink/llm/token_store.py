@@ -23,6 +23,7 @@ not read.
 from __future__ import annotations
 
 import struct
+from array import array
 from hashlib import sha256
 from zlib import crc32
 
@@ -46,16 +47,14 @@ class LibraryBPE(WordBPE):
         super().__init__(path)
         from tokenizers import Tokenizer
 
-        self.model, self.alphabet = Tokenizer.from_file(path).model, byte_alphabet()
+        self.model, self.alphabet = Tokenizer.from_file(path).model, dict(enumerate(byte_alphabet()))
+
+    def pair_table(self) -> None:
+        return None
 
     def merge_words(self, words: list[bytes]) -> list[bytes]:
         tokenize, alphabet = self.model.tokenize, self.alphabet
-        pack = [struct.Struct(f"<{n}I").pack for n in range(64)]
-        out = []
-        for word in words:
-            ids = [t.id for t in tokenize("".join([alphabet[b] for b in word]))]
-            out.append(pack[len(ids)](*ids) if len(ids) < 64 else struct.pack(f"<{len(ids)}I", *ids))
-        return out
+        return [array("I", [t.id for t in tokenize(word.decode("latin-1").translate(alphabet))]).tobytes() for word in words]
 
 
 _loaded: dict[str, LibraryBPE] = {}
