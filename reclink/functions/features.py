@@ -7,14 +7,25 @@ from pyspark.sql import functions as F
 
 from reclink.functions.text import let
 
+# Classes and pattern features of whole tokens, as the feature definitions give them.
 DATE, PRICE, STAR = r"\d+/\d+(?:/\d+)?", r"\$\d+(?:\.\d+)?", r"\d+(?:\.\d+)?\*"
-_LONG_MONTHS = "january february march april may june july august september october november december".split()
-_SHORT_MONTHS = "jan feb apr jun jul aug sep sept oct nov dec".split()
-_DAYS = "mon|tues?|wed(?:nes)?|thurs?|fri|satu?r?|sun"
-#: Hotel classes of a whole token; the first that matches counts.
-HOTEL_CLASSES = [("$DATE$", DATE), ("$PRICE$", PRICE), ("$DIGITS$", r"\d+"), ("$DAY$", f"(?:{_DAYS})(?:day)?"), ("$MONTH$", "|".join(_LONG_MONTHS + _SHORT_MONTHS))]
-HOTEL_FLAGS = [("CONTAINS_STAR_PATTERN", STAR), ("CONTAINS_PLUS", r"(?s).*\+.*"), ("CONTAINS_SLASH", "(?s).*/.*"), ("CONTAINS_COMMA", "(?s).*,.*"), ("CONTAINS_DASH", "(?s).*-.*"), ("CONTAINS_PUNC", r"[,.;:?!()\"\-'`]")]
-#: Citation classes of a whole token.
+#: Hotel classes; the first that matches counts.
+HOTEL_CLASSES = [
+    ("$DATE$", DATE),
+    ("$PRICE$", PRICE),
+    ("$DIGITS$", r"\d+"),
+    ("$DAY$", r"(?:mon|tues?|wed(?:nes)?|thurs?|fri|satu?r?|sun)(?:day)?"),
+    ("$MONTH$", r"january|february|march|april|may|june|july|august|september|october|november|december|jan|feb|apr|jun|jul|aug|sep|sept|oct|nov|dec"),
+]
+HOTEL_FLAGS = [
+    ("CONTAINS_STAR_PATTERN", STAR),
+    ("CONTAINS_PLUS", r"(?s).*\+.*"),
+    ("CONTAINS_SLASH", "(?s).*/.*"),
+    ("CONTAINS_COMMA", "(?s).*,.*"),
+    ("CONTAINS_DASH", "(?s).*-.*"),
+    ("CONTAINS_PUNC", r"[,.;:?!()\"\-'`]"),
+]
+#: Citation classes; the first that matches counts.
 CITATION_CLASSES = [
     ("<YEARNOTINPARENS>", r"(?:19|20|['`])\d\d[a-z]?"),
     ("<YEARINPARENS>", r"\(\s*(?:19|20)\d\d[a-z]?\s*\)"),
@@ -22,20 +33,40 @@ CITATION_CLASSES = [
     ("<VOLUME_NUMBER>", r"\d\d?\s*\(\d?\)"),
     ("<VOLUME>", r"\(\s*\d\d?\s*\)"),
     ("<NUMERIC>", r"\d[\d,]+\.?\d*"),
-    ("<DOFTW>", "(?:" + "|".join(d[0].upper() + d[1:] for d in _DAYS.split("|")) + ")day"),
-    ("<MONTH>", "|".join(m.capitalize() for m in [*_LONG_MONTHS, "mar", *_SHORT_MONTHS])),
+    ("<DOFTW>", r"(?:Mon|Tues?|Wed(?:nes)?|Thurs?|Fri|Satu?r?|Sun)day"),
+    ("<MONTH>", r"January|February|March|April|May|June|July|August|September|October|November|December|Mar|Jan|Feb|Apr|Jun|Jul|Aug|Sep|Sept|Oct|Nov|Dec"),
     ("<CARDINAL-DIRECTION>", r"(?i)(?:north|south|east|west)\s*(?:east|west)?"),
 ]
-_ORDINALS = "first second third fourth fifth sixth seventh eighth ninth tenth eleventh twelfth thirteenth fourteenth fifteenth sixteenth seventeenth eighteenth nineteenth twentieth thirtieth fou?rtieth fiftieth sixtieth seventieth eightieth nine?tieth hundredth".split()
-#: Citation pattern features of a whole token.
+#: Citation pattern features.
 CITATION_PATTERNS = [
-    ("CONTAINSDOTS", r"[^.]*\..*"), ("CONTAINSCOMMA", ".*,.*"), ("CONTAINSDASH", "[A-Za-z0-9]+-[A-Za-z0-9]*"), ("ACRO", r"[A-Z][A-Z.]*\.[A-Z.]*"),
-    ("URL1", r"www\..*|https?://.*|ftp\..*|.*\.edu/?.*"), ("PossiblePage", r"\d+\s*[\-{#]+\s*\d+"), ("PossibleVol", r"\d\d?\s*\(\d+\)"),
-    ("5+digit", r"\d{5,}"), ("HasDigit", r".*\d.*"), ("AllDigits", r"\d+"), ("ORDINAL1", r"(?i)\d+(?:st|nd|rd|th)"), ("ORDINAL2", f"(?i)(?:{'|'.join(_ORDINALS)})"),
-    ("Punc", r"[,.;:?!()\"'`]"), ("LeadQuote", "[\"'`]"), ("EndQuote", "[\"'`][^s]?"), ("MultiHyphen", r"\S*-\S*-\S*"), ("ContainsPunc", r"[\-,:;]"),
-    ("StopPunc", r"[!?.\"']"), ("LONELYINITIAL", r"[A-Z]\."), ("CAPLETTER", "[A-Z]"), ("ALLCAPS", "[A-Z]+"), ("INITCAP", "[A-Z].*"),
-    ("HASEDITOR", r"(?:ed|eds)\.|editors?"), ("HASINSTITUTE", r"Universit(?:y|e|eit)|(?:Univ|Dept)\.?|Institute|Corporation|Department|Laborator(?:y|ies)|Labs"),
-]
+    ("CONTAINSDOTS", r"[^.]*\..*"),
+    ("CONTAINSCOMMA", r".*,.*"),
+    ("CONTAINSDASH", r"[A-Za-z0-9]+-[A-Za-z0-9]*"),
+    ("ACRO", r"[A-Z][A-Z.]*\.[A-Z.]*"),
+    ("URL1", r"www\..*|https?://.*|ftp\..*|.*\.edu/?.*"),
+    ("PossiblePage", r"\d+\s*[\-{#]+\s*\d+"),
+    ("PossibleVol", r"\d\d?\s*\(\d+\)"),
+    ("5+digit", r"\d{5,}"),
+    ("HasDigit", r".*\d.*"),
+    ("AllDigits", r"\d+"),
+    ("ORDINAL1", r"(?i)\d+(?:st|nd|rd|th)"),
+    (
+        "ORDINAL2",
+        r"(?i)(?:first|second|third|fourth|fifth|sixth|seventh|eighth|ninth|tenth|eleventh|twelfth|thirteenth|fourteenth|fifteenth|sixteenth|seventeenth|eighteenth|nineteenth|twentieth|thirtieth|fou?rtieth|fiftieth|sixtieth|seventieth|eightieth|nine?tieth|hundredth)",
+    ),
+    ("Punc", r"[,.;:?!()\"'`]"),
+    ("LeadQuote", "[\"'`]"),
+    ("EndQuote", "[\"'`][^s]?"),
+    ("MultiHyphen", r"\S*-\S*-\S*"),
+    ("ContainsPunc", r"[\-,:;]"),
+    ("StopPunc", r"[!?.\"']"),
+    ("LONELYINITIAL", r"[A-Z]\."),
+    ("CAPLETTER", r"[A-Z]"),
+    ("ALLCAPS", r"[A-Z]+"),
+    ("INITCAP", r"[A-Z].*"),
+    ("HASEDITOR", r"ed\.|editor|editors|eds\."),
+    ("HASINSTITUTE", r"University|Universite|Universiteit|Univ\.?|Dept\.?|Institute|Corporation|Department|Laboratory|Laboratories|Labs"),
+]
 #: Words around which a segment may end; and the text features of neighbours at these offsets.
 BORDER_WORDS = r"and|et.?|vol.?|no.?|pp.?|pages"
 OFFSETS = (1, -1, 2, -2)
@@ -70,7 +101,7 @@ def hotel_features(token: Column) -> Column:
 
 
 def shape(token: Column, most: int = 5) -> Column:
-    """Letters as A or a, digits as 1, runs shortened to ``most`` characters in all."""
+    """Classes of the first ``most`` characters: capitals A, other letters a, digits 1, others as they are."""
     return F.substring(F.regexp_replace(F.regexp_replace(F.regexp_replace(token, "[A-Z]", "A"), "[a-z]", "a"), "[0-9]", "1"), 1, most)
 
 

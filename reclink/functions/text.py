@@ -12,14 +12,21 @@ WORD = r"[^\x20\x09-\x0D]+"
 HOTEL_LEXER = r"\d+(?:\.\d+)?\*|\d+/\d+(?:/\d+)?|\$\d+(?:\.\d+)?|[A-Za-z]+|[()\"'\-.,]+|\S+"
 TAG = r"</?[A-Za-z][^>]*>"
 NOT_TEXT = r"(?s)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>"
-#: Citation markup: what is replaced, by what, in this order.
+#: Citation markup: fixed replacements, in this order.
 CITATION_RULES = [
-    *((f"</?{tag}>", " ") for tag in ("ref-marker", "authors", "author-(?:first|middle|last)", "reference-hlabeled")),
-    *((f"<(/?){old}>", f"<$1{new}>") for old, new in (("conference", "booktitle"), ("thesis", "tech"))),
+    ("</?ref-marker>", " "),
+    ("</?authors>", " "),
+    ("</?author-(?:first|middle|last)>", " "),
+    ("</?reference-hlabeled>", " "),
+    ("<(/?)conference>", "<$1booktitle>"),
+    ("<(/?)thesis>", "<$1tech>"),
     ("</?(?:sub|sup|tt|i|b)>", " "),
-    *((f"<(/?){old}>", f"<$1{new}>") for old, new in (("number", "volume"), ("address", "location"))),
-    *((f"</?{tag}>", " ") for tag in ("web", "note")),
-    *((f"<{tag}>[^<]*</{tag}>", " ") for tag in ("isbn", "crossref")),
+    ("<(/?)number>", "<$1volume>"),
+    ("<(/?)address>", "<$1location>"),
+    ("</?web>", " "),
+    ("</?note>", " "),
+    ("<isbn>[^<]*</isbn>", " "),
+    ("<crossref>[^<]*</crossref>", " "),
     ("&amp;", " and "),
     (r"^\s+", ""),
 ]
