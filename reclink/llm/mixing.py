@@ -12,7 +12,8 @@ within a block are documents put in order, so a source that holds a third of all
 
 Defined cases: null texts have no tokens; a null source is a source; a source without tokens has no weight and no copies;
 repeated rows are documents like any other (equal ones may change places); an empty table gives an empty result; one source
-keeps its share whatever the target; extra columns are kept.
+keeps its share whatever the target; extra columns are kept, but ``mix`` replaces those named like its results (``mixture`` keeps them too).
+A source's rest may be left short by less than the first document of the permutation that doesn't fit.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from reclink.llm.words import exact
+from reclink.llm.words import exact, numbered, restored
 from reclink.session import written
 
 ENTROPY, MAX_REPEATS, SEED, BLOCKS_DIGITS, LEVELS, ROUNDS = 0.95, 4.0, 17, 3, 4, 10
@@ -99,7 +100,8 @@ def mix(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", tex
     return joined.withColumn("mix_copies", (F.col("mix__whole") + more.cast("int")).cast("bigint")).select(*exact(docs.columns), *extra)
 
 
-def mixture(docs: DataFrame, **options) -> DataFrame:
-    """The mixture itself, in the columns of ``docs``: each document as many times as it was chosen."""
-    mixed = mix(docs, **options).where("mix_copies > 0")
-    return mixed.withColumn("mix_copies", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("mix_copies")))).select(*exact(docs.columns))
+def mixture(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The mixture itself, in the columns of ``docs``, whatever their names: each document as many times as it was chosen."""
+    own, names = numbered(docs)
+    mixed = mix(own, names[source_col], names[id_col], names[text_col], **options).where("mix_copies > 0")
+    return restored(mixed.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("mix_copies")))), names)

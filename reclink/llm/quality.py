@@ -14,7 +14,8 @@ joined back, by broadcast if it has at most ``BROADCAST_PATHS`` rows (counted fi
 
 Defined cases: a null or empty text has all features zero; null hosts and paths are groups of their own; without labels of
 both classes every document has the labels' share (1 without labels) as evidence; labels of null are ignored, of several of
-one document the highest counts; repeated rows are scored each; extra columns are kept.
+one document the highest counts; repeated rows are scored each; extra columns are kept, but ``assess`` replaces those named like
+its results (``accepted`` keeps them too).
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from reclink.llm.logistic import fit as fit_weights
 from reclink.llm.logistic import sigmoid
 from reclink.llm.toxicity import held_out
-from reclink.llm.words import exact
+from reclink.llm.words import exact, numbered, restored
 from reclink.session import written
 
 TRAIN_DOCS, SITE_WEIGHT, BROADCAST_PATHS, THRESHOLD = 12_000, 0.5, 100_000, 0.5
@@ -126,3 +127,9 @@ def assess(docs: DataFrame, model: Classifier, host: Column, path: Column, text_
     logit = _logit(F.col("q_evidence")) + SITE_WEIGHT * (_logit(q_path) - _logit(F.lit(float(share))))
     scored = joined.withColumns({"q_path": q_path, "q_score": 1 / (1 + F.exp(-logit))})
     return scored.withColumn("q_keep", F.col("q_score") >= THRESHOLD).select(*exact(docs.columns), *extra)
+
+
+def accepted(docs: DataFrame, model: Classifier, host: str = "source", path: str = "lang", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are kept, in its columns, whatever their names."""
+    own, names = numbered(docs)
+    return restored(assess(own, model, F.col(names[host]), F.col(names[path]), names[text_col]).where("q_keep"), names)

@@ -18,15 +18,17 @@ Similar documents (shingle sets of a Jaccard similarity of 0.8 or more) differ i
 a radius the pigeonhole argument asks for parts of 5 bits for each differing one: candidates in proportion to the square of
 the input.  ``similar_documents`` so probes parts of a signature of ``WORDS`` words at threshold 0, as wide and as many as
 cost least for a given recall.  This signature counts each shingle of a text once, as its set does; the fingerprints of
-``near_duplicates`` count repeats.  Pairs within a wide margin of the expected number of bits are candidates, and each is
-verified by its texts' sets of shingle hashes.  Pairs within a component needn't be verified, so candidates come in rounds: of
-each row's first ``FIRST_MATES`` candidates of other components within a run, then of ``MORE_MATES`` times as many in the
-runs where that left any out, until no run is left.  So a group of near copies costs far less than its square, and all
-candidates are verified or already joined.
+``near_duplicates`` count repeats.  Rows that share a part and whose first ``SENT`` words are within a wide margin are
+candidates, and each pair is verified by its texts' sets of shingle hashes.  Pairs within a component needn't be verified, so
+candidates come in rounds: of each row's first ``FIRST_MATES`` candidates in the order of ids, which are mostly the same in
+every part, then of ``MORE_MATES`` times as many of other components, for the rows alone that still have any.  All
+candidates are verified or already joined.  A pair's smaller row is a hub, whose set is sent once for all pairs it is in
+(once for each ``HUB_PAIRS`` of them).
 
 Defined cases: a null text is an empty one; texts without a word have fingerprint zero and link like any other; a text of
 fewer words than a shingle is one shingle; repeated rows have equal fingerprints; rows with a null id keep their
-fingerprint and have a null component; an empty table gives an empty result; extra columns are not read.
+fingerprint and have a null component; an empty table gives an empty result; extra columns are not read.  For similar
+documents, rows that share an id but not a text are documents of their own.
 """
 
 from __future__ import annotations
@@ -34,9 +36,12 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reclink.llm.components import components
@@ -45,11 +50,13 @@ from reclink.session import written
 
 BITS, RADIUS, SHINGLE = 64, 2, 3
 SAMPLE, RUN, LONG = 4_096, 2_048, 65_536
-#: Words of a signature of similar documents, and the share of pairs at the similarity itself that parts must bring together.
-WORDS, RECALL = 8, 0.95
-#: Standard deviations above the expected number of differing bits up to which pairs are candidates, of all words and of the first.
-MARGIN, FIRST_MARGIN = 6.0, 5.0
-FIRST_MATES, MORE_MATES = 1, 16
+#: Words of a signature of similar documents, those of them that go with a key, and the share of pairs at the similarity itself that parts must bring together.
+WORDS, SENT, RECALL = 8, 2, 0.99
+#: Standard deviations above the expected number of differing bits up to which pairs are candidates.
+MARGIN = 5.0
+FIRST_MATES, MORE_MATES, HUB_PAIRS = 1, 16, 4_096
+#: Rows of one signature from which they are joined by broadcast, and most signatures and ids that are broadcast (after a count).
+HOT, MOST_HOT, MOST_IDS = 1_000, 500_000, 1_000_000
 #: Comparisons that cost as much as a row in a shuffle.
 ROW_COST = 400.0
 
@@ -273,16 +280,19 @@ def _bytes_of(column, width: int) -> np.ndarray:
 
 def _whole_runs(batches, width: int):
     """The columns of batches, whose first one is sorted, as arrays that hold whole runs of it; binary columns are signatures."""
-    left = None
+    held: list[list[np.ndarray]] = []
+    joined = lambda parts: [np.concatenate(x) for x in zip(*parts)]
     for batch in batches:
         now = [_bytes_of(c, width) if pa.types.is_binary(c.type) else np.asarray(c) for c in batch.columns]
-        left = now if left is None else [np.concatenate(x) for x in zip(left, now)]
-        at = int(np.searchsorted(left[0], left[0][-1], "left")) if len(left[0]) else 0
-        if at:
-            yield [x[:at] for x in left]
-            left = [x[at:] for x in left]
-    if left is not None and len(left[0]):
-        yield left
+        if not len(now[0]):
+            continue
+        at = int(np.searchsorted(now[0], now[0][-1], "left"))
+        if at or held and held[-1][0][-1] != now[0][0]:
+            yield joined([*held, [x[:at] for x in now]])
+            held = []
+        held.append([x[at:] for x in now])
+    if held:
+        yield joined(held)
 
 
 def links(distinct: DataFrame, keys, radius: int = RADIUS, whole: int | None = None, width: int = 1) -> DataFrame:
@@ -331,7 +341,7 @@ def part_keys(words: np.ndarray, bits: int, parts: int):
 
 
 def mates(keys: np.ndarray, groups: np.ndarray, near: Near, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, mate) index pairs that are near, with equal keys and different groups, and the rows of runs where some are left out.
+    """(row, mate) index pairs that are near, with equal keys and different groups, and the rows that have more mates than these, with those mates.
 
     Each row has up to ``most`` mates, of the groups before its own by size within the run.
     """
@@ -354,9 +364,26 @@ def mates(keys: np.ndarray, groups: np.ndarray, near: Near, most: int) -> tuple[
         a.append(order[hit])
         b.append(order[first[hit] + d])
         d += 1
-    cut = np.isin(first, np.unique(first[count > most]))
+    again = count > most
+    # whatever is near to a row that stopped comes back with it; hungry rows of a run, one after the other, against the other rows
+    hungry = np.flatnonzero(again)
+    start, size = _runs(first[hungry]) if len(hungry) else (hungry, hungry)
+    run_of = np.full(len(k), -1)
+    run_of[first[hungry[start]]] = np.arange(len(start))
+    own = run_of[first]
+    rows, d = np.flatnonzero((own >= 0) & ~again), 0
+    while len(rows := rows[(size[own[rows]] > d) & ~again[rows]]):
+        other = hungry[start[own[rows]] + d]
+        apart = rows[g[rows] != g[other]]
+        again[apart[near(order[apart], order[hungry[start[own[apart]] + d]])]] = True
+        d += 1
     none = np.zeros(0, np.int64)
-    return np.concatenate([none, *a]), np.concatenate([none, *b]), order[cut]
+    return np.concatenate([none, *a]), np.concatenate([none, *b]), order[again]
+
+
+def _few(ids: DataFrame) -> DataFrame:
+    """A written table of ids, marked for a broadcast if a count says that it is small."""
+    return F.broadcast(ids) if ids.count() <= MOST_IDS else ids
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
@@ -371,7 +398,9 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str,
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps.view(np.int64)), pa.array([x.tobytes() for x in sets], pa.binary())], names=["id", "fp", "hashes"])
 
     texts = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    return texts.join(wanted.distinct(), "id", "left_semi").distinct().mapInArrow(run, "id bigint, fp bigint, hashes binary")
+    found = texts.join(_few(written(wanted.distinct(), "wanted")), "id", "left_semi").mapInArrow(run, "id bigint, fp bigint, hashes binary")
+    # rows that repeat an id and a text, and texts of equal sets under one id, are one
+    return found.groupBy("id", "fp").agg(F.min("hashes").alias("hashes"))
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -384,66 +413,103 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(u, v): the pairs (u, fu, v, fv) whose sets have at least that Jaccard similarity."""
+    """(u, v), structs of id and fp: the pairs whose sets have at least that Jaccard similarity.  A hub u's set is sent to each of its salts, a v's set to its hubs."""
 
     def run(batches):
+        hub, of = None, np.zeros(0, np.uint64)
         for batch in batches:
-            u, v, a, b = batch.columns
-            good = [jaccard(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")) >= similarity for x, y in zip(a, b)]
-            yield pa.RecordBatch.from_arrays([u, v], names=["u", "v"]).filter(pa.array(good, pa.bool_()))
-
-    one = sets.select(F.col("id").alias("u"), F.col("fp").alias("fu"), F.col("hashes").alias("a"))
-    other = sets.select(F.col("id").alias("v"), F.col("fp").alias("fv"), F.col("hashes").alias("b"))
-    return pairs.join(one, ["u", "fu"]).join(other, ["v", "fv"]).select("u", "v", "a", "b").mapInArrow(run, "u bigint, v bigint")
-
-
-def similar_links(distinct: DataFrame, keys, sets_of, radius: int, whole: int, width: int, similarity: float) -> DataFrame:
-    """Links (u, v) that connect what is similar among ``distinct`` (fp, sig, id), of rows that share one of ``keys`` and are near by their signatures.
+            good = []
+            ids = zip(*(batch.column(i).to_pylist() for i in range(5)))
+            for n, (salt, u, fu, v, _) in enumerate(ids):
+                own = np.frombuffer(batch.column(5)[n].as_buffer(), "<u8")
+                if v is None:
+                    hub, of = (salt, u, fu), own.copy()
+                elif hub == (salt, u, fu) and jaccard(of, own) >= similarity:
+                    good.append(n)
+            taken = pa.RecordBatch.from_arrays(batch.columns[1:5], names=["u", "fu", "v", "fv"]).take(pa.array(good, pa.int64()))
+            yield taken
+
+    hubs = pairs.groupBy("u", "fu").agg(F.count(F.lit(1)).alias("n")).withColumn("salts", F.ceil(F.col("n") / HUB_PAIRS).cast("int"))
+    salted = pairs.join(hubs, ["u", "fu"]).withColumn("salt", F.pmod(F.xxhash64("v", "fv"), F.col("salts")).cast("int"))
+    one = hubs.join(sets.select(F.col("id").alias("u"), F.col("fp").alias("fu"), "hashes"), ["u", "fu"])
+    one = one.select(F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "u", "fu", F.lit(None).cast("bigint").alias("v"), F.lit(None).cast("bigint").alias("fv"), "hashes")
+    other = salted.select("salt", "u", "fu", "v", "fv").join(sets.select(F.col("id").alias("v"), F.col("fp").alias("fv"), "hashes"), ["v", "fv"]).select(*one.columns)
+    meet = one.union(other).repartition("salt", "u", "fu").sortWithinPartitions("salt", "u", "fu", F.col("v").asc_nulls_first())
+    found = meet.mapInArrow(run, "u bigint, fu bigint, v bigint, fv bigint")
+    return found.select(F.struct(F.col("u").alias("id"), F.col("fu").alias("fp")).alias("u"), F.struct(F.col("v").alias("id"), F.col("fv").alias("fp")).alias("v"))
+
+
+def similar_links(distinct: DataFrame, keys, sets_of, near: int, width: int, similarity: float) -> DataFrame:
+    """Links (u, v) that connect what is similar among ``distinct`` (fp, sig, id), of rows that share one of ``keys`` and are near by their first words.
 
     ``sets_of`` gives the table (id, fp, hashes) of a table of ids.
     """
+    some = pa.scalar(8 * SENT)
 
     def probe(batches):
         for batch in batches:
+            sent = pa.compute.binary_slice(batch.column(0), 0, some.as_py())
             for k in keys(_bytes_of(batch.column(0), width)) if batch.num_rows else ():
-                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), batch.column(0), batch.column(1), batch.column(1)], names=["k", "sig", "id", "g"])
+                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), sent, batch.column(1)], names=["k", "sig", "id"])
 
     def meet(most):
         def run(batches):
-            for k, sig, i, g in _whole_runs(batches, width):
-                a, b, cut = mates(k, g, Near(sig, radius, whole), most)
+            for k, sig, i, *g in _whole_runs(batches, SENT):
                 fp = sig[:, 0].copy().view(np.int64)
-                # pairs have no key, rows of runs to come back to have no mate
-                swap = (i[a] > i[b]) | ((i[a] == i[b]) & (fp[a] > fp[b]))
+                # in the order of ids at first; later by component
+                place = np.lexsort((fp, i))
+                rank = np.empty(len(i), np.int64)
+                rank[place] = np.arange(len(i))
+                group = _numbers(*g) if g else rank
+                a, b, cut = mates(k, group, Near(sig, BITS, near), most)
+                # pairs have no key, rows to come back to have no mate
+                swap = rank[a] > rank[b]
                 a, b = np.where(swap, b, a), np.where(swap, a, b)
                 none = lambda n: pa.nulls(n, pa.int64())
                 columns = [(none(len(a)), k[cut]), (i[a], i[cut]), (fp[a], fp[cut]), (i[b], none(len(cut))), (fp[b], none(len(cut)))]
-                yield pa.RecordBatch.from_arrays([pa.concat_arrays([x if isinstance(x, pa.Array) else pa.array(x, pa.int64()) for x in c]) for c in columns], names=["k", "u", "fu", "v", "fv"])
+                sent = pa.concat_arrays([pa.nulls(len(a), pa.binary()), pa.array([x.tobytes() for x in sig[cut]], pa.binary())])
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays([x if isinstance(x, pa.Array) else pa.array(x, pa.int64()) for x in c]) for c in columns] + [sent], names=["k", "u", "fu", "v", "fv", "sig"])
 
         return run
 
-    rows, most, sets, found = distinct.select("sig", "id").mapInArrow(probe, "k bigint, sig binary, id bigint, g bigint"), FIRST_MATES, None, None
+    rows, most, sets, found = distinct.select("sig", "id").mapInArrow(probe, "k bigint, sig binary, id bigint"), FIRST_MATES, None, None
     while True:
-        out = written(rows.repartition("k").sortWithinPartitions("k").mapInArrow(meet(most), "k bigint, u bigint, fu bigint, v bigint, fv bigint"), "meetings")
+        out = written(rows.repartition("k").sortWithinPartitions("k").mapInArrow(meet(most), "k bigint, u bigint, fu bigint, v bigint, fv bigint, sig binary"), "meetings")
         if sets is None:
             sets = written(sets_of(out.select(F.col("u").alias("id")).union(out.where("v is not null").select(F.col("v").alias("id")))), "shingle-sets")
         new = _similar(out.where("v is not null").select("u", "fu", "v", "fv").distinct(), sets, similarity)
         found = written(new if found is None else new.union(found), "similar")
-        left = out.where("v is null").select("k", F.col("u").alias("id"), F.col("fu").alias("fp"))
+        left = out.where("v is null").select("k", "sig", F.col("u").alias("id"), F.col("fu").alias("fp"))
         if left.isEmpty():
             return found
-        of = components(found)
-        left = left.join(distinct, ["id", "fp"]).join(of, F.col("id") == of["node"], "left")
-        rows, most = left.select("k", "sig", "id", F.coalesce("component", "id").alias("g")), most * MORE_MATES
+        of = components(found).select(F.col("node.id").alias("id"), F.col("node.fp").alias("fp"), F.col("component.id").alias("g"), F.col("component.fp").alias("gf"))
+        rows, most = left.join(of, ["id", "fp"], "left").select("k", "sig", "id", F.coalesce("g", "id").alias("g"), F.coalesce("gf", "fp").alias("gf")), most * MORE_MATES
+
+
+def _numbers(*columns: np.ndarray) -> np.ndarray:
+    """A number for each distinct combination of values, in their order."""
+    order = np.lexsort(columns[::-1])
+    new = np.zeros(len(order), bool)
+    for c in columns:
+        new[1:] |= c[order][1:] != c[order][:-1]
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(new)
+    return out
 
 
-def _components(docs: DataFrame, id_col: str, text_col: str, shingle: int, width: int, linked, distinct_shingles: bool = False) -> DataFrame:
-    """(id, fp, component_id) for every row; ``linked`` gives the links of distinct signatures (fp, sig, id), of which there are n."""
+def _folded(docs: DataFrame, id_col: str, text_col: str, shingle: int, width: int, distinct_shingles: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(id, fp, sig) of every row, and (fp, sig, id, n) with the smallest id and the number of rows for each signature."""
     prints = written(signatures(docs, id_col, text_col, shingle, width, distinct_shingles), "fingerprints")
-    distinct = written(prints.where("id is not null").groupBy("fp", "sig").agg(F.min("id").alias("id")), "distinct")
-    found = components(linked(distinct, distinct.count()))
-    of = distinct.join(found, distinct["id"] == found["node"], "left").select("sig", F.coalesce("component", "id").alias("component_id"))
-    return prints.join(of, "sig", "left").select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
+    return prints, written(prints.where("id is not null").groupBy("fp", "sig").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")), "distinct")
+
+
+def _unfolded(prints: DataFrame, of: DataFrame) -> DataFrame:
+    """``prints`` with the component of their signature in ``of`` (sig, n, component); signatures of many rows are joined by broadcast."""
+    hot = of.where(F.col("n") > HOT)
+    if not 0 < hot.count() <= MOST_HOT:
+        return prints.join(of.select("sig", "component"), "sig", "left")
+    rest = prints.join(F.broadcast(hot.select("sig")), "sig", "left_anti").join(of.select("sig", "component"), "sig", "left")
+    return rest.unionByName(prints.join(F.broadcast(hot.select("sig", "component")), "sig"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -454,7 +520,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         plan = plan_search(sample, n, radius)
         return links(distinct, lambda words: _keys(words[:, 0], plan), radius)
 
-    return _components(docs, id_col, text_col, shingle, 1, linked).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    prints, distinct = _folded(docs, id_col, text_col, shingle, 1)
+    found = components(linked(distinct, distinct.count()))
+    of = written(distinct.join(found, distinct["id"] == found["node"], "left").select("sig", "n", F.coalesce("component", "id").alias("component")), "components")
+    return _unfolded(prints, of).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("id").isNotNull(), F.col("component")).alias("component_id"))
+
+
+def _similar_rows(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, recall: float) -> DataFrame:
+    """(id, fp, component: struct of id and fp) for every row."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    near = int(np.ceil(SENT * BITS * share + MARGIN * np.sqrt(share * (1 - share) * SENT * BITS)))
+    prints, distinct = _folded(docs, id_col, text_col, shingle, WORDS, True)
+    bits, parts = plan_parts(max(distinct.count(), 1), 1 - share, recall)
+    sets_of = lambda ids: shingle_sets(docs, ids, id_col, text_col, shingle)
+    found = components(similar_links(distinct, lambda words: part_keys(words, bits, parts), sets_of, near, WORDS, similarity))
+    own = F.struct("id", "fp")
+    of = written(distinct.withColumn("own", own).join(found, F.col("own") == F.col("node"), "left").select("sig", "n", F.coalesce("component", "own").alias("component")), "components")
+    return _unfolded(prints, of).select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, recall: float = RECALL) -> DataFrame:
@@ -464,22 +546,31 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     of a half turn: 78 of 512 bits at 0.8, give or take 8.  Parts bring at least ``recall`` of the pairs at that similarity together, and more
     of those above it; all that they bring together and that is within the margin is verified exactly.
     """
-    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    spread = np.sqrt(share * (1 - share))
-    whole = int(np.ceil(WORDS * BITS * share + MARGIN * spread * np.sqrt(WORDS * BITS)))
-    # the first word alone turns most other pairs away
-    first = int(np.ceil(BITS * share + FIRST_MARGIN * spread * np.sqrt(BITS)))
-
-    def linked(distinct: DataFrame, n: int) -> DataFrame:
-        bits, parts = plan_parts(max(n, 1), 1 - share, recall)
-        sets_of = lambda ids: shingle_sets(docs, ids, id_col, text_col, shingle)
-        return similar_links(distinct, lambda words: part_keys(words, bits, parts), sets_of, first, whole, WORDS, similarity)
+    rows = _similar_rows(docs, id_col, text_col, shingle, similarity, recall)
+    return rows.select(F.col("id").alias(id_col), F.col("component.id").alias("component_id"))
 
-    return _components(docs, id_col, text_col, shingle, WORDS, linked, True).select(F.col("id").alias(id_col), "component_id")
 
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, recall: float = RECALL) -> DataFrame:
+    """``docs`` with one document, that of the smallest id, of each group of similar ones.
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``docs`` with one document, that of the smallest id, of each group of similar ones; rows with a null id all stay, of rows that repeat an id one stays."""
-    gone = similar_documents(docs, id_col, text_col, shingle, similarity).where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    kept = docs.join(gone, id_col, "left_anti")
-    return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull())).select(*exact(docs.columns))
+    Rows with a null id all stay.  Rows that share an id are documents of their own if their texts aren't similar, else the
+    one with the first text stays.
+    """
+    rows = written(_similar_rows(docs, id_col, text_col, shingle, similarity, recall).where("id is not null"), "similar-rows")
+    stays = F.struct("id", "fp") == F.col("component")
+    repeated = written(rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id"), "repeated-ids")
+    gone = written(rows.where(~stays).select("id").union(repeated).distinct(), "gone")
+    key = F.col(f"`{id_col}`").cast("bigint")
+    ones = docs.join(_few(gone.withColumnRenamed("id", "near__id")), key == F.col("near__id"), "left_anti")
+    if repeated.isEmpty():
+        return ones
+
+    @F.pandas_udf("bigint")
+    def first_word(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint((x or "").encode(), shingle, 1, True)[0] for x in texts], np.uint64).view(np.int64))
+
+    several = docs.join(_few(repeated.withColumnRenamed("id", "near__id")), key == F.col("near__id"), "left_semi").withColumn("near__fp", first_word(f"`{text_col}`"))
+    kept = rows.where(stays).select(F.col("id").alias("near__id"), F.col("fp").alias("near__of")).distinct()
+    several = several.join(kept, (key == F.col("near__id")) & (F.col("near__fp") == F.col("near__of")), "left_semi")
+    first = several.withColumn("near__n", F.row_number().over(W.partitionBy(key, "near__fp").orderBy(F.col(f"`{text_col}`").asc_nulls_first(), *exact([c for c in docs.columns if c != text_col]))))
+    return ones.unionByName(first.where("near__n = 1").select(*exact(docs.columns)))

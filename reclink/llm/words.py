@@ -8,7 +8,7 @@ find candidates, and whoever needs certainty compares the words themselves.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _WORD = np.ones(256, bool)
@@ -91,3 +91,14 @@ def blocks_of(sizes: np.ndarray, most: int):
 def exact(names: list[str]) -> list[Column]:
     """Columns of these names, whatever characters they have."""
     return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The same rows under names that nothing else uses, and the new name of each column, so that no result hides an input column."""
+    names = {c: f"in__{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*[c.alias(n) for c, n in zip(exact(docs.columns), names.values())]), names
+
+
+def restored(rows: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The columns of ``numbered`` rows, under their own names."""
+    return rows.select(*[F.col(n).alias(c) for c, n in names.items()])
