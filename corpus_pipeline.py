@@ -1,7 +1,8 @@
 """From raw documents to token ids: quality, near-duplicates, repeated passages, the mixture of sources, BPE.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again as the next one's ``docs``.
-All but the last return the columns of ``documents``.
+All but the last return the columns of ``documents``, and extra ones with the values they had, whatever their names.  Null
+texts are empty ones and null ids are no one's copies; rows repeated as a whole are near duplicates; empty tables go through.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that the quality classifier, with the posteriors of their source and language, rejects go."""
     ship(spark)
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.assess(docs, model, F.col("source"), F.col("lang")).where("q_keep").select(*exact(docs.columns))
+    return quality.accepted(docs, model)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +56,7 @@ STAGES = [
     ("bpe encoding and decoding", bpe_stage),
 ]
 
-#: SQL can't express the classifier, the signatures or the encoder; tests hold the stages against brute force.
+#: SQL can't express the classifier, the signatures or the encoder; tests hold each stage against a brute-force version of it.
 ORACLE_SQL = None
 
 
