@@ -36,12 +36,12 @@ from reclink.llm.words import mixed
 #: Symbols up to which a word is merged by scanning its rank array.
 SHORT = 128
 #: Entries at which a new generation of a cache (of chunks, of pieces) begins; a block of texts may add more.  Two generations are kept.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 200_000
 NO_RANK = 1 << 30
 #: Masks of the first bytes of a little-endian number.
 _LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 #: Bytes of text that are looked up together.
-BLOCK = 4_000_000
+BLOCK = 2_000_000
 #: Rows of a batch of results.
 ROWS = 500
 _SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"

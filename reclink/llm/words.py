@@ -30,7 +30,7 @@ def _power_table(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
             steps[0] = 1
             out.append(np.multiply.accumulate(steps))
         have = (out[0], out[1])
-        if size <= 1 << 22:
+        if size <= 1 << 21:
             _powers[base] = have
     return have
 

@@ -239,13 +239,32 @@ def test_nearest_awkward(spark):
     bad = [(20, None), (40, [0.0, 0.0]), (60, [float("nan"), 1.0]), (80, [1.0, None]), (100, [float("inf"), 1.0]), (None, [1.0, 1.0]), (120, [1.0, 2.0, 3.0]), (140, [])]
     good = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.5, 0.5]), (160, [0.0, 1.0]), (160, [0.0, 1.0])]
     rows = spark.createDataFrame([(i, v, "x", 1) for i, v in bad + good], "vec_id bigint, embedding array<float>, id string, b int")
-    found = ann.nearest(rows, F.col("id") % 20 == 0, probes=64).orderBy("query_id", "rank", "vec_id").collect()
-    assert {r["query_id"] for r in found} == {0, 160}
-    assert [r["vec_id"] for r in found if r["query_id"] == 0][:2] == [1, 2]
-    assert all(r["vec_id"] != r["query_id"] for r in found)
+    found = ann.nearest(rows, F.col("id") % 20 == 0).orderBy("query_id", "rank", "vec_id").collect()
+    assert [(r["query_id"], r["rank"], r["vec_id"]) for r in found] == [(0, 1, 1), (0, 2, 2), (0, 3, 3), (0, 4, 160), (160, 1, 3), (160, 2, 0), (160, 3, 1), (160, 4, 2)]
     assert ann.nearest(rows.where("false"), F.col("id") % 20 == 0).count() == 0
 
 
+def test_nearest_is_never_short(spark):
+    rng = np.random.default_rng(1)
+    for n, scale in ((1, 1), (6, 1), (21, 1), (400, 1000)):
+        x = rng.normal(size=(n, 16))
+        x[n // 2] *= scale
+        rows = [{"vec_id": 5 * i, "embedding": v.tolist()} for i, v in enumerate(x)]
+        found = ann.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("id") % 20 == 0).collect()
+        expected = {q: [j for _, j in of] for q, of in brute(rows).items()}
+        own = {q: [r["vec_id"] for r in found if r["query_id"] == q] for q in expected}
+        assert {q: len(x) for q, x in own.items()} == {q: min(20, n - 1) for q in expected}
+        assert sum(len(set(own[q]) & set(expected[q])) for q in expected) >= 0.9 * sum(map(len, expected.values()))
+
+
+def test_hot_cells_are_split(spark, monkeypatch):
+    rows = [{"vec_id": i, "embedding": [1.0, 0.0, 0.0]} for i in range(300)] + [{"vec_id": 300 + i, "embedding": [0.0, 1.0, i / 1000]} for i in range(100)]
+    monkeypatch.setattr(ann, "CELL_ROWS", 16)
+    found = ann.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("id") % 20 == 0).orderBy("query_id", "rank").collect()
+    expected = [(q, n + 1, j) for q, of in brute(rows).items() for n, (_, j) in enumerate(of)]
+    assert [(r["query_id"], r["rank"], r["vec_id"]) for r in found if r["query_id"] < 300] == [x for x in sorted(expected) if x[0] < 300]
+
+
 @given(st.lists(st.floats(0, 1, exclude_max=True), min_size=2, max_size=5), st.integers(1, 12))
 def test_probes_come_in_order_of_success(inside, n):
     from itertools import product
@@ -253,5 +272,9 @@ def test_probes_come_in_order_of_success(inside, n):
     every = []
     for moves in product((-1, 0, 1), repeat=len(inside)):
         every.append(sum(f * f if m < 0 else (1 - f) ** 2 for f, m in zip(inside, moves) if m))
-    found = [sum(inside[i] ** 2 if d < 0 else (1 - inside[i]) ** 2 for i, d in s) for s in ann.probe_sequence(np.array(inside), n)]
-    assert np.allclose(found, sorted(every)[: len(found)]) and len(found) == min(n, len(every))
+    steps = 7 ** np.arange(len(inside))
+    codes, scores = ann.probe_sequence(np.array([inside]), steps, n)
+    assert np.allclose(scores[0], sorted(every)[: len(scores[0])]) and len(scores[0]) == min(n, len(every))
+    for code, score in zip(codes[0].tolist(), scores[0]):
+        moves = [m for m in product((-1, 0, 1), repeat=len(inside)) if np.dot(m, steps) == code]
+        assert len(moves) == 1 and score == pytest.approx(sum(f * f if m < 0 else (1 - f) ** 2 for f, m in zip(inside, moves[0]) if m))
