@@ -14,7 +14,7 @@ joined back, by broadcast if it has at most ``BROADCAST_PATHS`` rows (counted fi
 
 Defined cases: a null or empty text has all features zero; null hosts and paths are groups of their own; without labels of
 both classes every document has the labels' share (1 without labels) as evidence; labels of null are ignored, of several of
-one document the highest counts; repeated rows are scored each; extra columns are kept, but ``assess`` replaces those named like
+one document the highest counts; of rows that repeat a labelled id the one with the first text is learnt from; repeated rows are scored each; extra columns are kept, but ``assess`` replaces those named like
 its results (``accepted`` keeps them too).
 """
 
@@ -84,7 +84,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([features(x or "") for x in batch.column(1).to_pylist()], pa.list_(pa.float64()))], names=["y", "x"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("y", "text").mapInArrow(run, "y int, x array<double>").collect()
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min("text").alias("text")).select("y", "text").mapInArrow(run, "y int, x array<double>").collect()
     y = np.array([r["y"] for r in rows], float)
     if not len(y) or y.min() == y.max():
         return Classifier(None, float(y[0]) if len(y) else 1.0, [0.0] * N_FEATURES, [1.0] * N_FEATURES)

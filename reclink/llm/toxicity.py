@@ -4,8 +4,8 @@ Fitting uses a bounded sample of labelled rows (``TRAIN_DOCS``, chosen by a hash
 
 1. Lexicon.  Words and word beginnings (``STEM`` letters) that occur in toxic documents are counted by the number of their
    distinct contexts (the word and the one before it), so that copies of a document count once; then the same in the other
-   documents.  Terms with enough contexts and a high share of toxic ones stay.  The counts are grouped aggregations; only
-   terms that pass the first threshold, and of them at most ``MOST_TERMS``, reach the driver.
+   documents.  Terms with enough contexts and a high share of toxic ones stay, all of them and of any length.  The counts are
+   grouped aggregations; only terms that pass the first threshold reach the driver.
 2. Weights.  The features below of the sample's documents, a few numbers each, go into a logistic regression whose prior
    says that exact hits count most, misspelt ones less, quoted ones least.
 
@@ -16,7 +16,8 @@ hits in the window add to it, as abuse comes in clusters.  Documents are scored
 
 Defined cases: a null or empty text has no hits and the score of such a text; repeated rows get equal scores; no labels, or
 labels of one class: a constant score (0.5 without labels); labels of null are ignored, several of one document: toxic if
-any is; a null id is not held out and never labelled; extra columns are not read.
+any is; a null id is not held out and never labelled; of rows that repeat a labelled id the one with the first text is
+learnt from; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -33,8 +34,9 @@ from reclink.llm.logistic import fit as fit_weights
 from reclink.llm.logistic import sigmoid
 from reclink.session import written
 
-TRAIN_DOCS, MOST_TERMS = 12_000, 4_096
+TRAIN_DOCS = 12_000
 STEM, WINDOW, LEAST_CONTEXTS, LEAST_SHARE = range(3, 8), 8, 6, 0.8
+#: Words in one generation of a matcher's memory, which changes only the speed.
 KNOWN = 300_000
 _EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 _QUOTES = re.compile("[\"“”„«»]")
@@ -133,8 +135,11 @@ class Matcher:
                 self.pieces.setdefault(w[a:b], []).append((a, len(w)))
         self.piece = re.compile("|".join(map(re.escape, sorted(self.pieces))) or r"(?!)").search
         self.piece_lengths = sorted({len(p) for p in self.pieces})
+        self.long_lengths = {len(w) for w in long}
+        # words that are no hits and words that are, and those of the generation before
         self.known: set[str] = set()
         self.hits: dict[str, tuple[float, bool]] = {}
+        self.before: tuple[set[str], dict[str, tuple[float, bool]]] = set(), {}
         lengths = sorted({len(s) for s in model.stems})
         self.stem_lengths = lengths
 
@@ -149,15 +154,15 @@ class Matcher:
             if len(word) >= n and word[:n] in self.model.stems:
                 return self.model.stems[word[:n]], True
         most = edits_for(len(word))
-        if most and len(word) <= 40 and self.may_be_near(word, most) and (found := self.trie.nearest(word, most)) and found[1] <= edits_for(len(found[0])):
+        if most and self.may_be_near(word, most) and (found := self.trie.nearest(word, most)) and found[1] <= edits_for(len(found[0])):
             return self.model.words[found[0]] * (1 - 0.25 * found[1]), False
         return None
 
     def may_be_near(self, word: str, most: int) -> bool:
         """Whether a piece of some lexicon word of fitting length stands in ``word`` where that many edits can have moved it."""
-        if not self.piece(word):
-            return False
         n = len(word)
+        if self.long_lengths.isdisjoint(range(n - most, n + most + 1)) or not self.piece(word):
+            return False
         for size in self.piece_lengths:
             for i in range(n - size + 1):
                 for at, length in self.pieces.get(word[i : i + size], ()):
@@ -168,23 +173,18 @@ class Matcher:
     def features(self, text: str) -> list[float]:
         chunks = text.split()
         distinct = set(chunks)
-        if new := distinct - self.known - self.hits.keys():
-            if len(self.known) > KNOWN:
-                self.known.clear()
-            for chunk in new:
-                hit = self.look_up(chunk)
-                if hit:
-                    self.hits[chunk] = hit
-                else:
-                    self.known.add(chunk)
-            if len(self.hits) > KNOWN:
-                self.hits = {c: h for c in new if (h := self.look_up(c))}
-        if self.hits.keys().isdisjoint(distinct):
-            return [0.0] * len(FEATURES)
-        return self._in_context(chunks)
-
-    def _in_context(self, chunks: list[str]) -> list[float]:
-        lookup = {c: h for c in set(chunks) if (h := self.hits.get(c) or self.look_up(c))}
+        if len(self.known) + len(self.hits) > KNOWN:
+            self.before, self.known, self.hits = (self.known, self.hits), set(), {}
+        known, hits = self.before
+        for chunk in distinct - self.known - self.hits.keys():
+            if chunk in known or not (hit := hits.get(chunk) or self.look_up(chunk)):
+                self.known.add(chunk)
+            else:
+                self.hits[chunk] = hit
+        lookup = {c: self.hits[c] for c in self.hits.keys() & distinct}
+        return self._in_context(chunks, lookup) if lookup else [0.0] * len(FEATURES)
+
+    def _in_context(self, chunks: list[str], lookup: dict[str, tuple[float, bool]]) -> list[float]:
         places = [(i, *lookup[c]) for i, c in enumerate(chunks) if c in lookup]
         plain, quoted, fuzzy, best = 0.0, 0.0, 0.0, 0.0
         low = high = 0
@@ -219,7 +219,7 @@ def _terms(text: str):
     before = ""
     for chunk in text.split():
         word = _EDGES.sub("", chunk.lower())
-        if not word or len(word) > 40:
+        if not word:
             continue
         context = hash_of(before + " " + word)
         if len(word) > 2:
@@ -254,7 +254,7 @@ def _contexts(train: DataFrame, wanted: set[str] | None) -> DataFrame:
 def learn_lexicon(toxic: DataFrame, clean: DataFrame, n_toxic: int, n_clean: int) -> tuple[dict[str, float], dict[str, float]]:
     """Words and beginnings with their log odds."""
     least = max(LEAST_CONTEXTS, n_toxic // 400)
-    rows = _contexts(toxic, None).where(F.col("contexts") >= least).orderBy(F.desc("contexts"), "term").limit(16 * MOST_TERMS).collect()
+    rows = _contexts(toxic, None).where(F.col("contexts") >= least).collect()
     often = {r["term"]: r["contexts"] for r in rows}
     other = {r["term"]: r["contexts"] for r in _contexts(clean, set(often)).collect()}
     odds = {}
@@ -263,7 +263,7 @@ def learn_lexicon(toxic: DataFrame, clean: DataFrame, n_toxic: int, n_clean: int
         b = other.get(term, 0) * n_toxic / max(1, n_clean)
         if a / (a + b + 1) >= LEAST_SHARE and other.get(term, 0) <= 0.25 * a:
             odds[term] = float(np.log((a + 0.5) / (b + 0.5)))
-    odds = dict(sorted(odds.items(), key=lambda x: (-often[x[0]], x[0]))[:MOST_TERMS])
+    odds = dict(sorted(odds.items(), key=lambda x: (-often[x[0]], x[0])))
     words = {t: w for t, w in odds.items() if not t.endswith("*")}
     stems: dict[str, float] = {}
     for t, w in sorted(odds.items(), key=lambda x: len(x[0])):
@@ -279,8 +279,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     n = known.count()
     share = min(1.0, train_docs / max(1, n))
     chosen = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    # at most about train_docs rows of an id and a label
-    train = written(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("id", "y", "text"), "toxicity-train")
+    # at most about train_docs rows, one of an id
+    train = written(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min("text").alias("text")), "toxicity-train")
     size = {r["y"]: r["count"] for r in train.groupBy("y").count().collect()}
     n_toxic, n_clean = size.get(1, 0), sum(v for k, v in size.items() if k != 1)
     if not n_toxic or not n_clean:

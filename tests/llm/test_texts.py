@@ -375,6 +375,16 @@ def test_window_of_a_text_with_many_hits():
     assert matcher.features(" ".join(chunks))[toxicity.FEATURES.index("window")] == pytest.approx(np.log1p(best))
 
 
+def test_memory_of_words_changes_nothing(monkeypatch):
+    model = toxicity.Model({"badword": 2.0, "horrible": 1.0, "x" * 60: 3.0}, {"awf": 1.5})
+    texts = [f"w{i} badword {'horrible' if i % 3 else 'horrable'} v{i} awful{i % 5} w{i - 1}" for i in range(50)] + ["x" * 59 + "y", "x" * 62, "x" * 63]
+    expected = [model.matcher().features(x) for x in texts]
+    assert expected[50][4] == 1 and expected[51][4] == 1 and not any(expected[52])
+    monkeypatch.setattr(toxicity, "KNOWN", 3)
+    matcher = model.matcher()
+    assert [matcher.features(x) for x in texts] == expected
+
+
 def test_toxicity_separates_held_out(spark):
     docs, known = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     model = toxicity.fit(docs, known)
