@@ -10,9 +10,9 @@ themselves decide.
 2. A bucket answers each group with those of its anchors that several documents have.
 3. A group cuts the passages around anchors that recur (the windows that share an occurrence of the anchor) and sends the
    distinct ones, with the smallest id that has them, to a shard by the anchor's hash.
-4. A shard confirms: where all passages around an anchor are the same words, that is the answer.  Else its recurring
-   windows, as sequences of word numbers, are compiled into a pyahocorasick automaton, and all passages of the shard are
-   streamed through it to locate every occurrence and the smallest id of each.
+4. A shard confirms: where all passages around an anchor are the same words, that is the answer.  Else those of its windows
+   whose words recur, as sequences of word numbers, are compiled into a pyahocorasick automaton, and the passages around
+   these anchors are streamed through it, once to find the smallest id of each phrase and once to locate every occurrence.
 5. The answers go back to the groups, which drop the covered words.
 
 The texts are shuffled once, by id, and that exchange is read three times.  No step holds more than a group, a bucket or a
@@ -42,7 +42,7 @@ from reclink.llm.words import blocks_of, gram_hashes, word_hashes
 GRAM, WINDOW = 5, 13
 #: Documents of a group, and documents for each bucket and shard (at least ``LEAST_SHARDS`` of these).
 GROUP_DOCS, SHARD_DOCS, LEAST_SHARDS = 256, 4_096, 48
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 #: Windows of a passage; a longer run of windows with one anchor, as repetitive texts have, is cut.
 LONGEST_RUN = 63
 NO_ID = np.iinfo(np.int64).max
@@ -121,22 +121,27 @@ def _locate(first: dict[int, dict[tuple[int, bytes], int]], window: int) -> dict
     """Smallest id of each window of the passages around anchors that have different passages."""
     numbers: dict[bytes, int] = {}
     several = [(anchor, size, words, own, tuple([numbers.setdefault(w, len(numbers)) for w in words.split(b" ")])) for anchor, of in first.items() if len(of) > 1 for (size, words), own in of.items()]
-    low: dict[tuple, int] = {}
+    # confirm which windows recur, by their words
+    seen: set[tuple] = set()
     recurs: dict[tuple, int] = {}
-    for _, size, _, own, words in several:
+    for _, size, _, _, words in several:
         for i in range(size):
             key = words[i : i + window]
-            have = low.setdefault(key, own)
-            if have != own:
-                recurs[key] = 0
-                low[key] = min(have, own)
+            if key in seen:
+                recurs.setdefault(key, len(recurs))
+            else:
+                seen.add(key)
+    del seen
     automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    ids = []
-    for key in recurs:
-        automaton.add_word(key, len(ids))
-        ids.append(low[key])
+    for key, number in recurs.items():
+        automaton.add_word(key, number)
+    ids = [NO_ID] * len(recurs)
+    recurs.clear()
     if ids:
         automaton.make_automaton()
+        for _, _, _, own, words in several:
+            for _, which in automaton.iter(words):
+                ids[which] = min(ids[which], own)
     out = {}
     for anchor, size, text, own, words in several:
         found = [own] * size
