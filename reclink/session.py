@@ -46,14 +46,18 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a new local one where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or, where all run in one process, a new local one.
+
+    On a cluster without that setting it raises: a machine's own folder would be another one on each executor.
+    """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir", None) or getattr(sc, "_reclink_shared", None)
     if not found:
+        if sc.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="reclink-shared-")
         atexit.register(shutil.rmtree, path, True)
         sc._reclink_shared = found = f"file://{path}"
-        sc.setCheckpointDir(found)
     return found.rstrip("/")
 
 
