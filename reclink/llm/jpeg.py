@@ -437,11 +437,13 @@ def thumbnail(image: Image, coefficients: list[np.ndarray]) -> np.ndarray:
 
 
 def average_hash(pixels: np.ndarray) -> int:
-    """64 bits: which cells of an 8x8 sampling of the thumbnail are over their mean."""
-    rows = np.arange(8) * pixels.shape[0] // 8
-    cols = np.arange(8) * pixels.shape[1] // 8
-    cells = pixels[np.ix_(rows, cols)].astype(np.int64)
-    return int.from_bytes(np.packbits(cells * 64 > cells.sum()).tobytes(), "big")
+    """64 bits: which of 8x8 cells of the thumbnail are, on average over their pixels, over the mean of all cells."""
+    rows, cols = (np.arange(8) * n // 8 for n in pixels.shape)
+    sums = np.add.reduceat(np.add.reduceat(pixels.astype(np.float64), rows, 0), cols, 1)
+    # a side of fewer than 8 pixels has cells of one pixel each, some of them the same
+    high, wide = (np.maximum(1, np.diff(np.append(at, n))) for at, n in zip((rows, cols), pixels.shape))
+    cells = sums / np.outer(high, wide)
+    return int.from_bytes(np.packbits(cells > cells.mean()).tobytes(), "big")
 
 
 def read_payload(image: Image, coefficients: list[np.ndarray]) -> tuple[int, bytes]:

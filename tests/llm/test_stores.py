@@ -207,6 +207,14 @@ def test_decoder_refuses_other_files(data):
         jpeg.parse(data)
 
 
+def test_average_hash_sees_every_pixel():
+    picture = np.zeros((80, 40), np.uint8)
+    picture[1:10, 6:10] = 255  # in the first row of cells, in the second column, but for its corner
+    assert jpeg.average_hash(picture) == 1 << 62
+    assert jpeg.average_hash(np.zeros((1, 3), np.uint8)) == 0
+    assert jpeg.average_hash(np.array([[0, 9]], np.uint8)) == 0x0F0F0F0F0F0F0F0F
+
+
 # -- nearest neighbours -----------------------------------------------------------------------------------------------
 
 
