@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from reclink.functions.text import lex
 
-#: Most phrases that a matcher takes to the tasks; longer lists are matched by joins (``phrase_starts``).
+#: Most phrases that ``matcher`` takes to the tasks; ``with_marks`` matches longer lists by joins, with the same result.
 MOST_PHRASES = 200_000
 
 
@@ -34,7 +34,7 @@ def matcher(lexicon: DataFrame, name: str, lower: bool = False):
     """A function of a words column: for each token, ``name`` if it stands in a matched phrase, else null."""
     n = lexicon.count()
     if n > MOST_PHRASES:
-        raise ValueError(f"{n} phrases are more than {MOST_PHRASES}: use phrase_starts")
+        raise ValueError(f"{n} phrases are more than {MOST_PHRASES}: use with_marks")
     known = {tuple(r["phrase"]) for r in lexicon.collect()}
     longest = max(map(len, known), default=0)
 
@@ -63,6 +63,22 @@ def phrase_starts(sequences: DataFrame, lexicon: DataFrame, longest: int, id_col
     return grams.join(keys, "key").groupBy(id_col, "begin").agg(F.min(F.col("begin") + F.col("k")).alias("end"))
 
 
+def with_marks(sequences: DataFrame, lexicon: DataFrame, name: str, lower: bool = False, id_col: str = "mention_id", column: str = "words", most: int = MOST_PHRASES) -> DataFrame:
+    """``sequences`` with phrase_marks, the marks of ``matcher``; lists of more than ``most`` phrases are joined, and matches that overlap an earlier one go. Ids must differ."""
+    if lexicon.count() <= most:
+        return sequences.withColumn("phrase_marks", matcher(lexicon, name, lower)(F.col(column)))
+    longest = lexicon.agg(F.max(F.size("phrase"))).first()[0]
+    places = phrase_starts(sequences, lexicon, longest, id_col, column, lower).groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("places__"))
+    kept = F.aggregate(
+        "places__", F.array().cast("array<struct<begin:int,end:int>>"),
+        lambda have, p: F.when((F.size(have) == 0) | (F.element_at(have, -1)["end"] <= p["begin"]), F.concat(have, F.array(p))).otherwise(have),
+    )
+    inside = F.flatten(F.transform(kept, lambda p: F.sequence(p["begin"], p["end"] - 1)))
+    marked = sequences.join(places.select(id_col, F.map_from_arrays(inside, F.transform(inside, lambda i: F.lit(name))).alias("marks__")), id_col, "left")
+    marks = F.transform(column, lambda w, i: F.try_element_at("marks__", i))
+    return marked.withColumn("phrase_marks", F.coalesce(marks, F.array().cast("array<string>"))).drop("marks__")
+
+
 def features_with_phrases(feats: Column, marks: Column) -> Column:
     """Feature arrays with the marks of their tokens."""
     return F.zip_with(feats, marks, lambda f, m: F.when(m.isNull(), f).otherwise(F.concat(f, F.array(m))))

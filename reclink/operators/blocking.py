@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reclink.functions.text import from_bio, let, phrase_slice
-from reclink.operators.fields import Field
+from reclink.operators.fields import MEASURES, Field
 
 #: Keys of a field that ``conjunctive`` sends along with each key of another.
 CARRIED = 64
@@ -102,6 +102,24 @@ def conjunctive(texts: DataFrame, records: DataFrame, values: DataFrame, fields:
     return pairs.join(text_sets, "mention_id").join(record_sets, "record_id").where(condition).select("mention_id", "record_id")
 
 
+def aligned_spans(texts: DataFrame, pairs: DataFrame, values: DataFrame, field: Field, longest: int, threshold: float | None = None) -> DataFrame:
+    """(mention_id, record_id, value_id, begin, end, sim): spans of texts with the values that a candidate record has for the field, whose similarity is above the threshold (the field's own by default).
+
+    ``pairs`` has mention_id and record_id. Spans and values meet on the pair, so each text's spans meet its candidates' values alone.
+    Field measures that aren't columns are computed once for each distinct (span, value).
+    """
+    cut = texts.select("mention_id", "words", F.explode(spans(F.size("words"), longest, F.col("ends") if "ends" in texts.columns else None)).alias("s"))
+    cut = cut.select("mention_id", F.col("s.begin").alias("begin"), F.col("s.end").alias("end"), phrase_slice(F.col("words"), F.col("s.begin"), F.col("s.end")).alias("phrase"))
+    own = values.where(F.col("field") == field.name).select("record_id", "value_id", F.col("phrase").alias("value"))
+    met = pairs.select("mention_id", "record_id").distinct().join(own, "record_id").join(cut, "mention_id")
+    if field.similarity in MEASURES:
+        met = met.withColumn("sim", MEASURES[field.similarity](F.col("value"), F.col("phrase")))
+    else:
+        of = met.select("value", "phrase").distinct().withColumn("sim", field.similarity_column(F.col("value"), F.col("phrase")))
+        met = met.join(of, ["value", "phrase"])
+    return met.where(F.col("sim") > (field.sim_threshold if threshold is None else threshold)).select("mention_id", "record_id", "value_id", "begin", "end", "sim")
+
+
 def candidate_report(texts: DataFrame, by_field: DataFrame, most: int = 100) -> DataFrame:
     """Words of each text with the number of matches of each key field and at most ``most`` of them."""
     found = by_field.groupBy("mention_id", "field").agg(F.count(F.lit(1)).alias("n_matches"), F.slice(F.sort_array(F.collect_list("record_id")), 1, most).alias("record_ids"))

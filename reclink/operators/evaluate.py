@@ -64,6 +64,32 @@ def label_at(segments: Column, n: Column) -> Column:
     return F.slice(labels, F.lit(1), n)
 
 
+def appended(segments: Column, label: Column, length: Column) -> Column:
+    """``segments`` with one of ``length`` words after the last."""
+    def add(own: Column, size: Column, name: Column) -> Column:
+        begin = F.coalesce(F.get(own, F.size(own) - 1)["end"], F.lit(0))
+        return F.concat(own, F.array(F.struct(begin.alias("begin"), (begin + size).alias("end"), name.alias("label"))))
+
+    return let(add, segments.cast(SEGMENTS), length.cast("int"), label)
+
+
+def prepended(segments: Column, label: Column, length: Column) -> Column:
+    """``segments`` with one of ``length`` words before the first; the others move on."""
+    first = F.array(F.struct(F.lit(0).alias("begin"), length.cast("int").alias("end"), label.alias("label")))
+    moved = F.transform(segments, lambda s: F.struct((s["begin"] + length).cast("int").alias("begin"), (s["end"] + length).cast("int").alias("end"), s["label"].alias("label")))
+    return F.concat(first, moved)
+
+
+def segment_at(segments: Column, position: Column) -> Column:
+    """The segment that holds a token; null beyond all."""
+    return F.get(F.filter(segments, lambda s: (s["begin"] <= position) & (position < s["end"])), F.lit(0))
+
+
+def has_segment(segments: Column, begin: Column, end: Column, label: Column) -> Column:
+    """Whether there is just this segment."""
+    return F.exists(segments, lambda s: (s["begin"] == begin) & (s["end"] == end) & (s["label"] == label))
+
+
 def valid_segments(segments: Column) -> Column:
     """Whether segments are in order, not empty, and don't overlap."""
     return let(lambda own: F.forall(F.transform(own, lambda s, i: (s["begin"] < s["end"]) & ((i == 0) | (F.get(own, i - 1)["end"] <= s["begin"]))), lambda x: x), segments)

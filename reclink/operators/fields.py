@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reclink.functions import hashing
-from reclink.functions.similarity import SOFT_THRESHOLD, STAR_THRESHOLD, cosine, dice, jaccard, jaro_winkler, soft_cosine, soft_dice
+from reclink.functions.similarity import SOFT_THRESHOLD, STAR_THRESHOLD, cosine, dice, jaccard, jaro_winkler, jaro_winkler_of, soft_cosine, soft_cosine_of, soft_dice, soft_dice_of
 from reclink.functions.text import from_bio, phrase_slice
 
 __all__ = ["CITATION_FIELDS", "HOTEL_FIELDS", "Field", "field_index", "field_values", "max_lengths", "neighbours", "values_of"]
-_COLUMN_MEASURES = {"jaccard": jaccard, "cosine": cosine, "dice": dice}
+#: Measures that are column expressions; the others are Arrow functions.
+MEASURES = {"jaccard": jaccard, "cosine": cosine, "dice": dice}
 
 
 @dataclass(frozen=True)
@@ -32,6 +33,13 @@ class Field:
     def keys(self, phrase):
         return hashing.REGISTRY[self.hash](phrase)
 
+    def similarity_column(self, value, phrase):
+        """The field's measure of two phrases, as a column."""
+        if self.similarity == "jaro_winkler":
+            return jaro_winkler_of(value, phrase)
+        soft = {"soft_dice": soft_dice_of, "soft_cosine": soft_cosine_of}.get(self.similarity)
+        return soft(value, phrase, self.term_threshold) if soft else MEASURES[self.similarity](value, phrase)
+
     def similar(self, a: list[str], b: list[str]) -> float:
         """Similarity of two term lists, for decoding within a task."""
         if self.similarity == "soft_dice":
@@ -109,4 +117,4 @@ def similarity_of(pairs: DataFrame, values: DataFrame, measure: str = "cosine")
     """``pairs`` (field, value_id, phrase) with sim to the value's phrase; a missing value raises."""
     joined = pairs.join(values.select("field", "value_id", F.col("phrase").alias("value_phrase")), ["field", "value_id"], "left")
     checked = F.when(F.col("value_phrase").isNull(), F.raise_error(F.concat(F.lit("no value "), "value_id")).cast("array<string>")).otherwise(F.col("value_phrase"))
-    return joined.withColumn("sim", _COLUMN_MEASURES[measure](checked, F.col("phrase")))
+    return joined.withColumn("sim", MEASURES[measure](checked, F.col("phrase")))

@@ -12,7 +12,7 @@ of records score 0.  Ties go to the smallest (label, begin, end).
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -171,6 +171,8 @@ class Chain:
     gen_transition: np.ndarray
     disc_start: np.ndarray
     disc_transition: np.ndarray
+    #: First labels and label pairs that may not be, in records too.
+    barred: tuple[np.ndarray, np.ndarray] | None = None
 
     @classmethod
     def of(cls, params: DataFrame, labels: list[str]) -> Chain:
@@ -188,7 +190,19 @@ class Chain:
                 two[number[r["label"]], number[r["key"]]] = r["value"]
         return cls(labels, gs, gt, ds, dt)
 
+    def restricted(self, start: Callable[[str], bool] | None = None, step: Callable[[str, str], bool] | None = None) -> Chain:
+        """This chain where mentions may begin only with the labels of ``start`` and go only from label to label as ``step`` says."""
+        may_start = np.array([start is None or bool(start(x)) for x in self.labels])
+        may_step = np.array([[step is None or bool(step(x, y)) for y in self.labels] for x in self.labels])
+        return replace(self, barred=(~may_start, ~may_step))
+
     def scores(self, is_record: bool, use_gen: bool, use_disc: bool) -> tuple[np.ndarray, np.ndarray]:
+        start, transition = self._free(is_record, use_gen, use_disc)
+        if self.barred is not None:
+            start, transition = np.where(self.barred[0], -np.inf, start), np.where(self.barred[1], -np.inf, transition)
+        return start, transition
+
+    def _free(self, is_record: bool, use_gen: bool, use_disc: bool) -> tuple[np.ndarray, np.ndarray]:
         n = len(self.labels)
         if is_record:
             return np.zeros(n), np.zeros((n, n))
@@ -363,6 +377,8 @@ def counts_of(posteriors: DataFrame, examples: DataFrame, labels: list[str], gen
 
 #: Scores of aligning the span [begin, end) with a value, added to the lattice: (field, words, begin, end, value's words) -> number.
 Overlap = Callable[[str, list[str], int, int, list[str]], float]
+#: Scores of going from a label to another one within a candidate record: (candidate, label, next label) -> number.
+Handover = Callable[[dict, str, str], float]
 
 
 def with_candidates(texts: DataFrame, candidates: DataFrame, values: DataFrame, chunk: int | None = None) -> DataFrame:
@@ -407,7 +423,7 @@ def aligned(base: np.ndarray, labels: list[str], values: list[dict], words: list
     return out, choices
 
 
-def decode_joint(rows: DataFrame, chain: Chain, longest: dict[str, int], use_gen: bool = True, use_disc: bool = False, overlap: Overlap | None = None) -> DataFrame:
+def decode_joint(rows: DataFrame, chain: Chain, longest: dict[str, int], use_gen: bool = True, use_disc: bool = False, overlap: Overlap | None = None, handover: Handover | None = None) -> DataFrame:
     """(mention_id, record_id, score, log_z, segments with record_id and value_id): the best segmentation over no record and each candidate.
 
     The record is chosen at the start alone, so each candidate is decoded by itself and the best one wins; ties go to no
@@ -425,7 +441,7 @@ def decode_joint(rows: DataFrame, chain: Chain, longest: dict[str, int], use_gen
             for row, own, part in zip(Row.read(batch, len(labels)), candidates, chunks):
                 base = lattice_of(row, labels, lengths, row.is_record and row.gold is not None)
                 none_weight = NO_RECORD if part < 0 else -np.inf
-                out.append((row.id, *best_joint(base, chain.scores(row.is_record, use_gen, use_disc), labels, own or [], row.words, overlap, none_weight)))
+                out.append((row.id, *best_joint(base, chain.scores(row.is_record, use_gen, use_disc), labels, own or [], row.words, overlap, none_weight, handover)))
             yield joint_batch(out)
 
     found = rows.select(*_lattice_input(rows), "candidates", F.col("chunk") if chunked else F.lit(-1).alias("chunk")).mapInArrow(run, JOINT)
@@ -447,7 +463,7 @@ def joint_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["mention_id", "record_id", "score", "log_z", "segments"])
 
 
-def best_joint(base: np.ndarray, chain: tuple[np.ndarray, np.ndarray], labels: list[str], candidates: list[dict], words: list[str], overlap: Overlap | None, none_weight: float = NO_RECORD):
+def best_joint(base: np.ndarray, chain: tuple[np.ndarray, np.ndarray], labels: list[str], candidates: list[dict], words: list[str], overlap: Overlap | None, none_weight: float = NO_RECORD, handover: Handover | None = None):
     """(record_id, score, log_z, segments) of one mention."""
     score, best = viterbi(base, *chain)
     found = (None, score + none_weight, best, {})
@@ -459,8 +475,9 @@ def best_joint(base: np.ndarray, chain: tuple[np.ndarray, np.ndarray], labels: l
             stack = np.stack([e for _, e in of])
             top[:, :, x] += stack.max(0)
             total[:, :, x] += _sum_exp(stack, 0)
-        score, best = viterbi(top, *chain)
-        parts.append(forward_backward(total, *chain).log_z + WITH_RECORD)
+        own = chain if handover is None else (chain[0], chain[1] + np.array([[handover(c, x, y) for y in labels] for x in labels]))
+        score, best = viterbi(top, *own)
+        parts.append(forward_backward(total, *own).log_z + WITH_RECORD)
         if score + WITH_RECORD > found[1]:
             found = (c["record_id"], score + WITH_RECORD, best, choices)
     record, score, best, choices = found

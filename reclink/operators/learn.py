@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reclink.config import OTHER_EMISSION, SELF_TRANSITION, SMOOTHING, Options
-from reclink.operators.constraints import Constrained, Domain, constrained_expectations  # noqa: F401
+from reclink.operators.constraints import Domain, constrained_expectations
 from reclink.operators.lattice import Chain, counts_of, expectations, scored
 from reclink.operators.params import normalised, sum_counts
 from reclink.session import dropped, written
@@ -94,16 +94,17 @@ class Counts:
         self.parts: list[DataFrame] = []
         self.log_z = 0.0
 
-    def add(self, rows: DataFrame, use_gen: bool, use_disc: bool, gen: float, disc: float, sign: float = 1.0, true_only: bool | None = False, joint: bool = False) -> None:
-        """Expectations under the models in use; ``gen`` and ``disc`` scale the counts, ``sign`` both and the log partition."""
+    def add(self, rows: DataFrame, use_gen: bool, use_disc: bool, gen: float, disc: float, sign: float = 1.0, true_only: bool | None = False, joint: bool = False, constrained: bool = False) -> None:
+        """Expectations under the models in use (and the domain's constraints); ``gen`` and ``disc`` scale the counts, ``sign`` both and the log partition."""
         if rows.isEmpty():
             return
         s = self.setting
         ready = scored(rows, self.params, s.labels, use_gen, use_disc)
-        if joint:
-            if s.candidates is not None:
+        if joint or constrained:
+            alone = not joint or s.candidates is None
+            if not alone:
                 ready = ready.join(s.candidates.select("mention_id", "candidates"), "mention_id", "left")
-            found = constrained_expectations(ready, self.chain, s.longest, s.domain, s.state, use_gen, use_disc, s.candidates is None)
+            found = constrained_expectations(ready, self.chain, s.longest, s.domain, s.state, use_gen, use_disc, alone)
         else:
             found = expectations(ready, self.chain, s.longest, use_gen, use_disc, true_only)
         found = written(found, "expectations")
@@ -137,11 +138,12 @@ class Counts:
             return self.learn_records(rows.withColumn("is_record", F.lit(False)), use_gen, use_disc)
         if not use_gen and not joint:
             return None
+        s = self.setting
         half = 0.5 if use_gen and use_disc else 1.0
         if kl and use_gen and use_disc:
             self.kl(rows, weight)
         else:
-            self.add(rows, use_gen, use_disc, half * weight if use_gen else 0.0, half * weight if use_disc else 0.0, joint=joint)
+            self.add(rows, use_gen, use_disc, half * weight if use_gen else 0.0, half * weight if use_disc else 0.0, joint=joint, constrained=s.domain is not PLAIN)
         if use_disc:
             self.add(rows, False, True, 0.0, weight, sign=-1.0)
         return None

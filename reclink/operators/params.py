@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -63,6 +65,20 @@ def squared_norm(a: DataFrame) -> DataFrame:
     return a.agg(F.coalesce(F.sum(F.col("value") * F.col("value")), F.lit(0.0)).alias("squared_norm"))
 
 
+def divided(a: DataFrame, by: float) -> DataFrame:
+    return a.withColumn("value", F.col("value") / by)
+
+
+def projected(a: DataFrame, fn: Callable[[DataFrame], Column]) -> DataFrame:
+    """Each entry becomes what ``fn`` makes of the table's columns."""
+    return a.withColumn("value", fn(a))
+
+
+def regularised(a: DataFrame, scale: float) -> DataFrame:
+    """``a`` + scale * ``a``: the pull of a quadratic penalty on a gradient of weights."""
+    return a.withColumn("value", F.col("value") + scale * F.col("value"))
+
+
 def dump_lines(params: DataFrame) -> DataFrame:
     """Text lines of the entries that aren't zero: kind, label, (key,) value; transitions and emissions from the largest on."""
     lines = params.where("value <> 0").select("kind", "value", F.concat_ws("\t", "kind", "label", "key", F.format_string("%.6f", "value")).alias("line"))

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reclink.functions import features as T
-from reclink.functions.phrases import features_with_phrases, matcher
+from reclink.functions.phrases import features_with_phrases, phrases, with_marks
 from reclink.functions.text import from_bio
 
 
@@ -45,10 +44,8 @@ def citation_examples(mentions: DataFrame, lexicons: list[Lexicon] | None = None
     out = mentions.withColumns({"word_features": F.transform("words", T.simplify_citation), "feats": F.transform("words", citation_features), "ends": T.possible_ends(F.col("words"))})
     for lexicon in lexicons or []:
         if lexicon.phrases:
-            from reclink.functions.phrases import phrases
-
-            mark = matcher(phrases(lexicon.entries, lower=lexicon.lower), lexicon.name, lexicon.lower)
-            out = out.withColumn("feats", features_with_phrases(F.col("feats"), mark(F.col("words"))))
+            marked = with_marks(out, phrases(lexicon.entries, lower=lexicon.lower), lexicon.name, lexicon.lower)
+            out = marked.withColumn("feats", features_with_phrases(F.col("feats"), F.col("phrase_marks"))).drop("phrase_marks")
     words = [x for x in lexicons or [] if not x.phrases]
     if words:
         tokens = out.select("mention_id", F.posexplode("words").alias("position", "token"))
@@ -74,9 +71,14 @@ def with_unknown(examples: DataFrame, known: DataFrame) -> DataFrame:
     return examples.join(per, "mention_id", "left").withColumn("word_features", F.coalesce("known_features", F.array().cast("array<string>"))).drop("known_features")
 
 
-def only_known(feats: Column, known: Callable[[Column], Column]) -> Column:
-    """Features that a predicate knows; the others go."""
-    return F.transform(feats, lambda f: F.filter(f, known))
+def only_known(examples: DataFrame, known: DataFrame) -> DataFrame:
+    """Features (feats) that ``known`` (term) has, in their order; the others go."""
+    cells = examples.select("mention_id", F.posexplode("feats").alias("position", "f")).select("mention_id", "position", F.posexplode("f").alias("place", "term"))
+    kept = cells.join(known.select("term").distinct(), "term", "left_semi")
+    tokens = kept.groupBy("mention_id", "position").agg(F.sort_array(F.collect_list(F.struct("place", "term"))).alias("f"))
+    per = tokens.groupBy("mention_id").agg(F.map_from_entries(F.collect_list(F.struct("position", F.col("f.term").alias("f")))).alias("known_feats"))
+    joined = examples.join(per, "mention_id", "left")
+    return joined.withColumn("feats", F.transform("feats", lambda f, i: F.coalesce(F.try_element_at("known_feats", i), F.array().cast("array<string>")))).drop("known_feats")
 
 
 def endpoint_audit(examples: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from reclink.operators import blocking, evaluate, fields, lattice, learn
 from reclink.operators.constraints import Domain, citation_domain, constrained_decode, hotel_domain
 from reclink.operators.fields import CITATION_FIELDS, HOTEL_FIELDS, Field
 from reclink.session import written
+from reclink.sources.mentions import mentions_of
 
 
 @dataclass
@@ -40,6 +41,7 @@ def labels_of(mentions: DataFrame) -> list[str]:
 def prepare(examples: DataFrame, known_fields: list[Field], options: Options | None = None, domain: str = "hotel", label_source: DataFrame | None = None) -> Run:
     """Values, index lengths, dictionary and initial parameters of examples (see ``plans.examples``)."""
     options = options or Options()
+    examples = mentions_of(examples, options.max_records, options.max_texts)
     # features are read by every iteration
     examples = written(examples, "examples")
     labels = labels_of(examples.where("is_record").unionByName(label_source, True) if label_source is not None else examples.where("is_record"))
@@ -50,19 +52,20 @@ def prepare(examples: DataFrame, known_fields: list[Field], options: Options | N
     keys = written(learn.parameter_keys(examples, labels, options.feature_threshold, options.feature_threshold), "keys")
     params = written(learn.hotel_initial(keys) if domain == "hotel" else learn.initial(keys), "params")
     rules = hotel_domain(own) if domain == "hotel" else citation_domain(own)
-    return Run(learn.Setting(examples, keys, labels, longest, options), own, values, params, rules)
+    return Run(learn.Setting(examples, keys, labels, longest, options, rules if options.constrained_learning else learn.PLAIN), own, values, params, rules)
 
 
 def with_joint(run: Run) -> Run:
-    """Adds the candidate records of texts (all key fields) and their values."""
+    """Adds the candidate records of texts (all key fields) and their values; learning is under the domain's constraints if the options say so."""
     texts = run.setting.texts()
     pairs = blocking.conjunctive(texts, run.setting.records(), run.values, run.fields, run.setting.longest)
     joint = written(lattice.with_candidates(texts, pairs, run.values), "joint")
-    return replace(run, joint=joint, setting=replace(run.setting, candidates=joint.select("mention_id", "candidates"), domain=learn.PLAIN))
+    return replace(run, joint=joint, setting=replace(run.setting, candidates=joint.select("mention_id", "candidates")))
 
 
-def segmentation(run: Run, use_gen: bool = True, use_disc: bool = False, constrained: bool = False, rows: DataFrame | None = None) -> DataFrame:
-    """(mention_id, words, truth, guess) of texts; punctuation at the ends of segments is O on both sides."""
+def segmentation(run: Run, use_gen: bool = True, use_disc: bool = False, constrained: bool | None = None, rows: DataFrame | None = None) -> DataFrame:
+    """(mention_id, words, truth, guess) of texts; punctuation at the ends of segments is O on both sides. Constraints hold if asked for, or else by the options."""
+    constrained = run.setting.options.constrained_inference if constrained is None else constrained
     texts = run.setting.texts() if rows is None else rows
     ready = lattice.scored(texts, run.params, run.setting.labels, use_gen, use_disc)
     if constrained:
@@ -74,8 +77,9 @@ def segmentation(run: Run, use_gen: bool = True, use_disc: bool = False, constra
     return joined.select("mention_id", "words", evaluate.adjusted(F.col("words"), from_bio(F.col("labels"))).alias("truth"), evaluate.adjusted(F.col("words"), F.col("segments")).alias("guess"))
 
 
-def joint_decoding(run: Run, use_gen: bool = True, use_disc: bool = False, constrained: bool = False, state: DataFrame | None = None) -> DataFrame:
-    """``decode_joint`` of texts, with their true clusters."""
+def joint_decoding(run: Run, use_gen: bool = True, use_disc: bool = False, constrained: bool | None = None, state: DataFrame | None = None) -> DataFrame:
+    """``decode_joint`` of texts, with their true clusters. Constraints hold if asked for, or else by the options."""
+    constrained = run.setting.options.constrained_inference if constrained is None else constrained
     ready = lattice.scored(run.joint, run.params, run.setting.labels, use_gen, use_disc)
     if constrained:
         found = constrained_decode(ready, run.chain, run.setting.longest, run.domain, state, use_gen, use_disc)

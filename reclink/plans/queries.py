@@ -15,6 +15,7 @@ from reclink.functions import features as T
 from reclink.functions import hashing, phrases, similarity
 from reclink.functions import text as X
 from reclink.operators import blocking, constraints, evaluate, fields, lattice, learn, params
+from reclink.operators.fields import Field
 from reclink.plans import examples, inputs, linkage, pipelines, sql
 from reclink.session import new_path, written
 from reclink.sources import mentions as M
@@ -51,6 +52,13 @@ def scan_texts(spark, folder):
     return M.texts(inputs.documents(spark, folder)).select("mention_id", "source")
 
 
+@query(f"WITH {sql.MENTIONS} (SELECT mention_id, is_record FROM m WHERE is_record ORDER BY mention_id LIMIT 50) UNION ALL (SELECT mention_id, is_record FROM m WHERE NOT is_record ORDER BY mention_id LIMIT 20)")
+def scan_some(spark, folder):
+    """As many records and texts as the options allow, in the order of their ids: the limit is the feature."""
+    options = Options(max_records=50, max_texts=20)
+    return M.mentions_of(inputs.documents(spark, folder), options.max_records, options.max_texts).select("mention_id", "is_record")
+
+
 @query(f"WITH {sql.MENTIONS} SELECT mention_id, is_record, source, true_cluster FROM m")
 def scan_all(spark, folder):
     return M.mentions_of(inputs.documents(spark, folder)).select("mention_id", "is_record", "source", "true_cluster")
@@ -308,7 +316,11 @@ def sim_levenshtein(spark, folder):
     return M.table(spark, folder, "part").select("p_partkey", F.round(similarity.levenshtein(F.col("p_name"), F.lower("p_type")), 9).alias("sim"))
 
 
-@query()
+_JARO_WINKLER_SQL = """s AS (SELECT p_partkey, p_name AS a, lower(p_type) AS b, jaro_similarity(p_name, lower(p_type)) AS j FROM part),
+    k AS (SELECT *, CASE WHEN left(a, 1) <> left(b, 1) THEN 0 WHEN left(a, 2) <> left(b, 2) THEN 1 WHEN left(a, 3) <> left(b, 3) THEN 2 WHEN left(a, 4) <> left(b, 4) THEN 3 ELSE 4 END AS n FROM s)"""
+
+
+@query(f"WITH {_JARO_WINKLER_SQL} SELECT p_partkey, round(j + n * 0.1 * (1 - j), 9) AS sim FROM k")
 def sim_jaro_winkler(spark, folder):
     return M.table(spark, folder, "part").select("p_partkey", F.round(similarity.jaro_winkler_of(F.split("p_name", " "), F.array("p_type")), 9).alias("sim"))
 
@@ -324,25 +336,46 @@ def sim_soft_exact(spark, folder):
     return _turns(spark, folder).select("conv_id", "turn", F.round(similarity.soft_cosine_of(a, b, 1.1), 9).alias("sim_cosine"), F.round(similarity.soft_dice_of(a, b, 1.1), 9).alias("sim_dice"))
 
 
-@query()
+#: A term of y counts 1 if x has it, else by its best similarity of at least the threshold (at which both forms of the prefix's weight agree).
+_SOFT_PARTS_SQL = f"""c AS (SELECT p_partkey, {sql.term_set("string_split(p_name, ' ')")} AS x, {sql.term_set("list_concat([p_type, p_brand], string_split(p_name || 's', ' '))")} AS y FROM part),
+    t AS (SELECT p_partkey, x, unnest(y) AS term FROM c), p AS (SELECT p_partkey, term, unnest(x) AS own FROM t),
+    best AS (SELECT p_partkey, term, max(CASE WHEN own = term THEN 1 ELSE jaro_winkler_similarity(own, term) END) AS s FROM p GROUP BY ALL),
+    common AS (SELECT p_partkey, sum(CASE WHEN s >= {similarity.SOFT_THRESHOLD} THEN s ELSE 0 END) AS s FROM best GROUP BY p_partkey)"""
+
+
+@query(f"WITH {_SOFT_PARTS_SQL} SELECT p_partkey, round(s / sqrt(len(x)::DOUBLE * len(y)), 9) AS sim_cosine, round(2 * s / (len(x) + len(y)), 9) AS sim_dice FROM c JOIN common USING (p_partkey)")
 def sim_soft(spark, folder):
-    rows = M.table(spark, folder, "part").select("p_partkey", F.split("p_name", " ").alias("a"), F.split(F.concat_ws(" ", "p_type", "p_name"), " ").alias("b"))
+    rows = M.table(spark, folder, "part").select("p_partkey", F.split("p_name", " ").alias("a"), F.concat(F.array("p_type", "p_brand"), F.split(F.concat("p_name", F.lit("s")), " ")).alias("b"))
     return rows.select("p_partkey", F.round(similarity.soft_cosine_of(F.col("a"), F.col("b")), 9).alias("sim_cosine"), F.round(similarity.soft_dice_of(F.col("a"), F.col("b")), 9).alias("sim_dice"))
 
 
-@query("SELECT p_partkey, TRUE AS by_initials, FALSE AS reversed FROM part")
-def abbreviations(spark, folder):
-    words = F.split("p_name", " ")
-    initials = F.array_join(F.transform(words, lambda w: F.substring(w, 1, 1)), "")
-    wrong = F.concat(F.lit("#"), initials)
-    return M.table(spark, folder, "part").select("p_partkey", similarity.is_initials_of(initials, words).alias("by_initials"), similarity.is_initials_of(wrong, words).alias("reversed"))
+#: Each part's initials with those of the part before: whose initials they are, with and without dots.
+_INITIALS_SQL = """i AS (SELECT p_partkey, p_name, array_to_string([left(w, 1) FOR w IN string_split(p_name, ' ')], '') AS own FROM part)"""
 
 
-@query()
+@query(f"""WITH {_INITIALS_SQL} SELECT a.p_partkey, a.own = b.own AS plain, array_to_string([left(w, 1) FOR w IN string_split(b.p_name, ' ')], '.') = array_to_string([left(w, 1) FOR w IN string_split(a.p_name, ' ')], '.') AS dotted,
+    FALSE AS final_dot, upper(b.own) = a.own AS upper_case FROM i a JOIN i b ON b.p_partkey = a.p_partkey - 1""")
+def abbreviations(spark, folder):
+    """Initials of the part before, as an abbreviation of this part's name; dots may stand between them, not after the last, and case counts."""
+    rows = M.table(spark, folder, "part").select("p_partkey", F.split("p_name", " ").alias("words"))
+    first = rows.select((F.col("p_partkey") + 1).alias("p_partkey"), F.transform("words", lambda w: F.substring(w, 1, 1)).alias("first"))
+    plain, dotted = F.array_join("first", ""), F.array_join("first", ".")
+    shorts = {"plain": plain, "dotted": dotted, "final_dot": F.concat(dotted, F.lit(".")), "upper_case": F.upper(plain)}
+    return rows.join(first, "p_partkey").select("p_partkey", *[similarity.is_initials_of(s, F.col("words")).alias(n) for n, s in shorts.items()])
+
+
+@query("""WITH p AS (SELECT p_partkey, string_split(p_name, ' ')[1] AS a, string_split(p_name, ' ')[2] AS b FROM part), x AS (SELECT p.*, q.b AS c FROM p JOIN p q ON q.p_partkey = p.p_partkey - 1),
+    s AS (SELECT *, left(b, 1) || substr(c, 2, 1) || right(c, 1) AS s FROM x)
+    SELECT p_partkey, s AS short, length(b) > 3 AND b LIKE left(s, 1) || '%' || substr(s, 2, 1) || '%' || substr(s, 3, 1) || '%' AS of_word,
+           (a || ' ' || b) LIKE left(a, 1) || '%' AND b LIKE '%' || substr(s, 2, 1) || '%' || substr(s, 3, 1) || '%' AS of_words FROM s""")
 def abbreviated_words(spark, folder):
-    rows = M.table(spark, folder, "part").select("p_partkey", F.element_at(F.split("p_name", " "), 2).alias("w"))
-    short = F.concat(F.substring("w", 1, 1), F.substring("w", -1, 1), F.lit("."))
-    return rows.select("p_partkey", short.alias("short"), similarity.is_abbreviation_of(short, F.col("w")).alias("is_short"))
+    """A word's first letter with two letters of the part before's word, as an abbreviation of the word; and after a dot, of two words."""
+    words = F.split("p_name", " ")
+    rows = M.table(spark, folder, "part").select("p_partkey", F.get(words, F.lit(0)).alias("a"), F.get(words, F.lit(1)).alias("b"))
+    rows = rows.join(rows.select((F.col("p_partkey") + 1).alias("p_partkey"), F.col("b").alias("c")), "p_partkey")
+    tail = F.concat(F.substring("c", 2, 1), F.substring("c", -1, 1))
+    short, dotted = F.concat(F.substring("b", 1, 1), tail), F.concat(F.substring("a", 1, 1), F.lit("."), tail)
+    return rows.select("p_partkey", short.alias("short"), similarity.is_abbreviation_of(short, F.col("b")).alias("of_word"), similarity.is_abbreviation_of(dotted, F.concat_ws(" ", "a", "b")).alias("of_words"))
 
 
 # -- fields, index, blocking ------------------------------------------------------------------------------------------
@@ -422,6 +455,31 @@ def _shared(spark, folder) -> DataFrame:
     return linkage.shared_keys(M.table(spark, folder, "documents").select("doc_id", "text"), M.table(spark, folder, "benchmark"), "doc_id", "item_id")
 
 
+_PART_KEYS_SQL = f"""{_VALUES_SQL}, rk AS (SELECT DISTINCT field, record_id, lower(unnest(phrase)) AS k FROM v),
+    tk AS (SELECT DISTINCT 't' || p_partkey AS mention_id, lower(unnest(list_concat([p_type, p_brand, 'with'], string_split(p_name, ' ')))) AS k FROM part),
+    found AS (SELECT DISTINCT mention_id, field, record_id FROM tk JOIN rk USING (k))"""
+
+
+def _part_candidates(spark, folder, names: tuple[str, ...]) -> DataFrame:
+    of = [f for f in inputs.PART_FIELDS if f.name in names]
+    index = fields.field_index(_part_values(spark, folder))
+    return blocking.candidates_by_field(M.texts(inputs.parts(spark, folder)), index, of, {"brand": 1, "name": 2, "type": 1})
+
+
+@query(f"WITH {_PART_KEYS_SQL} SELECT mention_id, field, count(*)::BIGINT AS n_records, min(record_id) AS first_record, max(record_id) AS last_record FROM found GROUP BY ALL")
+def candidates_by_field(spark, folder):
+    """Candidate records of each text by field, counted."""
+    found = _part_candidates(spark, folder, ("brand", "name", "type"))
+    return found.groupBy("mention_id", "field").agg(F.count(F.lit(1)).alias("n_records"), F.min("record_id").alias("first_record"), F.max("record_id").alias("last_record"))
+
+
+@query(f"WITH {_PART_KEYS_SQL}, u AS (SELECT DISTINCT mention_id, record_id FROM found WHERE field IN ('brand', 'name')) SELECT mention_id, count(*)::BIGINT AS n_records, min(record_id) AS first_record, max(record_id) AS last_record FROM u GROUP BY mention_id")
+def block_any_of_two(spark, folder):
+    """The union of two fields' candidates, counted."""
+    found = blocking.any_key(_part_candidates(spark, folder, ("brand", "name")))
+    return found.groupBy("mention_id").agg(F.count(F.lit(1)).alias("n_records"), F.min("record_id").alias("first_record"), F.max("record_id").alias("last_record"))
+
+
 @query(f"WITH {_LINKS_SQL} SELECT doc_id AS mention_id, item_id AS record_id FROM shared")
 def block_any_key(spark, folder):
     by_field = _shared(spark, folder).select(F.col("doc_id").alias("mention_id"), F.lit("title").alias("field"), F.col("item_id").alias("record_id"))
@@ -454,6 +512,17 @@ def aligned_values(spark, folder):
     return fields.similarity_of(pairs, values).where("sim > 0.6").select("mention_id", "record_id", F.round("sim", 9).alias("sim"))
 
 
+@query(f"""WITH {_PAIRS_SQL}, {sql.PARTS}, s AS (SELECT mention_id, words, b, unnest(range(b + 1, least(b + 2, len(words)) + 1)) AS e FROM (SELECT mention_id, words, unnest(range(0, len(words))) AS b FROM mention WHERE NOT is_record)),
+    c AS (SELECT mention_id, b, e, {sql.terms('words[b + 1:e]')} AS x FROM s), d AS (SELECT mention_id, record_id, {sql.terms("string_split(b, ' ')")} AS y FROM pair),
+    m AS (SELECT mention_id, record_id, b, e, {_COMMON} / sqrt(len(x)::DOUBLE * len(y)) AS sim FROM c JOIN d USING (mention_id))
+    SELECT mention_id, record_id, b::INT AS seg_begin, e::INT AS seg_end, round(sim, 9) AS sim FROM m WHERE sim > 0.6""")
+def align_spans(spark, folder):
+    """All spans of texts of up to two words with the names of their candidates, above a similarity threshold."""
+    name = Field("name", True, 0.6, hash="unigram", similarity="cosine")
+    found = blocking.aligned_spans(M.texts(inputs.parts(spark, folder)), _part_pairs(spark, folder), _part_values(spark, folder), name, 2)
+    return found.select("mention_id", "record_id", F.col("begin").alias("seg_begin"), F.col("end").alias("seg_end"), F.round("sim", 9).alias("sim"))
+
+
 @query(f"WITH {_LINKS_SQL} SELECT s.doc_id, s.item_id, n_shared, contains(d.text, i.text) AS is_contained FROM shared s JOIN documents d USING (doc_id) JOIN benchmark i USING (item_id) WHERE n_shared >= 10")
 def passage_linkage(spark, folder):
     return linkage.passage_linkage(M.table(spark, folder, "documents").select("doc_id", "text"), M.table(spark, folder, "benchmark"))
@@ -485,6 +554,29 @@ def vocabulary_table(spark, folder):
     return sinks.read_vocabulary(spark, path, "word").select("kind", "term", "id")
 
 
+@query(f"WITH w AS (SELECT conv_id, turn, unnest({sql.words('text')}) AS w FROM conversations), d AS (SELECT w, (row_number() OVER (ORDER BY w) - 1)::BIGINT AS id FROM (SELECT w FROM w GROUP BY w HAVING count(*) >= 3)) SELECT conv_id, turn, coalesce(id, -1)::BIGINT AS id, d.w AS known, count(*)::BIGINT AS n FROM w LEFT JOIN d USING (w) GROUP BY ALL")
+def vocabulary_lookup(spark, folder):
+    """Words by the ids of those that are frequent, and back again."""
+    path = new_path(spark, "vocabulary")
+    words = inputs.conversations(spark, folder).select("conv_id", "turn", F.explode("words").alias("term"))
+    sinks.write_vocabulary(params.vocabulary(words, 3, "term").select("term", F.lit("word").alias("kind")), path)
+    known = sinks.read_vocabulary(spark, path, "word")
+    counted = sinks.ids_of(words, known).groupBy("conv_id", "turn", "id").agg(F.count(F.lit(1)).alias("n"))
+    return sinks.terms_of(counted, known).select("conv_id", "turn", "id", F.col("term").alias("known"), "n")
+
+
+_KNOWN_SQL = f"{sql.PARTS}, {sql.TOKENS}, d AS (SELECT word FROM token GROUP BY word HAVING count(*) >= 9)"
+
+
+@query(f"WITH {_KNOWN_SQL} SELECT mention_id, string_agg(CASE WHEN d.word IS NULL THEN '$OOV$' ELSE t.word END, ' ' ORDER BY position) AS words, coalesce(string_agg(d.word, ' ' ORDER BY position), '') AS feats FROM token t LEFT JOIN d USING (word) GROUP BY mention_id")
+def known_features(spark, folder):
+    """Word features that the dictionary lacks are the unknown term; other features that it lacks go."""
+    ready = inputs.word_examples(inputs.parts(spark, folder))
+    known = params.vocabulary(ready.select(F.explode("words").alias("word")), 9)
+    out = examples.only_known(examples.with_unknown(ready, known), known)
+    return out.select("mention_id", F.array_join("word_features", " ").alias("words"), F.array_join(F.flatten("feats"), " ").alias("feats"))
+
+
 @query(f"WITH {sql.PARTS}, {sql.TOKENS} SELECT label, (row_number() OVER (ORDER BY label <> 'O', label) - 1)::INT AS label_id FROM (SELECT DISTINCT label FROM token)")
 def label_inventory(spark, folder):
     return params.label_inventory(inputs.parts(spark, folder))
@@ -526,6 +618,17 @@ def vector_ops(spark, folder):
     return params.dot(a, b).crossJoin(params.squared_norm(a)).crossJoin(difference)
 
 
+@query(f"WITH {_COUNTS_SQL} SELECT label, word AS key, round(n / 4, 9) AS divided, round(greatest(n - 2, 0), 9) AS projected, round(n * 1.5, 9) AS regularised, round(sqrt((SELECT sum(n * n) FROM a)), 9) AS norm FROM a")
+def vector_maps(spark, folder):
+    a = params.emission_counts(_part_tokens(spark, folder).where("is_record"))
+    keys = ["label", "key"]
+    out = {"divided": params.divided(a, 4.0), "projected": params.projected(a, lambda x: F.greatest(x["value"] - 2, F.lit(0.0))), "regularised": params.regularised(a, 0.5)}
+    joined = a.select(*keys)
+    for name, rows in out.items():
+        joined = joined.join(rows.select(*keys, F.round("value", 9).alias(name)), keys)
+    return joined.crossJoin(params.squared_norm(a).select(F.round(F.sqrt("squared_norm"), 9).alias("norm")))
+
+
 @query(f"WITH {_STEP_SQL} SELECT concat_ws(chr(9), kind, label, key, printf('%.6f', value)) AS line FROM counted")
 def params_dump(spark, folder):
     return params.dump_lines(params.transition_counts(fields.segments(M.texts(inputs.parts(spark, folder)))))
@@ -582,6 +685,66 @@ def viterbi_small(spark, folder):
     return lattice.decode(rows, chain, _PLACE_LONGEST).select("mention_id", F.round("score", 6).alias("score"))
 
 
+def _same_words(field: str, words: list[str], begin: int, end: int, value: list[str]) -> float:
+    return 1.5 if words[begin:end] == value else 0.0
+
+
+def _to_region(candidate: dict, label: str, then: str) -> float:
+    return 0.25 if (label, then) == ("nation", "region") and len(candidate["values"]) == 2 else 0.0
+
+
+@query(f"""WITH RECURSIVE {sql.PLACES}, {sql.TOKENS}, {sql.smoothed_emissions(SMOOTHING)}, {sql.small_paths(_PLACE_LONGEST)},
+    pair AS (SELECT t.mention_id, r.mention_id AS record_id, t.words, r.words[:len(r.words) - 1] AS region, [r.words[len(r.words)]] AS nation FROM mention t JOIN mention r ON NOT t.is_record AND r.is_record AND t.words[3:] = r.words[:len(r.words) - 1]),
+    step AS (SELECT mention_id, record_id, 0::BIGINT AS pos, 0.0::DOUBLE AS score, '' AS last, words, region, nation FROM pair
+        UNION ALL SELECT p.mention_id, record_id, s.e::BIGINT, p.score + s.s + ln(1.0 / 3) + CASE WHEN s.label = 'region' AND words[s.b + 1:s.e] = region OR s.label = 'nation' AND words[s.b + 1:s.e] = nation THEN 1.5 ELSE 0 END + CASE WHEN last = 'nation' AND s.label = 'region' THEN 0.25 ELSE 0 END,
+            s.label, words, region, nation FROM step p JOIN span s ON s.mention_id = p.mention_id AND s.b = p.pos),
+    top AS (SELECT mention_id, record_id, max(score) AS score FROM step JOIN size USING (mention_id) WHERE pos = n GROUP BY ALL)
+    SELECT mention_id, min(record_id) FILTER (score > most - 1e-9) AS record_id, round(max(score), 6) AS score FROM (SELECT *, max(score) OVER (PARTITION BY mention_id) AS most FROM top) GROUP BY mention_id""")
+def coref_decode_aligned(spark, folder):
+    """Each text with the records of its region, whose values count where they stand, in parts of two candidates."""
+    rows, chain, ready, *_ = _place_texts(spark, folder)
+    values = fields.field_values(ready.where("is_record"), inputs.PLACE_FIELDS)
+    region = [f for f in inputs.PLACE_FIELDS if f.name in ("O", "region")]
+    pairs = blocking.conjunctive(ready.where("not is_record"), ready.where("is_record"), values, region, _PLACE_LONGEST)
+    out = lattice.decode_joint(lattice.with_candidates(rows, pairs, values, 2), chain, _PLACE_LONGEST, overlap=_same_words, handover=_to_region)
+    return out.select("mention_id", "record_id", F.round("score", 6).alias("score"))
+
+
+#: The paths of ``sql.small_paths`` with their last label, and the weights of labelled words in place of probabilities.
+_WALK_SQL = f"""WITH RECURSIVE {sql.PLACES}, {sql.TOKENS}, {sql.smoothed_emissions(SMOOTHING)}, {sql.small_paths(_PLACE_LONGEST)},
+    step AS (SELECT mention_id, 0::BIGINT AS pos, 0.0::DOUBLE AS score, '' AS last, 0 AS n_segments FROM size
+        UNION ALL SELECT p.mention_id, s.e::BIGINT, p.score + s.s + ln(1.0 / 3), s.label, p.n_segments + 1 FROM step p JOIN span s ON s.mention_id = p.mention_id AND s.b = p.pos
+        WHERE CASE WHEN p.last = '' THEN s.label <> 'nation' ELSE p.last <> s.label AND NOT (p.last = 'O' AND s.label = 'nation') END)"""
+
+
+@query(f"{_WALK_SQL} SELECT mention_id, round(max(score), 6) AS score FROM step JOIN size USING (mention_id) WHERE pos = n GROUP BY mention_id")
+def viterbi_restricted(spark, folder):
+    """Decoding where some labels can't begin a text, and some can't follow others."""
+    rows, chain, *_ = _place_texts(spark, folder)
+    barred = chain.restricted(lambda x: x != "nation", lambda x, y: x != y and (x, y) != ("O", "nation"))
+    return lattice.decode(rows, barred, _PLACE_LONGEST).select("mention_id", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH RECURSIVE {sql.PLACES}, {sql.TOKENS}, size AS (SELECT mention_id, max(position) + 1 AS n FROM token WHERE NOT is_record GROUP BY mention_id),
+    name AS (SELECT unnest(['O', 'nation', 'region']) AS label), w AS (SELECT label, word, count(*)::DOUBLE AS n FROM token WHERE is_record GROUP BY label, word),
+    x AS (SELECT t.mention_id, t.position, n.label, coalesce(w.n, 0) - CASE n.label WHEN 'O' THEN 0.25 WHEN 'nation' THEN 0.5 ELSE 0.125 END AS s FROM token t CROSS JOIN name n LEFT JOIN w ON w.word = t.word AND w.label = n.label WHERE NOT t.is_record),
+    span AS (SELECT mention_id, position AS b, position + 1 AS e, label, s FROM x UNION ALL SELECT a.mention_id, a.position, a.position + 2, a.label, a.s + b.s FROM x a JOIN x b ON a.mention_id = b.mention_id AND a.label = b.label AND b.position = a.position + 1 WHERE a.label = 'region'),
+    step AS (SELECT mention_id, 0::BIGINT AS pos, 0.0::DOUBLE AS score, '' AS last FROM size
+        UNION ALL SELECT p.mention_id, s.e::BIGINT, p.score + s.s + CASE WHEN p.last = '' THEN 0 WHEN p.last = s.label THEN -1 ELSE 0.375 END, s.label FROM step p JOIN span s ON s.mention_id = p.mention_id AND s.b = p.pos)
+    SELECT mention_id, round(max(score), 6) AS score, round(ln(sum(exp(score))), 4) AS log_z FROM step JOIN size USING (mention_id) WHERE pos = n GROUP BY mention_id""")
+def viterbi_weights(spark, folder):
+    """Decoding by the discriminative model alone: words' weights, a bias of each label, weights of steps."""
+    ready = inputs.word_examples(inputs.places(spark, folder)).withColumn("feats", F.transform("words", lambda w: F.array(w, F.lit("$BIAS$"))))
+    counts = params.emission_counts(ready.where("is_record").select(F.explode(F.arrays_zip("words", "labels")).alias("t")).select(F.col("t.words").alias("word"), X.bare(F.col("t.labels")).alias("label")))
+    labels = ["O", "nation", "region"]
+    rest = [("E", x, "$BIAS$", -v) for x, v in zip(labels, (0.25, 0.5, 0.125))] + [("T", x, y, -1.0 if x == y else 0.375) for x in labels for y in labels]
+    weights = counts.unionByName(spark.createDataFrame(rest, "kind string, label string, key string, value double").withColumn("model", F.lit("disc"))).withColumn("model", F.lit("disc"))
+    rows = lattice.scored(ready.where("not is_record"), weights, labels, False, True)
+    chain = lattice.Chain.of(weights, labels)
+    best = lattice.decode(rows, chain, _PLACE_LONGEST, False, True).select("mention_id", F.round("score", 6).alias("score"))
+    return best.join(lattice.expectations(rows, chain, _PLACE_LONGEST, False, True).select("mention_id", F.round("log_z", 4).alias("log_z")), "mention_id")
+
+
 @query(f"{_PLACE_PATHS} SELECT mention_id, round(ln(sum(exp(score - m))) + any_value(m), 4) AS log_z FROM (SELECT mention_id, score, max(score) OVER (PARTITION BY mention_id) AS m FROM whole) GROUP BY mention_id")
 def logz_small(spark, folder):
     rows, chain, *_ = _place_texts(spark, folder)
@@ -602,12 +765,30 @@ def coref_decode_small(spark, folder):
     return lattice.decode_joint(rows, chain, _PLACE_LONGEST).select("mention_id", "record_id", F.round("score", 6).alias("score"))
 
 
-@query()
+_PART_LONGEST = {"O": 1, "name": 2, "brand": 1, "type": 1}
+
+
+@query(f"""WITH RECURSIVE {_PART_SCORES}, name AS (SELECT unnest(['O', 'name', 'brand', 'type']) AS label),
+    x AS (SELECT t.mention_id, t.position, n.label, coalesce(ln(e.value), 0) AS s FROM token t CROSS JOIN name n LEFT JOIN emission e ON e.key = t.word AND e.label = n.label WHERE NOT t.is_record),
+    span AS (SELECT mention_id, position AS b, position + 1 AS e, max(s) AS s FROM x GROUP BY ALL
+        UNION ALL SELECT a.mention_id, a.position, a.position + 2, a.s + b.s FROM x a JOIN x b ON a.mention_id = b.mention_id AND b.position = a.position + 1 WHERE a.label = 'name' AND b.label = 'name'),
+    size AS (SELECT mention_id, max(position) + 1 AS n FROM token WHERE NOT is_record GROUP BY mention_id),
+    step AS (SELECT mention_id, 0::BIGINT AS pos, 0.0::DOUBLE AS score, 0 AS n_segments FROM size
+        UNION ALL SELECT p.mention_id, s.e::BIGINT, p.score + s.s + ln(0.25), p.n_segments + 1 FROM step p JOIN span s ON s.mention_id = p.mention_id AND s.b = p.pos)
+    SELECT mention_id, round(max(score), 6) AS score, arg_max(n_segments, score)::INT AS n_segments, TRUE AS is_valid FROM step JOIN size USING (mention_id) WHERE pos = n GROUP BY mention_id""")
 def decode_parts(spark, folder):
-    """Best segmentations of all part texts."""
+    """Best segmentations of all part texts: score and number of segments (which of several equal ones is best is left open)."""
+    ready, _, labels, gen = _trained(inputs.parts(spark, folder))
+    rows = lattice.decode(lattice.scored(ready.where("not is_record"), gen, labels), lattice.Chain.of(gen, labels), _PART_LONGEST)
+    return rows.select("mention_id", F.round("score", 6).alias("score"), F.size("segments").alias("n_segments"), evaluate.valid_segments(F.col("segments")).alias("is_valid"))
+
+
+@query(f"""WITH {sql.PARTS} SELECT mention_id, 'name[0, ' || (len(words) - 2) || ') brand[' || (len(words) - 2) || ', ' || (len(words) - 1) || ') type[' || (len(words) - 1) || ', ' || len(words) || ')' AS segments FROM mention WHERE is_record""")
+def decode_records(spark, folder):
+    """Records take the segmentation of their labels."""
     ready, _, labels, gen = _trained(inputs.parts(spark, folder))
-    rows = lattice.decode(lattice.scored(ready.where("not is_record"), gen, labels), lattice.Chain.of(gen, labels), {"O": 1, "name": 2, "brand": 1, "type": 1})
-    return rows.select("mention_id", F.round("score", 6).alias("score"), evaluate.formatted(F.col("segments")).alias("segments"))
+    rows = lattice.decode(lattice.scored(ready.where("is_record"), gen, labels), lattice.Chain.of(gen, labels), _PART_LONGEST)
+    return rows.select("mention_id", evaluate.formatted(F.col("segments")).alias("segments"))
 
 
 @query()
@@ -702,6 +883,21 @@ def _adjusted(spark, folder) -> DataFrame:
     return rows.select("page_id", "words", "truth", evaluate.adjusted(F.col("words"), F.col("truth")).alias("guess"))
 
 
+@query(f"""WITH {sql.PAGE_SEGMENTS}, z AS (SELECT page_id, max(e) AS n, arg_max(label, e) AS last FROM segment GROUP BY page_id)
+    SELECT page_id, s.b AS seg_begin, s.e AS seg_end, s.label, (n + 2)::INT AS appended_end, last, (s.b + 3)::INT AS moved_begin, TRUE AS has_it, TRUE AS beyond FROM z JOIN segment s USING (page_id) WHERE s.b <= n // 2 AND n // 2 < s.e""")
+def segment_lookup(spark, folder):
+    """The segment of the middle word, and where segmentations end and begin after one more is added behind or before."""
+    rows = _adjusted(spark, folder).where("size(truth) > 0").withColumn("n", F.element_at("truth", -1)["end"])
+    middle = evaluate.segment_at(F.col("truth"), F.floor(F.col("n") / 2).cast("int"))
+    more = evaluate.appended(F.col("truth"), F.lit("X"), F.lit(2))
+    moved = evaluate.prepended(F.col("truth"), F.lit("Y"), F.lit(3))
+    rows = rows.select("page_id", "truth", "n", middle.alias("s"), more.alias("more"), moved.alias("moved"))
+    return rows.select(
+        "page_id", F.col("s.begin").alias("seg_begin"), F.col("s.end").alias("seg_end"), F.col("s.label").alias("label"), F.element_at("more", -1)["end"].alias("appended_end"), F.element_at("more", -2)["label"].alias("last"),
+        evaluate.segment_at(F.col("moved"), F.col("s.begin") + 3)["begin"].alias("moved_begin"), evaluate.has_segment(F.col("truth"), F.col("s.begin"), F.col("s.end"), F.col("s.label")).alias("has_it"), evaluate.segment_at(F.col("truth"), F.col("n")).isNull().alias("beyond"),
+    )
+
+
 @query(f"WITH {sql.ADJUSTED} SELECT page_id, b AS seg_begin, e AS seg_end, label FROM adjusted")
 def punct_adjust(spark, folder):
     rows = _adjusted(spark, folder).select("page_id", F.explode("guess").alias("s"))

@@ -6,16 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reclink.operators.params import dump_lines
+from reclink.session import dropped, written
+from reclink.sources.mentions import positions
 
 VOCABULARY = "kind string, term string, id bigint"
 
 
 def write_vocabulary(terms: DataFrame, path: str) -> None:
-    """Replace a table (kind, term, id); ids number the terms of a kind in order."""
-    from pyspark.sql import Window as W
-
-    numbered = terms.select("kind", "term").distinct().withColumn("id", F.row_number().over(W.partitionBy("kind").orderBy("term")).cast("bigint") - 1)
-    numbered.write.mode("overwrite").partitionBy("kind").parquet(path)
+    """Replace a table (kind, term, id); ids number the terms of a kind in order, by ranges of terms rather than in one task."""
+    known = written(terms.select("kind", "term").distinct(), "terms")
+    out = None
+    # kinds are the few dictionaries of a pipeline
+    for kind in sorted(r["kind"] for r in known.select("kind").distinct().collect()):
+        own = positions(known.where(F.col("kind") == kind), "term").select("kind", "term", (F.col("position").cast("bigint") - 1).alias("id"))
+        out = own if out is None else out.unionByName(own)
+    out = known.withColumn("id", F.lit(0).cast("bigint")) if out is None else out
+    out.write.mode("overwrite").partitionBy("kind").parquet(path)
+    dropped(terms.sparkSession, known)
 
 
 def read_vocabulary(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
@@ -24,6 +31,16 @@ def read_vocabulary(spark: SparkSession, path: str, kind: str | None = None) ->
     return rows.where(F.col("kind") == kind) if kind else rows
 
 
+def terms_of(ids: DataFrame, vocabulary: DataFrame, column: str = "id") -> DataFrame:
+    """``ids`` with the term of each id of one kind's vocabulary; null for unknown ones."""
+    return ids.join(vocabulary.select(F.col("id").alias(column), "term"), column, "left")
+
+
+def ids_of(terms: DataFrame, vocabulary: DataFrame, column: str = "term", unknown: int = -1) -> DataFrame:
+    """``terms`` with the id of each term; ``unknown`` for those that the vocabulary lacks."""
+    return terms.join(vocabulary.select(F.col("term").alias(column), "id"), column, "left").withColumn("id", F.coalesce("id", F.lit(unknown).cast("bigint")))
+
+
 def write_params(params: DataFrame, path: str) -> None:
     params.write.mode("overwrite").parquet(path)
 

@@ -216,6 +216,77 @@ def test_constraint_gradient():
         assert (model.value_and_gradient(moved)[0] - value) / 1e-5 == pytest.approx(gradient[i], abs=1e-3)
 
 
+def test_constrained_learning(spark):
+    """Expectations under constraints are distributions over labels, break the rules less often, and steer what is learnt."""
+    ready = examples.hotel_examples(mentions(spark))
+    free = pipelines.prepare(ready, HOTEL_FIELDS, Options(seg_text_weight=1.0))
+    bound = pipelines.prepare(ready, HOTEL_FIELDS, Options(seg_text_weight=1.0, constrained_learning=True))
+    assert free.setting.domain is learn.PLAIN and bound.setting.domain is bound.domain
+    labels = free.setting.labels
+    scored = lattice.scored(free.setting.texts(), free.params, labels)
+    plain = {r["mention_id"]: r for r in lattice.expectations(scored, free.chain, free.setting.longest).collect()}
+    held = {r["mention_id"]: r for r in constraints.constrained_expectations(scored, free.chain, free.setting.longest, bound.domain, only_segmentation=True).collect()}
+    words = {r["mention_id"]: r["words"] for r in scored.collect()}
+
+    def broken(posteriors):
+        out = 0.0
+        for i, r in posteriors.items():
+            tokens = np.array(r["tokens"]).reshape(-1, len(labels))
+            assert tokens.sum(1) == pytest.approx(np.ones(len(tokens)))
+            for k, probabilities in enumerate(tokens):
+                hit = {rule.name: rule for rule in constraints.HOTEL_RULES if rule.matches(words[i], k)}
+                out += sum(p for rule in hit.values() for x, p in zip(labels, probabilities) if (x in rule.labels) == rule.inside)
+        return out
+
+    assert broken(held) < broken(plain)
+    one, _ = learn.em(free.setting, free.params, 1)
+    two, _ = learn.em(bound.setting, bound.params, 1)
+    values = [{(r["kind"], r["label"], r["key"]): r["value"] for r in p.where("model = 'gen'").collect()} for p in (one, two)]
+    assert set(values[0]) == set(values[1]) and any(abs(v - values[1][k]) > 1e-6 for k, v in values[0].items())
+    joint = pipelines.with_joint(bound)
+    _, history = learn.fit_weights(joint.setting, two, 1, use_gen=True, joint=True)
+    assert joint.setting.domain is bound.domain and all(map(math.isfinite, history))
+
+
+def test_constrained_inference_by_option(spark):
+    ready = examples.hotel_examples(mentions(spark))
+    run = pipelines.prepare(ready, HOTEL_FIELDS, Options(constrained_inference=True))
+    rows = lambda df: sorted(map(str, df.select("mention_id", "guess").collect()))
+    assert rows(pipelines.segmentation(run)) == rows(pipelines.segmentation(run, constrained=True))
+
+
+def test_options_bound_scans(spark):
+    run = pipelines.prepare(examples.hotel_examples(mentions(spark)), HOTEL_FIELDS, Options(max_records=2, max_texts=1))
+    assert sorted(r["mention_id"] for r in run.setting.examples.collect()) == ["r1", "r2", "t1"]
+
+
+def test_restricted_chain():
+    chain = lattice.Chain(["O", "a"], np.full(2, 0.5), np.full((2, 2), 0.5), np.zeros(2), np.zeros((2, 2))).restricted(lambda x: x == "a", lambda x, y: x != y)
+    for is_record in (False, True):
+        start, step = chain.scores(is_record, True, False)
+        assert start[0] == -np.inf and np.isfinite(start[1]) and (step[[0, 1], [0, 1]] == -np.inf).all() and np.isfinite(step[[0, 1], [1, 0]]).all()
+    score, best = lattice.viterbi(np.zeros((3, 1, 2)), *chain.scores(False, True, False))
+    assert [x for _, _, x in best] == [1, 0, 1] and score == pytest.approx(3 * np.log(0.5))
+
+
+def test_citation_pipeline(spark):
+    """From mentions to reports, with the citation rules."""
+    rows = mentions(spark)
+    for old, new in (("hotelname", "title"), ("localarea", "author"), ("starrating", "date")):
+        rows = rows.withColumn("labels", F.transform("labels", lambda x: F.regexp_replace(x, old, new)))
+    options = Options(seg_gen_iterations=1, seg_text_weight=0.5, seg_disc_iterations=1, seg_kl_iterations=0, coref_gen_iterations=1, coref_disc_iterations=0, batch_size=6)
+    run, reports = pipelines.citations(examples.citation_examples(rows), options)
+    assert run.domain.penalties is constraints.citation_penalties and run.domain.match_share == 0.95
+    assert {"segmentation.gen", "segmentation.gen.constrained", "segmentation.disc", "joint.gen.constrained"} <= set(reports)
+    assert reports["joint.gen"].first()["n_texts"] == 3
+
+
+def test_longest_segments(spark):
+    values = spark.createDataFrame([("a", ["x", "y"], True), ("a", ["x"] * 5, False), ("b", ["x"], True)], "field string, phrase array<string>, is_observed boolean")
+    of = [fields.OTHER, fields.Field("a"), fields.Field("b", least_length=6), fields.Field("c")]
+    assert fields.max_lengths(values, of) == {"O": 1, "a": 2, "b": 6, "c": 1}
+
+
 def test_citation_rules():
     words = ["[1]", "J.", "Smith,", "Proceedings", "1998", "pp.", "1--9"]
     labels = ["O", "author", "booktitle", "date", "pages"]

@@ -80,7 +80,7 @@ def test_labelled_file(spark, tmp_path):
 
 
 def test_prepare_and_quarantine(spark, tmp_path):
-    raw = spark.createDataFrame([("1", "dblp", "<title>On Joins</title>", "c"), ("2", "rexa", "<title>X</title> y", None), ("3", "rexa", "", None)], "_id string, sourceId string, sgml string, clusterId string")
+    raw = spark.createDataFrame([("1", "dblp", "<title>On Joins</title>", "c"), ("2", "texts", "<title>X</title> y", None), ("3", "texts", "", None)], "_id string, sourceId string, sgml string, clusterId string")
     good, bad = M.prepare(raw, citation=True, record_source="dblp")
     found = {r["mention_id"]: r for r in good.collect()}
     assert set(found) == {"1", "2"} and found["1"]["is_record"] and not found["2"]["is_record"] and found["2"]["labels"] == ["B-title", "O"]
@@ -120,6 +120,60 @@ def test_phrase_matching_is_shortest_first_and_does_not_overlap(spark):
     assert {(r["begin"], r["end"]) for r in phrases.phrase_starts(rows, lexicon, 3).collect()} == {(0, 2), (1, 3)}
 
 
+def test_long_phrase_lists_match_the_same(spark):
+    lexicon = phrases.phrases(spark.createDataFrame([("a b",), ("a b c",), ("b c",), ("d",), ("c a",)], "entry string"))
+    texts = [["a", "b", "c", "d", "b", "c"], ["c", "a", "b", "c", "a"], [], None, ["x"], ["A", "b"]]
+    rows = spark.createDataFrame([(str(i), w) for i, w in enumerate(texts)], "mention_id string, words array<string>")
+    for lower in (False, True):
+        short = {r["mention_id"]: r["phrase_marks"] for r in phrases.with_marks(rows, lexicon, "X", lower).collect()}
+        long = {r["mention_id"]: r["phrase_marks"] for r in phrases.with_marks(rows, lexicon, "X", lower, most=2).collect()}
+        assert short == long and short["0"] == ["X", "X", None, "X", "X", "X"]
+
+
+def test_ww_files(spark, tmp_path):
+    made = ['>>\n>word\n0\t"a"\n\n>mention\n\n', '>>\n>word\n0\t"b"\n\n>mention\n0\t0\t"x"\n']
+    evaluate.write_ww(spark.createDataFrame([(w,) for w in made], "ww string").coalesce(1), str(tmp_path / "ww"))
+    text = "".join(p.read_text() for p in sorted((tmp_path / "ww").glob("part-*")))
+    assert text == "".join(w + "\n\n" for w in made)
+
+
+def test_vocabularies(spark, tmp_path):
+    terms = [("word", t) for t in ("b", "a", "ab", "a", "ä")] + [("feature", "z")]
+    sinks.write_vocabulary(spark.createDataFrame(terms, "kind string, term string"), str(tmp_path / "v"))
+    known = sinks.read_vocabulary(spark, str(tmp_path / "v"), "word")
+    assert {r["term"]: r["id"] for r in known.collect()} == {"a": 0, "ab": 1, "b": 2, "ä": 3}
+    assert sinks.ids_of(spark.createDataFrame([("none",)], "term string"), known).first()["id"] == -1
+    assert sinks.terms_of(spark.createDataFrame([(7,)], "id bigint"), known).first()["term"] is None
+    sinks.write_vocabulary(spark.createDataFrame([], "kind string, term string"), str(tmp_path / "e"))
+
+
+def test_segments_grow(spark):
+    none = F.array().cast(evaluate.SEGMENTS)
+    first = one(spark, evaluate.appended(none, F.lit("a"), F.lit(2)))
+    assert [(s["begin"], s["end"], s["label"]) for s in first] == [(0, 2, "a")]
+    both = one(spark, evaluate.prepended(evaluate.appended(none, F.lit("a"), F.lit(2)), F.lit("b"), F.lit(1)))
+    assert [(s["begin"], s["end"], s["label"]) for s in both] == [(0, 1, "b"), (1, 3, "a")]
+
+
+def test_online_learner_goes_on(spark, tmp_path):
+    """A batch that comes again counts once, and a new learner goes on from the tables."""
+    from reclink.streaming.decoding import OnlineLearner
+
+    ready = examples.hotel_examples(mentions(spark))
+    run = pipelines.prepare(ready, inputs.PART_FIELDS[:1], Options())
+    weights = lambda x: sorted((r["kind"], r["label"], str(r["key"]), round(r["value"], 9)) for r in x.params.where("model = 'disc'").collect())
+    one_go = OnlineLearner(run.setting, run.params)
+    for _ in range(2):
+        one_go.step(ready)
+    kept = OnlineLearner(run.setting, run.params, path=f"file://{tmp_path}/state")
+    kept.step(ready, 0)
+    again = OnlineLearner(run.setting, run.params, path=f"file://{tmp_path}/state")
+    assert again.updates == 1 and weights(again) == weights(kept)
+    again.step(ready, 0)
+    again.step(ready, 1)
+    assert again.updates == 2 and weights(again) == weights(one_go) and again.objective == pytest.approx(one_go.objective)
+
+
 def test_citation_examples(spark):
     rows = mentions(spark)
     lexicons = [examples.Lexicon("AREA", spark.createDataFrame([("Downtown",)], "entry string")), examples.Lexicon("INN", spark.createDataFrame([("red lion",)], "entry string"), phrases=True)]
