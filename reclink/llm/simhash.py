@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from reclink.llm.components import components
 from reclink.llm.words import exact, mixed
-from reclink.session import written
+from reclink.session import dropped, written
 
 BITS, RADIUS, SHINGLE = 64, 2, 3
 SAMPLE, RUN, LONG = 4_096, 2_048, 65_536
@@ -472,16 +472,20 @@ def similar_links(distinct: DataFrame, keys, sets_of, near: int, width: int, sim
 
         return run
 
-    rows, most, sets, found = distinct.select("sig", "id").mapInArrow(probe, "k bigint, sig binary, id bigint"), FIRST_MATES, None, None
+    spark = distinct.sparkSession
+    rows, most, sets, found, old = distinct.select("sig", "id").mapInArrow(probe, "k bigint, sig binary, id bigint"), FIRST_MATES, None, None, []
     while True:
         out = written(rows.repartition("k").sortWithinPartitions("k").mapInArrow(meet(most), "k bigint, u bigint, fu bigint, v bigint, fv bigint, sig binary"), "meetings")
+        dropped(spark, *old)
         if sets is None:
             sets = written(sets_of(out.select(F.col("u").alias("id")).union(out.where("v is not null").select(F.col("v").alias("id")))), "shingle-sets")
         new = _similar(out.where("v is not null").select("u", "fu", "v", "fv").distinct(), sets, similarity)
-        found = written(new if found is None else new.union(found), "similar")
+        earlier, found = found, written(new if found is None else new.union(found), "similar")
         left = out.where("v is null").select("k", "sig", F.col("u").alias("id"), F.col("fu").alias("fp"))
         if left.isEmpty():
+            dropped(spark, out, sets, *([earlier] if earlier is not None else []))
             return found
+        old = [out, *([earlier] if earlier is not None else [])]
         of = components(found).select(F.col("node.id").alias("id"), F.col("node.fp").alias("fp"), F.col("component.id").alias("g"), F.col("component.fp").alias("gf"))
         rows, most = left.join(of, ["id", "fp"], "left").select("k", "sig", "id", F.coalesce("g", "id").alias("g"), F.coalesce("gf", "fp").alias("gf")), most * MORE_MATES
 
@@ -536,6 +540,7 @@ def _similar_rows(docs: DataFrame, id_col: str, text_col: str, shingle: int, sim
     found = components(similar_links(distinct, lambda words: part_keys(words, bits, parts), sets_of, near, WORDS, similarity))
     own = F.struct("id", "fp")
     of = written(distinct.withColumn("own", own).join(found, F.col("own") == F.col("node"), "left").select("sig", "n", F.coalesce("component", "own").alias("component")), "components")
+    dropped(docs.sparkSession, distinct, found)
     return _unfolded(prints, of).select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
 
 
