@@ -18,10 +18,11 @@ Similar documents (shingle sets of a Jaccard similarity of 0.8 or more) differ i
 a radius the pigeonhole argument asks for parts of 5 bits for each differing one: candidates in proportion to the square of
 the input.  ``similar_documents`` so probes parts of a signature of ``WORDS`` words at threshold 0, as wide and as many as
 cost least for a given recall.  This signature counts each shingle of a text once, as its set does; the fingerprints of
-``near_duplicates`` count repeats.  Rows that share a part and whose first ``SENT`` words are within a wide margin are
-candidates, and each pair is verified by its texts' sets of shingle hashes.  Pairs within a component needn't be verified, so
+``near_duplicates`` count repeats.  Rows that share a part and whose signatures are within a wide margin are candidates (all
+words go with a key: two of them let through pairs down to a similarity of 0.39, eight down to 0.6), and each pair is verified by its texts' sets of shingle hashes.  Pairs within a component needn't be verified, so
 candidates come in rounds: of each row's first ``FIRST_MATES`` candidates in the order of ids, which are mostly the same in
-every part, then of ``MORE_MATES`` times as many of other components, for the rows alone that still have any.  All
+every part, then of ``MORE_MATES`` times as many of other components, for the rows alone that still have any; these get
+signatures of ``WIDE`` words from their sets, which let through pairs down to 0.71.  All
 candidates are verified or already joined.  A pair's smaller row is a hub, whose set is sent once for all pairs it is in
 (once for each ``HUB_PAIRS`` of them).
 
@@ -38,7 +39,6 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -50,9 +50,9 @@ from reclink.session import dropped, written
 
 BITS, RADIUS, SHINGLE = 64, 2, 3
 SAMPLE, RUN, LONG = 4_096, 2_048, 65_536
-#: Words of a signature of similar documents, those of them that go with a key, and the share of pairs at the similarity itself that parts must bring together.
-WORDS, SENT, RECALL = 8, 2, 0.99
-#: Standard deviations above the expected number of differing bits up to which pairs are candidates.
+#: Words of a signature of similar documents, at first and for rows that come back, and the share of pairs at the similarity itself that parts must bring together.
+WORDS, WIDE, RECALL = 8, 32, 0.99
+#: Standard deviations above the expected number of differing bits, of the first word and of all, up to which pairs are candidates.
 MARGIN = 5.0
 FIRST_MATES, MORE_MATES, HUB_PAIRS = 1, 16, 4_096
 #: Rows of one signature from which they are joined by broadcast, and most signatures and ids that are broadcast (after a count).
@@ -439,29 +439,42 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return found.select(F.struct(F.col("u").alias("id"), F.col("fu").alias("fp")).alias("u"), F.struct(F.col("v").alias("id"), F.col("fv").alias("fp")).alias("v"))
 
 
-def similar_links(distinct: DataFrame, keys, sets_of, near: int, width: int, similarity: float) -> DataFrame:
-    """Links (u, v) that connect what is similar among ``distinct`` (fp, sig, id), of rows that share one of ``keys`` and are near by their first words.
+def wide_signatures(sets: DataFrame, words_out: int = WIDE) -> DataFrame:
+    """(id, fp, sig): a longer signature of each of ``sets`` (id, fp, hashes)."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1_000):
+                part = batch.slice(at, 1_000)
+                rows = [np.array(_majority(x, words_out) if len(x := np.frombuffer(h.as_buffer(), "<u8")) else [0] * words_out, "<u8").tobytes() for h in part.column(2)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(rows, pa.binary())], names=["id", "fp", "sig"])
+
+    return sets.select("id", "fp", "hashes").mapInArrow(run, "id bigint, fp bigint, sig binary")
+
+
+def similar_links(distinct: DataFrame, keys, sets_of, limits, width: int, similarity: float) -> DataFrame:
+    """Links (u, v) that connect what is similar among ``distinct`` (fp, sig, id), of rows that share one of ``keys`` and are near.
+
+    ``limits`` gives, for a number of words, how many bits of the first word and of all of them near rows may differ in.
 
     ``sets_of`` gives the table (id, fp, hashes) of a table of ids.
     """
-    some = pa.scalar(8 * SENT)
 
     def probe(batches):
         for batch in batches:
-            sent = pa.compute.binary_slice(batch.column(0), 0, some.as_py())
             for k in keys(_bytes_of(batch.column(0), width)) if batch.num_rows else ():
-                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), sent, batch.column(1)], names=["k", "sig", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), batch.column(0), batch.column(1)], names=["k", "sig", "id"])
 
-    def meet(most):
+    def meet(most, words):
         def run(batches):
-            for k, sig, i, *g in _whole_runs(batches, SENT):
+            for k, sig, i, *g in _whole_runs(batches, words):
                 fp = sig[:, 0].copy().view(np.int64)
                 # in the order of ids at first; later by component
                 place = np.lexsort((fp, i))
                 rank = np.empty(len(i), np.int64)
                 rank[place] = np.arange(len(i))
                 group = _numbers(*g) if g else rank
-                a, b, cut = mates(k, group, Near(sig, BITS, near), most)
+                a, b, cut = mates(k, group, Near(sig, *limits(words)), most)
                 # pairs have no key, rows to come back to have no mate
                 swap = rank[a] > rank[b]
                 a, b = np.where(swap, b, a), np.where(swap, a, b)
@@ -475,7 +488,7 @@ def similar_links(distinct: DataFrame, keys, sets_of, near: int, width: int, sim
     spark = distinct.sparkSession
     rows, most, sets, found, old = distinct.select("sig", "id").mapInArrow(probe, "k bigint, sig binary, id bigint"), FIRST_MATES, None, None, []
     while True:
-        out = written(rows.repartition("k").sortWithinPartitions("k").mapInArrow(meet(most), "k bigint, u bigint, fu bigint, v bigint, fv bigint, sig binary"), "meetings")
+        out = written(rows.repartition("k").sortWithinPartitions("k").mapInArrow(meet(most, width), "k bigint, u bigint, fu bigint, v bigint, fv bigint, sig binary"), "meetings")
         dropped(spark, *old)
         if sets is None:
             sets = written(sets_of(out.select(F.col("u").alias("id")).union(out.where("v is not null").select(F.col("v").alias("id")))), "shingle-sets")
@@ -487,6 +500,9 @@ def similar_links(distinct: DataFrame, keys, sets_of, near: int, width: int, sim
             return found
         old = [out, *([earlier] if earlier is not None else [])]
         of = components(found).select(F.col("node.id").alias("id"), F.col("node.fp").alias("fp"), F.col("component.id").alias("g"), F.col("component.fp").alias("gf"))
+        if width < WIDE:
+            again = _few(written(left.select("id").distinct(), "again"))
+            left, width = left.drop("sig").join(wide_signatures(sets.join(again, "id", "left_semi")), ["id", "fp"]), WIDE
         rows, most = left.join(of, ["id", "fp"], "left").select("k", "sig", "id", F.coalesce("g", "id").alias("g"), F.coalesce("gf", "fp").alias("gf")), most * MORE_MATES
 
 
@@ -533,11 +549,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _similar_rows(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, recall: float) -> DataFrame:
     """(id, fp, component: struct of id and fp) for every row."""
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    near = int(np.ceil(SENT * BITS * share + MARGIN * np.sqrt(share * (1 - share) * SENT * BITS)))
     prints, distinct = _folded(docs, id_col, text_col, shingle, WORDS, True)
     bits, parts = plan_parts(max(distinct.count(), 1), 1 - share, recall)
+    limits = lambda words: tuple(int(np.ceil(b * share + MARGIN * np.sqrt(share * (1 - share) * b))) for b in (BITS, words * BITS))
     sets_of = lambda ids: shingle_sets(docs, ids, id_col, text_col, shingle)
-    found = components(similar_links(distinct, lambda words: part_keys(words, bits, parts), sets_of, near, WORDS, similarity))
+    found = components(similar_links(distinct, lambda words: part_keys(words, bits, parts), sets_of, limits, WORDS, similarity))
     own = F.struct("id", "fp")
     of = written(distinct.withColumn("own", own).join(found, F.col("own") == F.col("node"), "left").select("sig", "n", F.coalesce("component", "own").alias("component")), "components")
     dropped(docs.sparkSession, distinct, found)
