@@ -19,12 +19,11 @@ a radius the pigeonhole argument asks for parts of 5 bits for each differing one
 the input.  ``similar_documents`` so probes parts of a signature of ``WORDS`` words at threshold 0, as wide and as many as
 cost least for a given recall.  This signature counts each shingle of a text once, as its set does; the fingerprints of
 ``near_duplicates`` count repeats.  Rows that share a part and whose signatures are within a wide margin are candidates (all
-words go with a key: two of them let through pairs down to a similarity of 0.39, eight down to 0.6), and each pair is verified by its texts' sets of shingle hashes.  Pairs within a component needn't be verified, so
-candidates come in rounds: of each row's first ``FIRST_MATES`` candidates in the order of ids, which are mostly the same in
-every part, then of ``MORE_MATES`` times as many of other components, for the rows alone that still have any; these get
-signatures of ``WIDE`` words from their sets, which let through pairs down to 0.71.  All
-candidates are verified or already joined.  A pair's smaller row is a hub, whose set is sent once for all pairs it is in
-(once for each ``HUB_PAIRS`` of them).
+words go with a key: two of them let through pairs down to a similarity of 0.39, eight down to 0.6).  Candidates aren't sent
+as pairs, whose number grows with the square of a group's size, but as links of a spanning forest, and the sets of shingle
+hashes of a cluster (what such links connect) meet in one task, each once; a cluster of more than ``CLUSTER_BYTES`` is cut
+into blocks, and each two of them meet.  There all sets are compared exactly (``similar_forest``), whether or not they were
+candidates themselves.
 
 Defined cases: a null text is an empty one; texts without a word have fingerprint zero and link like any other; a text of
 fewer words than a shingle is one shingle; repeated rows have equal fingerprints; rows with a null id keep their
@@ -50,11 +49,12 @@ from reclink.session import dropped, written
 
 BITS, RADIUS, SHINGLE = 64, 2, 3
 SAMPLE, RUN, LONG = 4_096, 2_048, 65_536
-#: Words of a signature of similar documents, at first and for rows that come back, and the share of pairs at the similarity itself that parts must bring together.
-WORDS, WIDE, RECALL = 8, 32, 0.99
+#: Words of a signature of similar documents, and the share of pairs at the similarity itself that parts must bring together.
+WORDS, RECALL = 8, 0.99
 #: Standard deviations above the expected number of differing bits, of the first word and of all, up to which pairs are candidates.
 MARGIN = 5.0
-FIRST_MATES, MORE_MATES, HUB_PAIRS = 1, 16, 4_096
+#: Bytes of shingle hashes of a block of a cluster.
+CLUSTER_BYTES = 4 << 20
 #: Rows of one signature from which they are joined by broadcast, and most signatures and ids that are broadcast (after a count).
 HOT, MOST_HOT, MOST_IDS = 1_000, 500_000, 1_000_000
 #: Comparisons that cost as much as a row in a shuffle.
@@ -340,47 +340,6 @@ def part_keys(words: np.ndarray, bits: int, parts: int):
         yield mixed(key ^ mixed(np.array([number + 1], np.uint64)))
 
 
-def mates(keys: np.ndarray, groups: np.ndarray, near: Near, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, mate) index pairs that are near, with equal keys and different groups, and the rows that have more mates than these, with those mates.
-
-    Each row has up to ``most`` mates, of the groups before its own by size within the run.
-    """
-    order = np.lexsort((groups, keys))
-    k, g = keys[order], groups[order]
-    start = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (g[1:] != g[:-1])))
-    size = np.repeat(np.diff(np.append(start, len(k))), np.diff(np.append(start, len(k))))
-    again = np.lexsort((g, size, k))
-    order, k, g = order[again], k[again], g[again]
-    run, run_size = _runs(k)
-    first = np.repeat(run, run_size)
-    block = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (g[1:] != g[:-1])))
-    end = np.repeat(block, np.diff(np.append(block, len(k))))
-    count, a, b = np.zeros(len(k), np.int64), [], []
-    rows, d = np.flatnonzero(first < end), 0
-    while len(rows := rows[(first[rows] + d < end[rows]) & (count[rows] <= most)]):
-        hit = rows[near(order[rows], order[first[rows] + d])]
-        count[hit] += 1
-        hit = hit[count[hit] <= most]
-        a.append(order[hit])
-        b.append(order[first[hit] + d])
-        d += 1
-    again = count > most
-    # whatever is near to a row that stopped comes back with it; hungry rows of a run, one after the other, against the other rows
-    hungry = np.flatnonzero(again)
-    start, size = _runs(first[hungry]) if len(hungry) else (hungry, hungry)
-    run_of = np.full(len(k), -1)
-    run_of[first[hungry[start]]] = np.arange(len(start))
-    own = run_of[first]
-    rows, d = np.flatnonzero((own >= 0) & ~again), 0
-    while len(rows := rows[(size[own[rows]] > d) & ~again[rows]]):
-        other = hungry[start[own[rows]] + d]
-        apart = rows[g[rows] != g[other]]
-        again[apart[near(order[apart], order[hungry[start[own[apart]] + d]])]] = True
-        d += 1
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *a]), np.concatenate([none, *b]), order[again]
-
-
 def _few(ids: DataFrame) -> DataFrame:
     """A written table of ids, marked for a broadcast if a count says that it is small."""
     return F.broadcast(ids) if ids.count() <= MOST_IDS else ids
@@ -403,61 +362,98 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str,
     return found.groupBy("id", "fp").agg(F.min("hashes").alias("hashes"))
 
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Of two sorted sets; 1 of two empty ones."""
-    if not len(a) and not len(b):
-        return 1.0
-    both = np.sort(np.concatenate([a, b]), kind="stable")
-    shared = int((both[1:] == both[:-1]).sum())
-    return shared / (len(both) - shared)
+def similar_forest(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links (index pairs), each of two sets of at least that Jaccard similarity, that connect whatever such pairs connect.
 
+    What two sets share is at most what either shares with any other: sets for which that leaves no partner go at once, and
+    of those that stay each is compared with the ones that no earlier one has reached.
+    """
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    ids = np.unique(np.concatenate([np.zeros(0, "<u8"), *sets]), return_inverse=True)[1].astype(np.int32)
+    owner = np.repeat(np.arange(len(sets), dtype=np.int32), size)
+    part = similarity / (1 + similarity)
+    alive, shared = np.ones(len(sets), bool), size
+    while alive.any():
+        often = np.bincount(ids)
+        keep = alive[owner] & (often[ids] > 1)
+        ids, owner = ids[keep], owner[keep]
+        shared = np.bincount(owner, minlength=len(sets))
+        sizes = np.append(np.sort(size[alive]), np.iinfo(np.int32).max)
+        least = sizes[np.searchsorted(sizes, similarity * size - 1e-6)]
+        before, alive = alive, alive & (shared >= part * (size + least) - 1e-6)
+        if (alive == before).all():
+            break
+    first = np.searchsorted(owner, np.arange(len(sets) + 1))
+    marked = np.zeros(int(ids.max(initial=0)) + 1, bool)
+    free = np.flatnonzero(alive)
+    free = free[np.argsort(-shared[free] / np.maximum(size[free], 1), kind="stable")]
+    u, v = [], []
+    while len(free):
+        front, free = [int(free[0])], free[1:]
+        while front and len(free):
+            row = front.pop()
+            some = free[np.minimum(shared[row], shared[free]) >= part * (size[row] + size[free]) - 1e-6]
+            if not len(some):
+                continue
+            own = ids[first[row] : first[row + 1]]
+            marked[own] = True
+            ends = np.cumsum(shared[some])
+            at = np.arange(int(ends[-1])) + np.repeat(first[some] - ends + shared[some], shared[some])
+            both = np.diff(np.append(0, np.cumsum(marked[ids[at]])[ends - 1])) if len(at) else np.zeros(len(some), np.int64)
+            marked[own] = False
+            # two empty sets are equal
+            found = some[both / (size[row] + size[some] - both) >= similarity] if size[row] else some[size[some] == 0]
+            if len(found):
+                u += [row] * len(found)
+                v += found.tolist()
+                front += found.tolist()
+                free = free[~np.isin(free, found)]
+    return np.array(u, np.int64), np.array(v, np.int64)
 
-def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(u, v), structs of id and fp: the pairs whose sets have at least that Jaccard similarity.  A hub u's set is sent to each of its salts, a v's set to its hubs."""
 
-    def run(batches):
-        hub, of = None, np.zeros(0, np.uint64)
-        for batch in batches:
-            good = []
-            ids = zip(*(batch.column(i).to_pylist() for i in range(5)))
-            for n, (salt, u, fu, v, _) in enumerate(ids):
-                own = np.frombuffer(batch.column(5)[n].as_buffer(), "<u8")
-                if v is None:
-                    hub, of = (salt, u, fu), own.copy()
-                elif hub == (salt, u, fu) and jaccard(of, own) >= similarity:
-                    good.append(n)
-            taken = pa.RecordBatch.from_arrays(batch.columns[1:5], names=["u", "fu", "v", "fv"]).take(pa.array(good, pa.int64()))
-            yield taken
-
-    hubs = pairs.groupBy("u", "fu").agg(F.count(F.lit(1)).alias("n")).withColumn("salts", F.ceil(F.col("n") / HUB_PAIRS).cast("int"))
-    salted = pairs.join(hubs, ["u", "fu"]).withColumn("salt", F.pmod(F.xxhash64("v", "fv"), F.col("salts")).cast("int"))
-    one = hubs.join(sets.select(F.col("id").alias("u"), F.col("fp").alias("fu"), "hashes"), ["u", "fu"])
-    one = one.select(F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "u", "fu", F.lit(None).cast("bigint").alias("v"), F.lit(None).cast("bigint").alias("fv"), "hashes")
-    other = salted.select("salt", "u", "fu", "v", "fv").join(sets.select(F.col("id").alias("v"), F.col("fp").alias("fv"), "hashes"), ["v", "fv"]).select(*one.columns)
-    meet = one.union(other).repartition("salt", "u", "fu").sortWithinPartitions("salt", "u", "fu", F.col("v").asc_nulls_first())
-    found = meet.mapInArrow(run, "u bigint, fu bigint, v bigint, fv bigint")
-    return found.select(F.struct(F.col("u").alias("id"), F.col("fu").alias("fp")).alias("u"), F.struct(F.col("v").alias("id"), F.col("fv").alias("fp")).alias("v"))
+def _similar(clustered: DataFrame, similarity: float) -> DataFrame:
+    """(u, v), structs of id and fp, that connect what is similar within the clusters (g, gf) of ``clustered`` (id, fp, g, gf, hashes)."""
 
+    def run(batches):
+        at, rows, sets = None, [], []
 
-def wide_signatures(sets: DataFrame, words_out: int = WIDE) -> DataFrame:
-    """(id, fp, sig): a longer signature of each of ``sets`` (id, fp, hashes)."""
+        def linked():
+            a, b = similar_forest(sets, similarity)
+            own = np.array(rows, np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (own[a, 0], own[a, 1], own[b, 0], own[b, 1])], names=["u", "fu", "v", "fv"])
 
-    def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 1_000):
-                part = batch.slice(at, 1_000)
-                rows = [np.array(_majority(x, words_out) if len(x := np.frombuffer(h.as_buffer(), "<u8")) else [0] * words_out, "<u8").tobytes() for h in part.column(2)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(rows, pa.binary())], names=["id", "fp", "sig"])
+            keys = zip(*(batch.column(c).to_pylist() for c in range(4)))
+            for n, (key, i, fp) in enumerate(zip(keys, batch.column(4).to_pylist(), batch.column(5).to_pylist())):
+                if key != at:
+                    if len(rows) > 1:
+                        yield linked()
+                    at, rows, sets = key, [], []
+                rows.append((i, fp))
+                sets.append(np.frombuffer(batch.column(6)[n].as_buffer(), "<u8").copy())
+        if len(rows) > 1:
+            yield linked()
+
+    # blocks of a large cluster meet two by two
+    large = clustered.groupBy("g", "gf").agg(F.ceil(F.sum(F.length("hashes")) / CLUSTER_BYTES).cast("int").alias("blocks")).where("blocks > 1")
+    rows = clustered.join(_few(written(large, "large-clusters")), ["g", "gf"], "left").withColumn("own", F.expr("pmod(xxhash64(id, fp), blocks)").cast("int"))
+    met = F.transform(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("own")), lambda x: F.struct(F.least(x, "own").alias("a"), F.greatest(x, "own").alias("b")))
+    rows = rows.select("g", "gf", F.explode(F.coalesce(met, F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"))))).alias("m"), "id", "fp", "hashes")
+    meet = rows.select("g", "gf", "m.a", "m.b", "id", "fp", "hashes").repartition("g", "gf", "a", "b").sortWithinPartitions("g", "gf", "a", "b")
+    found = meet.mapInArrow(run, "u bigint, fu bigint, v bigint, fv bigint")
+    return _linked_rows(found)
 
-    return sets.select("id", "fp", "hashes").mapInArrow(run, "id bigint, fp bigint, sig binary")
 
+def _linked_rows(found: DataFrame) -> DataFrame:
+    """(u, v), structs of id and fp, of (u, fu, v, fv)."""
+    return found.select(F.struct(F.col("u").alias("id"), F.col("fu").alias("fp")).alias("u"), F.struct(F.col("v").alias("id"), F.col("fv").alias("fp")).alias("v"))
 
-def similar_links(distinct: DataFrame, keys, sets_of, limits, width: int, similarity: float) -> DataFrame:
-    """Links (u, v) that connect what is similar among ``distinct`` (fp, sig, id), of rows that share one of ``keys`` and are near.
 
-    ``limits`` gives, for a number of words, how many bits of the first word and of all of them near rows may differ in.
+def similar_links(distinct: DataFrame, keys, sets_of, limits: tuple[int, int], width: int, similarity: float) -> DataFrame:
+    """Links (u, v) that connect what is similar among ``distinct`` (fp, sig, id), of rows that share one of ``keys`` and are near, directly or through others.
 
-    ``sets_of`` gives the table (id, fp, hashes) of a table of ids.
+    ``limits`` says how many bits of the first word and of all of them near rows may differ in; ``sets_of`` gives the table
+    (id, fp, hashes) of a table of ids.
     """
 
     def probe(batches):
@@ -465,56 +461,20 @@ def similar_links(distinct: DataFrame, keys, sets_of, limits, width: int, simila
             for k in keys(_bytes_of(batch.column(0), width)) if batch.num_rows else ():
                 yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), batch.column(0), batch.column(1)], names=["k", "sig", "id"])
 
-    def meet(most, words):
-        def run(batches):
-            for k, sig, i, *g in _whole_runs(batches, words):
-                fp = sig[:, 0].copy().view(np.int64)
-                # in the order of ids at first; later by component
-                place = np.lexsort((fp, i))
-                rank = np.empty(len(i), np.int64)
-                rank[place] = np.arange(len(i))
-                group = _numbers(*g) if g else rank
-                a, b, cut = mates(k, group, Near(sig, *limits(words)), most)
-                # pairs have no key, rows to come back to have no mate
-                swap = rank[a] > rank[b]
-                a, b = np.where(swap, b, a), np.where(swap, a, b)
-                none = lambda n: pa.nulls(n, pa.int64())
-                columns = [(none(len(a)), k[cut]), (i[a], i[cut]), (fp[a], fp[cut]), (i[b], none(len(cut))), (fp[b], none(len(cut)))]
-                sent = pa.concat_arrays([pa.nulls(len(a), pa.binary()), pa.array([x.tobytes() for x in sig[cut]], pa.binary())])
-                yield pa.RecordBatch.from_arrays([pa.concat_arrays([x if isinstance(x, pa.Array) else pa.array(x, pa.int64()) for x in c]) for c in columns] + [sent], names=["k", "u", "fu", "v", "fv", "sig"])
-
-        return run
-
-    spark = distinct.sparkSession
-    rows, most, sets, found, old = distinct.select("sig", "id").mapInArrow(probe, "k bigint, sig binary, id bigint"), FIRST_MATES, None, None, []
-    while True:
-        out = written(rows.repartition("k").sortWithinPartitions("k").mapInArrow(meet(most, width), "k bigint, u bigint, fu bigint, v bigint, fv bigint, sig binary"), "meetings")
-        dropped(spark, *old)
-        if sets is None:
-            sets = written(sets_of(out.select(F.col("u").alias("id")).union(out.where("v is not null").select(F.col("v").alias("id")))), "shingle-sets")
-        new = _similar(out.where("v is not null").select("u", "fu", "v", "fv").distinct(), sets, similarity)
-        earlier, found = found, written(new if found is None else new.union(found), "similar")
-        left = out.where("v is null").select("k", "sig", F.col("u").alias("id"), F.col("fu").alias("fp"))
-        if left.isEmpty():
-            dropped(spark, out, sets, *([earlier] if earlier is not None else []))
-            return found
-        old = [out, *([earlier] if earlier is not None else [])]
-        of = components(found).select(F.col("node.id").alias("id"), F.col("node.fp").alias("fp"), F.col("component.id").alias("g"), F.col("component.fp").alias("gf"))
-        if width < WIDE:
-            again = _few(written(left.select("id").distinct(), "again"))
-            left, width = left.drop("sig").join(wide_signatures(sets.join(again, "id", "left_semi")), ["id", "fp"]), WIDE
-        rows, most = left.join(of, ["id", "fp"], "left").select("k", "sig", "id", F.coalesce("g", "id").alias("g"), F.coalesce("gf", "fp").alias("gf")), most * MORE_MATES
-
-
-def _numbers(*columns: np.ndarray) -> np.ndarray:
-    """A number for each distinct combination of values, in their order."""
-    order = np.lexsort(columns[::-1])
-    new = np.zeros(len(order), bool)
-    for c in columns:
-        new[1:] |= c[order][1:] != c[order][:-1]
-    out = np.empty(len(order), np.int64)
-    out[order] = np.cumsum(new)
-    return out
+    def meet(batches):
+        for k, sig, i in _whole_runs(batches, width):
+            a, b = forest_of(k, Near(sig, *limits))
+            fp = sig[:, 0].copy().view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (i[a], fp[a], i[b], fp[b])], names=["u", "fu", "v", "fv"])
+
+    rows = distinct.select("sig", "id").mapInArrow(probe, "k bigint, sig binary, id bigint")
+    near = rows.repartition("k").sortWithinPartitions("k", "id").mapInArrow(meet, "u bigint, fu bigint, v bigint, fv bigint").distinct()
+    clusters = components(_linked_rows(near))
+    of = clusters.select(F.col("node.id").alias("id"), F.col("node.fp").alias("fp"), F.col("component.id").alias("g"), F.col("component.fp").alias("gf"))
+    clustered = written(sets_of(of.select("id")).join(of, ["id", "fp"]).select("id", "fp", "g", "gf", "hashes"), "clustered")
+    found = written(_similar(clustered, similarity), "similar")
+    dropped(distinct.sparkSession, clusters, clustered)
+    return found
 
 
 def _folded(docs: DataFrame, id_col: str, text_col: str, shingle: int, width: int, distinct_shingles: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -551,7 +511,7 @@ def _similar_rows(docs: DataFrame, id_col: str, text_col: str, shingle: int, sim
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
     prints, distinct = _folded(docs, id_col, text_col, shingle, WORDS, True)
     bits, parts = plan_parts(max(distinct.count(), 1), 1 - share, recall)
-    limits = lambda words: tuple(int(np.ceil(b * share + MARGIN * np.sqrt(share * (1 - share) * b))) for b in (BITS, words * BITS))
+    limits = tuple(int(np.ceil(b * share + MARGIN * np.sqrt(share * (1 - share) * b))) for b in (BITS, WORDS * BITS))
     sets_of = lambda ids: shingle_sets(docs, ids, id_col, text_col, shingle)
     found = components(similar_links(distinct, lambda words: part_keys(words, bits, parts), sets_of, limits, WORDS, similarity))
     own = F.struct("id", "fp")

@@ -212,6 +212,45 @@ def test_similar_documents_are_verified_exactly(spark):
     assert sum(found[a] == found[b] for a, b in alike) >= 0.95 * len(alike)
 
 
+def test_similar_forest():
+    rng = np.random.default_rng(7)
+    text = rng.choice(1 << 20, 120, replace=False)
+    sets = [np.zeros(0, np.int64)] * 2 + [np.arange(3), np.arange(3) + 1]
+    for n in [*range(0, 40), *range(0, 40)]:
+        own = text.copy()
+        own[rng.choice(120, n, replace=False)] = rng.choice(1 << 30, n)  # some edits are shared by two sets
+        sets += [own, np.append(own, rng.choice(1 << 30, 1 + n // 4))]
+    sets = [np.unique(x).astype("<u8") for x in sets]
+    pairs = [(a, b) for a, b in combinations(range(len(sets)), 2) if (len(x := np.union1d(sets[a], sets[b])) == 0) or len(np.intersect1d(sets[a], sets[b])) / len(x) >= 0.8]
+    u, v = simhash.similar_forest(sets, 0.8)
+    assert {tuple(sorted(x)) for x in zip(u.tolist(), v.tolist())} <= set(pairs) and len(u) < len(sets)
+    assert grouped(zip(u.tolist(), v.tolist()), range(len(sets))) == grouped(pairs, range(len(sets)))
+    assert len(simhash.similar_forest([], 0.8)[0]) == 0
+
+
+def test_copies_that_are_not_similar_enough_are_not_paired(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    text = rng.choice([f"v{i}" for i in range(3000)], 150).tolist()
+    # to the text a similarity of 0.87, to each other 0.76 or so: candidates, but no links; the text itself joins some of them
+    table = [(i, " ".join(changed(rng, text, 2 + 2 * (i % 3 > 0)))) for i in range(240)] + [(240, " ".join(text))]
+    expected, alike = exact_groups(table)
+    rows, write = Counter(), simhash.written
+
+    def counted(df, label):
+        out = write(df, label)
+        rows[label] += out.count()
+        return out
+
+    monkeypatch.setattr(simhash, "written", counted)
+    for size in (simhash.CLUSTER_BYTES, 60_000):  # one block, and several that meet two by two
+        monkeypatch.setattr(simhash, "CLUSTER_BYTES", size)
+        rows.clear()
+        found = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(spark.createDataFrame(table, "doc_id bigint, text string")).collect()}
+        assert all(expected[i] == expected[c] for i, c in found.items())
+        assert sum(found[a] == found[b] for a, b in alike) >= 0.99 * len(alike)
+        assert max(rows.values()) < 8 * len(table), rows
+
+
 def test_deduplicated_awkward(spark):
     table = documents(spark)
     kept = simhash.deduplicated(table)
