@@ -35,13 +35,9 @@ from reclink.llm.words import mixed
 
 #: Symbols up to which a word is merged by scanning its rank array.
 SHORT = 128
-#: Entries at which a new generation of a cache (of chunks, of pieces) begins; a block of texts may add more.  Two generations are kept.
-CACHE_ENTRIES = 200_000
 NO_RANK = 1 << 30
 #: Masks of the first bytes of a little-endian number.
 _LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
-#: Bytes of text that are looked up together.
-BLOCK = 2_000_000
 #: Rows of a batch of results.
 ROWS = 500
 _SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -129,6 +125,11 @@ class Places(dict):
 class WordBPE:
     """Encoder and decoder for one tokenizer file."""
 
+    #: Entries at which a new generation of a cache (of chunks, of pieces) begins; a block of texts may add more.  Two generations are kept.
+    CACHE_ENTRIES = 200_000
+    #: Bytes of text that are looked up together.
+    BLOCK = 2_000_000
+
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -251,7 +252,7 @@ class WordBPE:
     def learn(self) -> None:
         """Find the ids of the new chunks."""
         chunks, words = self.chunks, self.words
-        if len(words) > CACHE_ENTRIES:
+        if len(words) > self.CACHE_ENTRIES:
             words = self.words = Places(words)
         get, pieces, latin, of = words.__getitem__, self.pieces, self.is_latin, []
         for chunk in [x.decode() for x in chunks.new]:
@@ -278,7 +279,7 @@ class WordBPE:
         out, at = [], 0
         while at < len(texts):
             parts, owner, start, size = [], [], at, 0
-            while at < len(texts) and (size < BLOCK or at == start):
+            while at < len(texts) and (size < self.BLOCK or at == start):
                 text = texts[at]
                 # special tokens cut the text before anything else
                 cut = self.split_special.split(text) if self.split_special and any(x in text for x in self.special) else [text]
@@ -294,7 +295,7 @@ class WordBPE:
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         """Ids of texts without special tokens: what stands between spaces and line feeds is looked up once for each distinct chunk."""
-        if len(self.chunks) > CACHE_ENTRIES:
+        if len(self.chunks) > self.CACHE_ENTRIES:
             self.chunks = Places(self.chunks)
         parts = [self.normalise(x).encode() for x in texts]
         raw = b"\n".join(parts) + b"\n" * 17

@@ -81,6 +81,16 @@ def test_token_store(spark, docs, library, table):
     assert sorted(x.tolist() for x in store.lookup(some)) == sorted(i for r, i in zip(rows, ids) if r["doc_id"] == some)
 
 
+def test_words_that_come_back_are_not_encoded_again(monkeypatch):
+    own, learnt = token_store.LibraryBPE(queries.vocabulary()), []
+    monkeypatch.setattr(own, "merge_words", lambda words: learnt.append(len(words)) or [b"\x01\0\0\0"] * len(words))
+    letters = str.maketrans("0123456789", "abcdefghij")
+    texts = [" ".join(str(x).translate(letters) for x in range(at, at + 205_000)) for at in (1_000_000, 2_000_000, 3_000_000)]
+    for text in [*texts, texts[0]]:
+        assert len(own.encode_batch([text])[0]) == 4 * 205_000
+    assert sum(learnt) == 3 * 205_000
+
+
 def test_token_store_of_nothing(spark):
     store = token_store.write_store(documents(spark).where("false"), queries.vocabulary())
     assert store.documents().count() == 0 and store.lookup(1) == []
