@@ -41,7 +41,7 @@ _HEAD = struct.Struct("<4sBBBBQQ32s")
 
 
 class LibraryBPE(WordBPE):
-    """Finds the ids of each new word with the tokenizers library's own model.  That costs more than a look-up, and nothing else shares these workers: larger caches and blocks."""
+    """Finds the ids of each new word with the tokenizers library's own model.  That costs more than a look-up, hence larger caches and blocks."""
 
     CACHE_ENTRIES, BLOCK = 300_000, 3_000_000
 
