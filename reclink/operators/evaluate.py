@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reclink.functions.text import let, valid_word
+from reclink.session import by_shuffle
 
 SEGMENTS = "array<struct<begin:int,end:int,label:string>>"
 _ONE_MARK = r"\A[,.;:?!()\"\-'`]+\z"
@@ -135,4 +136,4 @@ def coref_scores(rows: DataFrame) -> DataFrame:
 def with_clusters(predictions: DataFrame, records: DataFrame) -> DataFrame:
     """(mention_id, true_cluster, guess_cluster): cluster of each text's chosen record (record_id), null without one."""
     of = records.select(F.col("mention_id").alias("record_id"), F.col("true_cluster").alias("guess_cluster"))
-    return predictions.join(of, "record_id", "left").select("mention_id", "true_cluster", "guess_cluster")
+    return predictions.join(by_shuffle(of), "record_id", "left").select("mention_id", "true_cluster", "guess_cluster")

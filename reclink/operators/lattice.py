@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from reclink.config import NO_RECORD, WITH_RECORD
 from reclink.functions.text import from_bio
-from reclink.session import ship
+from reclink.session import by_shuffle, ship
 
 #: Smallest probability that is scored.
 LEAST = 1e-300
@@ -243,7 +243,7 @@ def scored(examples: DataFrame, params: DataFrame, labels: list[str], use_gen: b
     """``examples`` with emission: array<array<double>> (a row of label scores for each token)."""
     rows = emission_scores(examples, params, labels, use_gen, use_disc)
     each = rows.groupBy("mention_id").agg(F.sort_array(F.collect_list(F.struct("position", "scores"))).alias("e")).select("mention_id", F.col("e.scores").alias("emission"))
-    return examples.join(each, "mention_id", "left")
+    return examples.join(by_shuffle(each), "mention_id", "left")
 
 
 # -- inference over tables --------------------------------------------------------------------------------------------
