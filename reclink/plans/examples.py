@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from reclink.functions import features as T
 from reclink.functions.phrases import features_with_phrases, phrases, with_marks
 from reclink.functions.text import from_bio
+from reclink.session import by_shuffle
 
 
 @dataclass(frozen=True)
@@ -54,7 +55,7 @@ def citation_examples(mentions: DataFrame, lexicons: list[Lexicon] | None = None
             own = T.lexicon_features(tokens, lexicon.entries, lexicon.name, lexicon.lower).where("in_lexicon is not null").select("mention_id", "position", "in_lexicon")
             marked = own if marked is None else marked.unionByName(own)
         per = marked.groupBy("mention_id", "position").agg(F.sort_array(F.collect_list("in_lexicon")).alias("m")).groupBy("mention_id").agg(F.map_from_entries(F.collect_list(F.struct("position", "m"))).alias("marks"))
-        out = out.join(per, "mention_id", "left").withColumn("feats", F.transform("feats", lambda f, i: F.concat(f, F.coalesce(F.try_element_at("marks", i), F.array().cast("array<string>"))))).drop("marks")
+        out = out.join(by_shuffle(per), "mention_id", "left").withColumn("feats", F.transform("feats", lambda f, i: F.concat(f, F.coalesce(F.try_element_at("marks", i), F.array().cast("array<string>"))))).drop("marks")
     if offsets:
         out = out.withColumn("feats", F.when(F.col("is_record"), F.col("feats")).otherwise(T.conjunctions(F.col("feats"), offsets)))
     if words_known is not None:
@@ -68,7 +69,7 @@ def with_unknown(examples: DataFrame, known: DataFrame) -> DataFrame:
     joined = tokens.join(known.select("term").distinct().withColumn("is_known", F.lit(True)), "term", "left")
     term = F.when(F.col("is_known"), F.col("term")).otherwise(F.lit(T.OOV))
     per = joined.groupBy("mention_id").agg(F.sort_array(F.collect_list(F.struct("position", term.alias("term")))).alias("w")).select("mention_id", F.col("w.term").alias("known_features"))
-    return examples.join(per, "mention_id", "left").withColumn("word_features", F.coalesce("known_features", F.array().cast("array<string>"))).drop("known_features")
+    return examples.join(by_shuffle(per), "mention_id", "left").withColumn("word_features", F.coalesce("known_features", F.array().cast("array<string>"))).drop("known_features")
 
 
 def only_known(examples: DataFrame, known: DataFrame) -> DataFrame:
@@ -77,7 +78,7 @@ def only_known(examples: DataFrame, known: DataFrame) -> DataFrame:
     kept = cells.join(known.select("term").distinct(), "term", "left_semi")
     tokens = kept.groupBy("mention_id", "position").agg(F.sort_array(F.collect_list(F.struct("place", "term"))).alias("f"))
     per = tokens.groupBy("mention_id").agg(F.map_from_entries(F.collect_list(F.struct("position", F.col("f.term").alias("f")))).alias("known_feats"))
-    joined = examples.join(per, "mention_id", "left")
+    joined = examples.join(by_shuffle(per), "mention_id", "left")
     return joined.withColumn("feats", F.transform("feats", lambda f, i: F.coalesce(F.try_element_at("known_feats", i), F.array().cast("array<string>")))).drop("known_feats")
 
 
