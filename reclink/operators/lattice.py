@@ -347,11 +347,22 @@ def _posterior_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["mention_id", "log_z", "tokens", "starts", "transitions", "error"])
 
 
+#: Columns of examples on which scores and expectations depend.
+CONTENT = ("is_record", "words", "labels", "ends", "word_features", "feats")
+
+
+def counted(examples: DataFrame) -> DataFrame:
+    """Examples of equal content as one, with their number (copies) and an id of the content for theirs."""
+    content = [c for c in CONTENT if c in examples.columns]
+    rows = examples.groupBy(*content).agg(F.count(F.lit(1)).alias("copies"))
+    return rows.withColumn("mention_id", F.sha2(F.to_json(F.struct(*content)), 256))
+
+
 def counts_of(posteriors: DataFrame, examples: DataFrame, labels: list[str], gen: float = 0.0, disc: float = 0.0, least: float = 1e-12) -> DataFrame:
-    """Parameter-shaped counts (model, kind, label, key, value) of posteriors, times ``gen`` and ``disc``; records have no starts and transitions."""
+    """Parameter-shaped counts (model, kind, label, key, value) of posteriors, times ``gen`` and ``disc`` (and ``copies``, if examples are counted); records have no starts and transitions."""
     n = len(labels)
     names = F.array(*map(F.lit, labels))
-    rows = posteriors.where("error is null").join(examples.select(F.col("mention_id").cast("string").alias("mention_id"), "is_record", "word_features", "feats"), "mention_id")
+    rows = posteriors.where("error is null").join(examples.select(F.col("mention_id").cast("string").alias("mention_id"), "is_record", "word_features", "feats", F.col("copies") if "copies" in examples.columns else F.lit(1).alias("copies")), "mention_id")
     models = [(m, s) for m, s in (("gen", gen), ("disc", disc)) if s]
     out = None
 
@@ -361,16 +372,16 @@ def counts_of(posteriors: DataFrame, examples: DataFrame, labels: list[str], gen
 
     for model, scale in models:
         key_of = F.col("word_features") if model == "gen" else F.col("feats")
-        tokens = rows.select(F.posexplode(key_of).alias("position", "k"), "tokens")
-        tokens = tokens.select(F.col("k").alias("key") if model == "gen" else F.explode("k").alias("key"), F.slice("tokens", F.col("position") * n + 1, F.lit(n)).alias("p"))
-        add(tokens.select(F.lit("E").alias("kind"), "key", F.posexplode("p").alias("i", "value")).select(F.lit(model).alias("model"), "kind", F.get(names, F.col("i")).alias("label"), "key", (F.col("value") * scale).alias("value")))
+        tokens = rows.select(F.posexplode(key_of).alias("position", "k"), "tokens", "copies")
+        tokens = tokens.select(F.col("k").alias("key") if model == "gen" else F.explode("k").alias("key"), F.slice("tokens", F.col("position") * n + 1, F.lit(n)).alias("p"), "copies")
+        add(tokens.select(F.lit("E").alias("kind"), "key", F.posexplode("p").alias("i", "value"), "copies").select(F.lit(model).alias("model"), "kind", F.get(names, F.col("i")).alias("label"), "key", (F.col("value") * scale).alias("value"), "copies"))
         texts = rows.where("not is_record")
-        add(texts.select(F.posexplode("starts").alias("i", "value")).select(F.lit(model).alias("model"), F.lit("S").alias("kind"), F.get(names, F.col("i")).alias("label"), F.lit(None).cast("string").alias("key"), (F.col("value") * scale).alias("value")))
-        pair = texts.select(F.posexplode("transitions").alias("i", "value"))
-        add(pair.select(F.lit(model).alias("model"), F.lit("T").alias("kind"), F.get(names, F.floor(F.col("i") / n).cast("int")).alias("label"), F.get(names, F.col("i") % n).alias("key"), (F.col("value") * scale).alias("value")))
+        add(texts.select(F.posexplode("starts").alias("i", "value"), "copies").select(F.lit(model).alias("model"), F.lit("S").alias("kind"), F.get(names, F.col("i")).alias("label"), F.lit(None).cast("string").alias("key"), (F.col("value") * scale).alias("value"), "copies"))
+        pair = texts.select(F.posexplode("transitions").alias("i", "value"), "copies")
+        add(pair.select(F.lit(model).alias("model"), F.lit("T").alias("kind"), F.get(names, F.floor(F.col("i") / n).cast("int")).alias("label"), F.get(names, F.col("i") % n).alias("key"), (F.col("value") * scale).alias("value"), "copies"))
     if out is None:
         return examples.sparkSession.createDataFrame([], "model string, kind string, label string, key string, value double")
-    return out.where(F.abs("value") > least).groupBy("model", "kind", "label", "key").agg(F.sum("value").alias("value"))
+    return out.where(F.abs("value") > least).groupBy("model", "kind", "label", "key").agg(F.sum(F.col("value") * F.col("copies")).alias("value"))
 
 
 # -- joint decoding with records --------------------------------------------------------------------------------------

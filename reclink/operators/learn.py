@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from reclink.config import OTHER_EMISSION, SELF_TRANSITION, SMOOTHING, Options
 from reclink.operators.constraints import Domain, constrained_expectations
-from reclink.operators.lattice import Chain, counts_of, expectations, scored
+from reclink.operators.lattice import Chain, counted, counts_of, expectations, scored
 from reclink.operators.params import normalised, sum_counts
 from reclink.session import dropped, written
 
@@ -77,8 +77,11 @@ class Setting:
         return self.examples.where("not is_record")
 
 
-def _total(posteriors: DataFrame) -> float:
-    return float(posteriors.where("error is null").agg(F.coalesce(F.sum("log_z"), F.lit(0.0)).alias("z")).first()["z"])
+def _total(posteriors: DataFrame, examples: DataFrame) -> float:
+    rows = posteriors.where("error is null")
+    if "copies" in examples.columns:
+        rows = rows.join(examples.select("mention_id", "copies"), "mention_id").withColumn("log_z", F.col("log_z") * F.col("copies"))
+    return float(rows.agg(F.coalesce(F.sum("log_z"), F.lit(0.0)).alias("z")).first()["z"])
 
 
 def failures(posteriors: DataFrame) -> DataFrame:
@@ -99,6 +102,8 @@ class Counts:
         if rows.isEmpty():
             return
         s = self.setting
+        if not (joint or constrained):
+            rows = written(counted(rows), "counted")
         ready = scored(rows, self.params, s.labels, use_gen, use_disc)
         if joint or constrained:
             alone = not joint or s.candidates is None
@@ -108,7 +113,7 @@ class Counts:
         else:
             found = expectations(ready, self.chain, s.longest, use_gen, use_disc, true_only)
         found = written(found, "expectations")
-        self.log_z += sign * _total(found)
+        self.log_z += sign * _total(found, rows)
         self.parts.append(counts_of(found, rows, s.labels, gen * sign, disc * sign))
 
     def kl(self, rows: DataFrame, sign: float = 1.0) -> None:
